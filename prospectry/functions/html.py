@@ -66,11 +66,15 @@ def decode_entities(text: Column) -> Column:
     ).otherwise(text)
 
 
-def visible_text(live: Column) -> Column:
-    """text nodes trimmed, empty ones dropped, joined by one space."""
+def joined_nodes(live: Column) -> Column:
+    """Text nodes trimmed, empty ones dropped, joined by one space; references not yet decoded."""
     nodes = F.split(live, f"{_CUT}|{_TAG}")
-    nodes = F.filter(F.transform(nodes, strip), lambda x: x != "")
-    return decode_entities(F.array_join(nodes, " "))
+    return F.array_join(F.filter(F.transform(nodes, strip), lambda x: x != ""), " ")
+
+
+def visible_text(live: Column) -> Column:
+    """F19. Over tables, keep ``joined_nodes`` as a column of its own and decode that."""
+    return decode_entities(joined_nodes(live))
 
 
 def _attribute(tag: Column, name: str) -> Column:

@@ -1,8 +1,7 @@
 """Rule-based text classification.
 
-All functions take the text of one site or document as a column. The ``*_in_piece`` variants serve
-text that is stored in pieces with some of the neighbours' characters on either side (see
-``operators.site_text``): they also say where in the piece a match starts.
+All functions take the text of one site or document as a column. The ``*_between`` variants serve
+text that is judged in pieces (see ``operators.site_text``): they also say where a match starts.
 """
 
 from __future__ import annotations
@@ -110,26 +109,6 @@ def around(text: Column, at: Column, length: int, margin: int) -> Column:
     return strip(F.substr(text, start, at + length + margin - start))
 
 
-def evidence_in_piece(text: Column, own_end: Column, rules: RuleSet) -> Column:
-    """``(phrase, at, snippet)`` of the best evidence whose match starts by ``own_end``."""
-    lowered = F.lower(text)
-    hits = []
-    for i, phrase in enumerate(rules.evidence_phrases):
-        at = F.instr(lowered, phrase)
-        hits.append(
-            F.when(
-                (at > 0) & (at <= own_end),
-                F.struct(
-                    F.lit(i).alias("phrase"), at.cast("bigint").alias("at"),
-                    around(text, at, len(phrase), rules.evidence_margin).alias("snippet"),
-                ),
-            )
-        )
-    if not hits:
-        return F.lit(None).cast("struct<phrase:int,at:bigint,snippet:string>")
-    return F.coalesce(*hits)
-
-
 def mentions_us(text: Column) -> Column:
     return text.rlike(rf"(?iU)\b(?:{US_MENTION})\b")
 
@@ -167,31 +146,46 @@ def us_presence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return F.struct((mentions_us(text) | state.isNotNull()).alias("is_us"), state.alias("state"))
 
 
-def state_name_in_piece(text: Column, own_end: Column, rules: RuleSet) -> Column:
-    """``(at, value)`` of the first state name that starts by ``own_end``."""
-    pattern = state_name_pattern(rules)
-    found, start, _ = _first(text, pattern)
-    return F.when(
-        found & (start < own_end),
-        F.struct(
-            (start + 1).cast("bigint").alias("at"),
-            F.regexp_extract(text, f"({pattern})", 1).alias("value"),
-        ),
-    )
+_NO_MATCH = "struct<rank:int,at:bigint,value:string,zipped:boolean>"
 
 
-def state_code_in_piece(text: Column, own_end: Column, rules: RuleSet) -> Column:
-    """``(at, value, zipped)`` of the first state abbreviation that starts by ``own_end``."""
-    pattern = state_code_pattern(rules)
-    found, start, after = _first(text, pattern)
-    return F.when(
-        found & (start < own_end),
-        F.struct(
-            (start + 1).cast("bigint").alias("at"),
-            F.regexp_extract(text, f"({pattern})", 1).alias("value"),
-            has_zip(F.left(after, F.lit(ZIP_WINDOW))).alias("zipped"),
-        ),
-    )
+def _match(rank: int, at: Column, value: Column, zipped: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(rank).alias("rank"), at.cast("bigint").alias("at"), value.alias("value"),
+        (F.lit(None).cast("boolean") if zipped is None else zipped).alias("zipped"))
+
+
+def evidence_between(
+    text: Column, lowered: Column, lo: Column, hi: Column, rules: RuleSet
+) -> Column:
+    """Best evidence that starts in ``[lo, hi)`` (0-based): ``(rank of phrase, at, snippet)``."""
+    hits = []
+    for rank, phrase in enumerate(rules.evidence_phrases):
+        at = F.call_function("locate", F.lit(phrase), lowered, lo + 1)
+        snippet = around(text, at, len(phrase), rules.evidence_margin)
+        hits.append(F.when((at > 0) & (at <= hi), _match(rank, at - 1, snippet)))
+    return F.coalesce(*hits) if hits else F.lit(None).cast(_NO_MATCH)
+
+
+def _first_between(text: Column, pattern: str, lo: Column, hi: Column, zip_after: bool) -> Column:
+    # the character before ``lo`` stays in view for word boundaries but cannot begin a match
+    view = F.substr(F.concat(F.lit(" "), text), lo + 1)
+    pattern = f"(?s)(?<=.)(?:{pattern})"
+    found, start, after = _first(view, pattern)
+    value = F.regexp_extract(view, f"({pattern})", 1)
+    zipped = has_zip(F.left(after, F.lit(ZIP_WINDOW))) if zip_after else None
+    at = lo + start - 1
+    return F.when(found & (at < hi), _match(0, at, value, zipped))
+
+
+def state_name_between(text: Column, lo: Column, hi: Column, rules: RuleSet) -> Column:
+    """First state name that starts in ``[lo, hi)``."""
+    return _first_between(text, state_name_pattern(rules), lo, hi, False)
+
+
+def state_code_between(text: Column, lo: Column, hi: Column, rules: RuleSet) -> Column:
+    """First state abbreviation that starts in ``[lo, hi)``, and whether a zip code follows."""
+    return _first_between(text, state_code_pattern(rules), lo, hi, True)
 
 
 def company_type(
