@@ -7,7 +7,7 @@ from ipaddress import ip_network
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import any_of, strip
+from .strings import any_of, let, strip
 
 # Address blocks that are not globally routable, and the exceptions inside them.
 NON_GLOBAL_BLOCKS = (
@@ -31,7 +31,10 @@ def _range(block: str) -> tuple[str, str]:
 
 def address_hex(ip: Column) -> Column:
     """8 hex digits for IPv4, 32 for IPv6, null for anything else."""
-    ip = F.lower(F.substring_index(strip(ip), "%", 1))
+    return let(F.lower(F.substring_index(strip(ip), "%", 1)), _hex)
+
+
+def _hex(ip: Column) -> Column:
     octets = F.split(ip, r"\.")
     v4 = F.when(
         ip.rlike(r"\A(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!\z)|\z)){4}"),
@@ -60,11 +63,11 @@ def address_hex(ip: Column) -> Column:
 
 def is_global_address(ip: Column) -> Column:
     """True for globally routable addresses; false for all others, malformed ones included."""
-    h = address_hex(ip)
+    def judge(h: Column) -> Column:
+        def within(blocks: tuple[str, ...]) -> Column:
+            return any_of(
+                (F.length(h) == len(lo)) & h.between(lo, hi) for lo, hi in map(_range, blocks))
 
-    def within(blocks: tuple[str, ...]) -> Column:
-        return any_of(
-            (F.length(h) == len(lo)) & h.between(lo, hi) for lo, hi in map(_range, blocks)
-        )
+        return ~within(NON_GLOBAL_BLOCKS) | within(GLOBAL_EXCEPTIONS)
 
-    return F.coalesce(~within(NON_GLOBAL_BLOCKS) | within(GLOBAL_EXCEPTIONS), F.lit(False))
+    return F.coalesce(let(address_hex(ip), judge), F.lit(False))

@@ -23,7 +23,7 @@ _NOT_TEXT = (
 # quote-aware tag first; a tag with an unbalanced quote ends at its first '>'
 _TAG_BODY = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TAG = rf"<[a-zA-Z/!?]{_TAG_BODY}>|<[a-zA-Z/!?][^>]*>"
-_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 _ATTRIBUTE = r"(?is)[\s\"']%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
@@ -40,30 +40,33 @@ def _code_point(cp: Column) -> Column:
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
 
 
+def _named() -> Column:
+    """Entity names (HTML 4, from the standard library) to characters, as one constant."""
+    names = {k: chr(v) for k, v in name2codepoint.items() if k != "amp"} | {"apos": "'"}
+    pairs = "\x02".join(f"{k}\x03{v}" for k, v in sorted(names.items()))
+    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x03"))
+
+
 def decode_entities(text: Column) -> Column:
-    """Named (HTML 4) and numeric character references decoded exactly once."""
-    pairs = [F.lit(x) for name, cp in sorted(name2codepoint.items()) if name != "amp"
-             for x in (name, chr(cp))]
-    named = F.create_map(*pairs, F.lit("apos"), F.lit("'"))
+    """Named and numeric character references decoded exactly once."""
+    named = _named()
 
-    def value(ref: Column) -> Column:
-        body = F.substring_index(F.substr(ref, F.lit(2)), ";", 1)
+    def value(body: Column) -> Column:
         number = F.when(
             body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10).cast("bigint")
         ).when(body.startswith("#"), F.substr(body, F.lit(2)).cast("bigint"))
         return (
             F.when(number == ord("&"), F.lit("&amp;"))
             .when(body.startswith("#"), _code_point(number))
-            .otherwise(F.element_at(named, body))
-        )
+            .otherwise(F.element_at(named, body)))
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1))
-    decoded = F.aggregate(
-        found, text, lambda acc, ref: F.replace(acc, ref, F.coalesce(value(ref), ref))
-    )
-    return F.when(
-        F.instr(text, "&") > 0, F.replace(decoded, F.lit("&amp;"), F.lit("&"))
-    ).otherwise(text)
+    def one(acc: Column, body: Column) -> Column:
+        ref = F.concat(F.lit("&"), body, F.lit(";"))
+        return F.replace(acc, ref, F.coalesce(value(body), ref))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), 1))
+    decoded = F.replace(F.aggregate(found, text, one), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.instr(text, "&") > 0, decoded).otherwise(text)
 
 
 def joined_nodes(live: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,3 +40,22 @@ def any_of(conditions: Iterable[Column]) -> Column:
 def alternation(words: Iterable[str]) -> str:
     """Regex alternatives of literal words, in the given order."""
     return "|".join(re.sub(r"([!-/:-@\[-^`{-~])", r"\\\1", w) for w in words)
+
+
+def words_array(words: Iterable[str]) -> Column:
+    """A constant array of words, as one literal however many there are."""
+    words = list(words)
+    if not words:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x01".join(words)), "\x01")
+
+
+def contains_some(text: Column, words: Iterable[str]) -> Column:
+    """The text holds one of the words. ``text`` should be a plain column or a bound value: it is
+    looked at once for each word."""
+    return F.exists(words_array(words), lambda w: F.contains(text, w))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

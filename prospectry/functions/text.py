@@ -10,30 +10,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import DEFAULT_RULES, US_MENTION, ZIP_WINDOW, RuleSet
-from .strings import alternation, any_of, blank_to_null, strip
+from .strings import alternation, blank_to_null, contains_some, let, strip, words_array
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     """The text holds one of the words, whatever the case."""
-    lowered = F.lower(text)
-    return any_of(F.contains(lowered, F.lit(w.lower())) for w in words)
+    return let(F.lower(text), lambda low: contains_some(low, [w.lower() for w in words]))
 
 
-def signal_mask(text: Column, signals: tuple[str, ...]) -> list[Column]:
+MASK_BITS = 62
+
+
+def signal_mask(lowered: Column, signals: tuple[str, ...]) -> list[Column]:
     """Which signals occur, as bit masks of up to 62 signals each (they combine with ``bit_or``)."""
-    lowered = F.lower(text)
-    masks = []
-    for start in range(0, len(signals), 62):
-        bits = [
-            F.when(F.contains(lowered, F.lit(s)), F.lit(1 << i).cast("bigint"))
-            .otherwise(F.lit(0).cast("bigint"))
-            for i, s in enumerate(signals[start:start + 62])
-        ]
-        mask = bits[0]
-        for b in bits[1:]:
-            mask = mask.bitwiseOR(b)
-        masks.append(mask)
-    return masks
+    def bit(w: Column, i: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+        return F.when(F.contains(lowered, w), one).otherwise(F.lit(0).cast("bigint"))
+
+    return [
+        F.aggregate(
+            F.transform(words_array(signals[start:start + MASK_BITS]), bit),
+            F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
+        for start in range(0, len(signals), MASK_BITS)
+    ]
 
 
 def masks_total(masks: list[Column]) -> Column:
@@ -45,7 +44,9 @@ def masks_total(masks: list[Column]) -> Column:
 
 def count_signals(text: Column, signals: tuple[str, ...]) -> Column:
     """A10: how many distinct signal phrases occur."""
-    return masks_total(signal_mask(text, signals))
+    return let(
+        F.lower(text),
+        lambda low: F.size(F.filter(words_array(signals), lambda w: F.contains(low, w))))
 
 
 def sells_direct(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -58,34 +59,35 @@ def is_content_site(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return count_signals(text, rules.content_signals) >= rules.signal_minimum
 
 
-def unnegated_signal(
-    text: Column, signals: tuple[str, ...], rules: RuleSet = DEFAULT_RULES,
-    cut_left: Column | None = None,
+def unnegated_in(
+    lowered: Column, signals: tuple[str, ...], rules: RuleSet, cut_left: Column | None = None
 ) -> Column:
-    """F8: a signal occurs at least once without a negation word in the characters before it.
+    """F8 on lower-cased text (a plain column or bound value).
 
-    One pass per signal that is present: each hit brings the window before it through a
-    look-behind, so long texts with many hits stay linear. With ``cut_left`` true the text does
-    not begin at its real start, and hits with a shorter window than that are left to the piece
-    before.
+    The window before a hit depends only on where a signal starts, so one zero-width pattern finds
+    the windows of all signals, overlapping ones too, in one pass over texts that hold any. With
+    ``cut_left`` true the text does not begin at its real start, and hits with less than a full
+    window before them are left to the piece before.
     """
-    lowered = F.lower(text)
-    negation = rf"(?U)\b(?:{alternation(rules.negation_words)})\b"
     n = rules.negation_window
+    pattern = rf"(?s)(?={alternation(signals)})(?<=(\A.{{0,{n - 1}}}|.{{{n}}}))"
+    negation = rf"(?U)\b(?:{alternation(rules.negation_words)})\b"
 
-    def hit(signal: str) -> Column:
-        s = alternation([signal])
-        windows = F.regexp_extract_all(
-            lowered, F.lit(rf"(?s){s}(?<=(\A.{{0,{n - 1}}}|.{{{n}}}){s})"), 1
-        )
+    def clean(w: Column) -> Column:
+        ok = ~w.rlike(negation)
+        return ok if cut_left is None else ok & (~cut_left | (F.length(w) >= n))
 
-        def clean(w: Column) -> Column:
-            ok = ~w.rlike(negation)
-            return ok if cut_left is None else ok & (~cut_left | (F.length(w) >= n))
+    if not signals:
+        return F.lit(False)
+    windows = F.regexp_extract_all(lowered, F.lit(pattern), 1)
+    return contains_some(lowered, signals) & F.exists(windows, clean)
 
-        return F.contains(lowered, F.lit(signal)) & F.exists(windows, clean)
 
-    return any_of(hit(s) for s in signals)
+def unnegated_signal(
+    text: Column, signals: tuple[str, ...], rules: RuleSet = DEFAULT_RULES
+) -> Column:
+    """F8: a signal occurs at least once without a negation word in the characters before it."""
+    return let(F.lower(text), lambda low: unnegated_in(low, signals, rules))
 
 
 def manufactures(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -93,20 +95,33 @@ def manufactures(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return unnegated_signal(text, rules.manufacturing_signals, rules)
 
 
-def evidence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """text around the first evidence phrase found, phrases tried in list order."""
-    lowered = F.lower(text)
-    hits = []
-    for phrase in rules.evidence_phrases:
-        at = F.instr(lowered, phrase)
-        hits.append(F.when(at > 0, around(text, at, len(phrase), rules.evidence_margin)))
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+def _evidence_place(lowered: Column, rules: RuleSet, lo: Column | None = None,
+                    hi: Column | None = None) -> Column:
+    """``(rank, at, n)`` of the first phrase in list order that starts in ``[lo, hi)``; 1-based."""
+    def place(phrase: Column, rank: Column) -> Column:
+        if lo is None:
+            at = F.call_function("locate", phrase, lowered)
+        else:
+            at = F.call_function("locate", phrase, lowered, lo + 1)
+        return F.struct(rank.alias("rank"), at.alias("at"), F.length(phrase).alias("n"))
 
+    def fits(p: Column) -> Column:
+        return p["at"] > 0 if hi is None else (p["at"] > 0) & (p["at"] <= hi)
 
-def around(text: Column, at: Column, length: int, margin: int) -> Column:
-    """The match at 1-based ``at`` with ``margin`` characters on either side, trimmed."""
-    start = F.greatest(F.lit(1), at - margin)
-    return strip(F.substr(text, start, at + length + margin - start))
+    places = F.transform(words_array(rules.evidence_phrases), place)
+    return F.get(F.filter(places, fits), F.lit(0))
+
+
+def around(text: Column, place: Column, margin: int) -> Column:
+    """The match with ``margin`` characters on either side, trimmed."""
+    start = F.greatest(F.lit(1), place["at"] - margin)
+    return strip(F.substr(text, start, place["at"] + place["n"] + margin - start))
+
+
+def evidence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """text around the first evidence phrase found, phrases tried in list order."""
+    found = let(F.lower(text), lambda low: _evidence_place(low, rules))
+    return let(found, lambda p: around(text, p, rules.evidence_margin))
 
 
 def mentions_us(text: Column) -> Column:
@@ -146,12 +161,9 @@ def us_presence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return F.struct((mentions_us(text) | state.isNotNull()).alias("is_us"), state.alias("state"))
 
 
-_NO_MATCH = "struct<rank:int,at:bigint,value:string,zipped:boolean>"
-
-
-def _match(rank: int, at: Column, value: Column, zipped: Column | None = None) -> Column:
+def _match(rank: Column, at: Column, value: Column, zipped: Column | None = None) -> Column:
     return F.struct(
-        F.lit(rank).alias("rank"), at.cast("bigint").alias("at"), value.alias("value"),
+        rank.cast("int").alias("rank"), at.cast("bigint").alias("at"), value.alias("value"),
         (F.lit(None).cast("boolean") if zipped is None else zipped).alias("zipped"))
 
 
@@ -159,12 +171,11 @@ def evidence_between(
     text: Column, lowered: Column, lo: Column, hi: Column, rules: RuleSet
 ) -> Column:
     """Best evidence that starts in ``[lo, hi)`` (0-based): ``(rank of phrase, at, snippet)``."""
-    hits = []
-    for rank, phrase in enumerate(rules.evidence_phrases):
-        at = F.call_function("locate", F.lit(phrase), lowered, lo + 1)
-        snippet = around(text, at, len(phrase), rules.evidence_margin)
-        hits.append(F.when((at > 0) & (at <= hi), _match(rank, at - 1, snippet)))
-    return F.coalesce(*hits) if hits else F.lit(None).cast(_NO_MATCH)
+    def match(p: Column) -> Column:
+        return F.when(p.isNotNull(), _match(
+            p["rank"], p["at"] - 1, around(text, p, rules.evidence_margin)))
+
+    return let(_evidence_place(lowered, rules, lo, hi), match)
 
 
 def _first_between(text: Column, pattern: str, lo: Column, hi: Column, zip_after: bool) -> Column:
@@ -175,7 +186,7 @@ def _first_between(text: Column, pattern: str, lo: Column, hi: Column, zip_after
     value = F.regexp_extract(view, f"({pattern})", 1)
     zipped = has_zip(F.left(after, F.lit(ZIP_WINDOW))) if zip_after else None
     at = lo + start - 1
-    return F.when(found & (at < hi), _match(0, at, value, zipped))
+    return F.when(found & (at < hi), _match(F.lit(0), at, value, zipped))
 
 
 def state_name_between(text: Column, lo: Column, hi: Column, rules: RuleSet) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.strings import any_of, contains_some
 from ..rules import RuleSet
 
 RUN_BITS = 10
@@ -56,6 +57,7 @@ class _Piece:
     """
 
     text: Column
+    lowered: Column
     lo: Column
     hi: Column
     from_start: Column
@@ -64,8 +66,7 @@ class _Piece:
 
 def _judge(piece: _Piece, rules: RuleSet) -> Column:
     """Everything the rules find in a piece, as one struct."""
-    t, lo, hi = piece.text, piece.lo, piece.hi
-    lowered = F.lower(t)
+    t, lowered, lo, hi = piece.text, piece.lowered, piece.lo, piece.hi
     # a word character at a cut keeps a word boundary from being seen where the text goes on
     framed = F.concat(
         F.when(piece.from_start, F.lit(" ")).otherwise(F.lit("_")), t,
@@ -77,10 +78,9 @@ def _judge(piece: _Piece, rules: RuleSet) -> Column:
         tx.signal_mask(lowered, rules.content_signals))}
     return F.struct(
         *[m.alias(k) for k, m in masks.items()],
-        tx.contains_any(lowered, rules.keywords).alias("relevant"),
-        tx.unnegated_signal(lowered, rules.compounding_signals, rules, cut).alias("compounding"),
-        tx.unnegated_signal(
-            lowered, rules.manufacturing_signals, rules, cut).alias("manufacturing"),
+        contains_some(lowered, [w.lower() for w in rules.keywords]).alias("relevant"),
+        tx.unnegated_in(lowered, rules.compounding_signals, rules, cut).alias("compounding"),
+        tx.unnegated_in(lowered, rules.manufacturing_signals, rules, cut).alias("manufacturing"),
         tx.mentions_us(framed).alias("us_mention"),
         tx.evidence_between(t, lowered, lo, hi, rules).alias("evidence"),
         tx.state_name_between(t, lo, hi, rules).alias("state_name"),
@@ -107,8 +107,10 @@ def page_findings(
     """
     reach = rules.reach()
     text = pages.select("domain", "ord", *keep, F.concat("text", F.lit(" ")).alias("t"))
+    text = text.withColumn("lowered", F.lower("t"))
     t = F.col("t")
-    page = _Piece(t, F.lit(reach), F.length(t) - reach, F.lit(False), F.lit(False))
+    page = _Piece(
+        t, F.col("lowered"), F.lit(reach), F.length(t) - reach, F.lit(False), F.lit(False))
     judged = _judge(page, rules)
     # a page is bounded by spaces, so words at its very ends are whole
     return text.select(
@@ -138,7 +140,7 @@ def _combine(name: str, parts: list[Column]) -> Column:
     if name in _FIRST:
         return F.least(*values)
     if name in _ANY:
-        return tx.any_of(F.coalesce(v, F.lit(False)) for v in values)
+        return any_of(F.coalesce(v, F.lit(False)) for v in values)
     out = F.coalesce(values[0], F.lit(0).cast("bigint"))
     for v in values[1:]:
         out = out.bitwiseOR(F.coalesce(v, F.lit(0).cast("bigint")))
@@ -169,10 +171,11 @@ def site_findings(
     # seams inside runs
     pages = findings.withColumn("run", F.shiftright("ord", run_bits))
     left, right = _ends(Window.partitionBy("domain", "run").orderBy("ord"), n, "head", "tail")
-    pages = pages.withColumns({"left": left, "right": right})
-    seam = F.concat("left", "right")
+    pages = pages.withColumns({"left": left, "right": right}).withColumn(
+        "whole", F.concat("left", "right")).withColumn("lowered", F.lower("whole"))
+    seam = F.col("whole")
     inner = _Piece(
-        seam, F.greatest(F.length("left") - reach, F.lit(reach)),
+        seam, F.col("lowered"), F.greatest(F.length("left") - reach, F.lit(reach)),
         F.least(F.length("left") + reach, F.length(seam) - reach), F.lit(False), F.lit(False))
     pages = pages.withColumn("seam", _judge(inner, rules))
     here = [_keyed(F.col(c), names, F.col("run"), 0, F.col("ord"), level)
@@ -190,15 +193,19 @@ def site_findings(
     runs = runs.withColumns({
         "left": left, "right": right, "first_run": F.row_number().over(in_site) == 1})
 
-    def between(before: Column, after: Column) -> Column:
-        return _judge(_Piece(
-            F.concat(before, after), F.greatest(F.length(before) - reach, F.lit(0)),
-            F.length(before) + reach, F.length(before) < n, F.length(after) < n), rules)
-
-    opening = F.left(F.concat("head", "right"), F.lit(n))
+    runs = runs.withColumn("opening", F.left(F.concat("head", "right"), F.lit(n))).withColumns({
+        "end": F.concat("left", "right"), "n_left": F.length("left"), "n_right": F.length("right")})
+    runs = runs.withColumns({"low_end": F.lower("end"), "low_opening": F.lower("opening")})
+    before = F.col("n_left")
+    end = _Piece(
+        F.col("end"), F.col("low_end"), F.greatest(before - reach, F.lit(0)), before + reach,
+        before < n, F.col("n_right") < n)
+    start = _Piece(
+        F.col("opening"), F.col("low_opening"), F.lit(0), F.lit(reach), F.lit(True),
+        F.length("opening") < n)
     runs = runs.withColumns({
-        "end_seam": between(F.col("left"), F.col("right")),
-        "start_seam": F.when(F.col("first_run"), between(F.lit(""), opening))})
+        "end_seam": _judge(end, rules),
+        "start_seam": F.when(F.col("first_run"), _judge(start, rules))})
     parts = [F.struct(*names)] + [
         _keyed(F.col(c), names, F.col("run"), level, zero, 0)
         for level, c in ((1, "end_seam"), (-1, "start_seam"))]

@@ -27,6 +27,14 @@ def candidate_page_urls(domains: DataFrame, rules: RuleSet = DEFAULT_RULES) -> D
         F.concat(F.lit("https://"), "domain", path).alias("url"))
 
 
+def located_pages(pages: DataFrame) -> DataFrame:
+    """Pages with ``domain`` and ``path`` (``/`` for the bare host)."""
+    path = urls.url_path(F.col("url"))
+    return pages.withColumns({
+        "domain": urls.url_domain(F.col("url")),
+        "path": F.when(path == "", F.lit("/")).otherwise(path)})
+
+
 def candidate_pages(pages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Stored pages that are a domain's candidate pages, one per path (the lowest ``page_id``).
 

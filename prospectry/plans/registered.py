@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import contact, html, mail, text, urls
 from ..operators import (
     candidates, crm, funnels, gates, hosts, leads, matching, outreach, query_building, replies,
@@ -14,6 +17,8 @@ from ..operators import (
 )
 from ..rules import ASSET_SUFFIXES
 from ..sources import lists, search, tables
+from ..streaming import jobs
+from . import discovery, outreach_cycle, roster_import
 from . import standins as s
 from .standins import RULES, now, table
 
@@ -745,3 +750,81 @@ def message_templates(spark, d):
     return docs.select(
         "doc_id", F.md5(F.col("t.subject").cast("binary")).alias("subject_md5"),
         F.md5(F.col("t.body").cast("binary")).alias("body_md5"))
+
+
+# --- plans and streams ------------------------------------------------------------------------
+
+
+def _work_dir(spark: SparkSession) -> str:
+    """A new directory under the session's shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prospectry-")
+    return f"{base.rstrip('/')}/prospectry-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    source = spark.readStream.schema(table(spark, d, name).schema)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query
+def discovery_run(spark, d):
+    """Robots and addresses consulted, known domains left unread."""
+    pages = table(spark, d, "pages")
+    blocked = pages.filter(F.col("page_id") % 3 == 0).select(
+        urls.url_domain(F.col("url")).alias("domain"), F.col("page_id").alias("ord"),
+        urls.url_path(F.col("url")).alias("prefix"), F.lit(False).alias("allow"))
+    run = discovery.run(
+        s.page_candidates(spark, d), pages, s.page_leads(spark, d), now(), RULES, allow_non_us=True,
+        candidates_only=False, host_addresses=_addresses(spark, d), robots_rules=blocked)
+    return run.outcomes
+
+
+@query
+def cadence_run(spark, d):
+    """Replies applied, then the messages still due."""
+    tick = outreach_cycle.run(
+        s.leads(spark, d), s.outreach(spark, d), s.messages(spark, d), now(), FIRST, FOLLOW_UP,
+        SENDER, interval_days=30, max_followups=s.FOLLOWUPS, since_days=20, rules=RULES)
+    return tick.new_log_rows
+
+
+@query
+def roster_run(spark, d):
+    """Merge and enrichment of one country's roster."""
+    run = roster_import.run(
+        s.roster(spark, d), s.domain_map(spark, d), s.leads(spark, d), now(),
+        profiles=_roster_profiles(spark, d), country="nation_7")
+    return run.funnel
+
+
+@query
+def discovery_stream(spark, d):
+    """T1 run to its end over the stored pages."""
+    work = _work_dir(spark)
+    jobs.discover_stream(
+        _stream(spark, d, "pages"), f"{work}/leads", f"{work}/checkpoint", now(), RULES,
+        allow_non_us=True, candidates_only=False).awaitTermination()
+    return jobs.read_batches(spark, f"{work}/leads", schemas.LEADS)
+
+
+@query
+def reply_stream(spark, d):
+    """T2 run to its end over the stored conversations."""
+    work = _work_dir(spark)
+    leads_ = s.leads(spark, d)
+    jobs.reply_stream(
+        s.messages_of(_stream(spark, d, "conversations")), leads_, s.outreach(spark, d),
+        f"{work}/updates", f"{work}/checkpoint", now(), since_days=3_000,
+        rules=RULES).awaitTermination()
+    return jobs.leads_with_replies(leads_, jobs.merged_updates(spark, f"{work}/updates"))
+
+
+@query
+def cadence_tick(spark, d):
+    """T3, run twice: the second run of a tick changes nothing."""
+    path = f"{_work_dir(spark)}/log"
+    jobs.write_batch(s.outreach(spark, d), path, 0)
+    for _ in range(2):
+        jobs.cadence_tick(
+            s.leads(spark, d), path, 1, now(), FIRST, FOLLOW_UP, SENDER, 30, s.FOLLOWUPS)
+    return jobs.read_batches(spark, path, schemas.OUTREACH)

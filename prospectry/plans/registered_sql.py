@@ -677,3 +677,38 @@ SQL["message_templates"] = f"""SELECT doc_id,
   md5(ltrim(array_to_string(list_slice(CASE WHEN l[-1] = '' THEN list_slice(l, 1, -2) ELSE l END,
     2, -1), chr(10)), chr(10))) AS body_md5
   FROM (SELECT doc_id, text, str_split(text, chr(10)) AS l FROM documents)"""
+
+# --- plans and streams ------------------------------------------------------------------------
+
+_BLOCKED = f"""blocked AS (SELECT {domain('url')} AS domain, {path('url')} AS prefix, page_id AS ord
+  FROM pages WHERE page_id % 3 = 0),
+known AS (SELECT {domain('url')} AS domain FROM pages WHERE ends_with({domain('url')}, '.org') GROUP BY 1),
+open_pages AS (SELECT * FROM pages p WHERE NOT EXISTS (SELECT 1 FROM blocked b
+    WHERE b.domain = {domain('p.url')} AND starts_with({path('p.url')}, b.prefix))
+  AND {domain('url')} IN (SELECT domain FROM public)
+  AND {domain('url')} NOT IN (SELECT domain FROM known))"""
+SQL["discovery_run"] = with_(
+    _PUBLIC, _BLOCKED, _FEATURES.replace("FROM pages WHERE", "FROM open_pages WHERE"), profiles(),
+    f"""visits AS (SELECT {domain('url')} AS domain, min(page_id) AS ord FROM pages
+  WHERE {domain('url')} <> '' GROUP BY 1)""",
+) + f"""SELECT v.ord, v.domain, CASE WHEN k.domain IS NOT NULL THEN 'duplicate'
+    WHEN p.domain IS NULL THEN 'fetch_failed' ELSE coalesce({_REASON.format(us='')}, 'added') END AS outcome
+  FROM visits v LEFT JOIN profiles p USING (domain) LEFT JOIN known k ON k.domain = v.domain"""
+_TICK = _RENDERED.replace("CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'drafted' END", "'drafted'")
+_LOG = f"""SELECT (SELECT max(id) FROM outreach) + row_number() OVER (ORDER BY id) AS id, id AS lead_id,
+  to_email, step, subject, body, delivery, CAST(NULL AS VARCHAR) AS error, {TS_NOW} AS created_at
+  FROM rendered"""
+SQL["cadence_tick"] = with_(_TICK) + f"SELECT * FROM outreach UNION ALL {_LOG}"
+SQL["cadence_run"] = with_(
+    _TICK, MESSAGES, f"""answered AS (SELECT DISTINCT lead_id FROM outreach o JOIN messages m
+    ON {mail_domain('o.to_email')} = {mail_domain('m.sender')} WHERE delivery <> 'failed'
+    AND CAST(received_at AS DATE) >= CAST({TS_NOW} AS DATE) - 20)""",
+) + _LOG + " WHERE id NOT IN (SELECT lead_id FROM answered)"
+SQL["roster_run"] = SQL["roster_funnel"].replace(
+    "FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7'")
+SQL["discovery_stream"] = (
+    SQL["lead_inserts"].replace("(SELECT max(id) FROM known) + ", "")
+    .replace("ANTI JOIN known USING (domain)", "").replace("'serper' AS source", "'page_stream' AS source")
+    .replace("query AS matched_query", "'stored pages' AS matched_query"))
+SQL["reply_stream"] = SQL["replied_leads"]

@@ -57,6 +57,9 @@ ROSTER = _schema("ord bigint, name string, country string")
 DOMAIN_MAP = _schema("line_no bigint, name string, country string, domain string")
 LOOKUPS = _schema("name string, position bigint, url string")
 CANDIDATES = _schema("ord bigint, url string, query string, source string")
+REPLY_UPDATES = _schema(
+    "lead_id bigint, first_msg_id bigint, opted_out boolean, applied_at timestamp_ntz"
+)
 
 LEAD_STATUSES = ("new", "contacted", "replied", "qualified", "disqualified")
 COMPANY_TYPES = (

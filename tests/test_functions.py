@@ -162,6 +162,13 @@ def test_negation(column):
     assert column(f, list(cases)) == list(cases.values())
 
 
+def test_overlapping_signals(column):
+    f = lambda c: text.unnegated_signal(c, ("aba", "cgmp", "gmp"))
+    cases = {"not" + " " * 21 + "ababa": True, "not" + " " * 20 + "ababa": False,
+             "not" + " " * 22 + "ababa": True, "not" + " " * 22 + "cgmp": True}
+    assert column(f, list(cases)) == list(cases.values())
+
+
 def test_types(column):
     rules = RuleSet(keywords=("peptide",))
     fn = lambda c: text.text_company_type(c, text.evidence(c, rules), rules)
@@ -243,6 +250,6 @@ def test_global_addresses(column):
 
 def test_rules_reject_bad_phrases():
     with pytest.raises(ValueError):
-        RuleSet(manufacturing_signals=("abcab",))
+        RuleSet(manufacturing_signals=("",))
     with pytest.raises(ValueError):
         RuleSet(commerce_signals=("Upper",))
