@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.strings import any_of, contains_some
+from ..functions.strings import contains_some
 from ..rules import RuleSet
 
 RUN_BITS = 10
@@ -119,38 +119,30 @@ def page_findings(
         F.left(t, F.lit(2 * reach)).alias("head"), F.right(t, F.lit(2 * reach)).alias("tail"))
 
 
-def _keyed(found: Column, names: list[str], run: Column, run_level: int, ord_: Column,
-           level: int) -> Column:
-    """Findings whose first matches carry their place in the whole site text."""
-    cols = []
-    for name in names:
-        c = found[name]
-        if name in _FIRST:
-            c = F.when(c.isNotNull(), F.struct(
-                c["rank"].alias("rank"), run.alias("run"), F.lit(run_level).alias("run_level"),
-                ord_.alias("ord"), F.lit(level).alias("level"), c["at"].alias("at"),
-                c["value"].alias("value"), c["zipped"].alias("zipped")))
-        cols.append(c.alias(name))
-    return F.struct(*cols)
-
-
-def _combine(name: str, parts: list[Column]) -> Column:
-    """One finding out of several of the same row, nulls apart."""
-    values = [p[name] for p in parts]
+def _merged(name: str, parts: dict[str, str]) -> Column:
+    """One finding out of several structs of the same row, combined over the rows of a group.
+
+    ``parts`` maps each struct column to the place of what it found: a list of named fields
+    that, compared in order, put first matches in the order of the whole site text. An empty place
+    means that the struct's matches carry theirs already.
+    """
     if name in _FIRST:
-        return F.least(*values)
+        keyed = [
+            f"{c}.{name}" if not place else
+            f"if({c}.{name} IS NULL, NULL, named_struct('rank', {c}.{name}.rank, {place}, "
+            f"'at', {c}.{name}.at, 'value', {c}.{name}.value, 'zipped', {c}.{name}.zipped))"
+            for c, place in parts.items()]
+        value = f"least({', '.join(keyed)})" if len(keyed) > 1 else keyed[0]
+        return F.expr(f"min({value})").alias(name)
     if name in _ANY:
-        return any_of(F.coalesce(v, F.lit(False)) for v in values)
-    out = F.coalesce(values[0], F.lit(0).cast("bigint"))
-    for v in values[1:]:
-        out = out.bitwiseOR(F.coalesce(v, F.lit(0).cast("bigint")))
-    return out
+        value = " OR ".join(f"coalesce({c}.{name}, false)" for c in parts)
+        return F.expr(f"bool_or({value})").alias(name)
+    value = " | ".join(f"coalesce({c}.{name}, 0L)" for c in parts)
+    return F.expr(f"bit_or({value})").alias(name)
 
 
-def _gather(name: str, value: Column) -> Column:
-    if name in _FIRST:
-        return F.min(value).alias(name)
-    return (F.bool_or(value) if name in _ANY else F.bit_or(value)).alias(name)
+def _place(run: str, run_level: str, ord_: str, level: str) -> str:
+    return f"'run', {run}, 'run_level', {run_level}, 'ord', {ord_}, 'level', {level}"
 
 
 def site_findings(
@@ -160,13 +152,12 @@ def site_findings(
     """Steps 2 and 3: one row per domain with the findings of its whole text.
 
     ``run_aggs`` are further aggregates per run over the rows of ``findings``, ``site_aggs``
-    aggregates over those per domain. Windows see at most ``2**run_bits`` page rows, or one row
-    for each run of a site.
+    aggregates over those per domain; those see the first run of a site twice (``level`` is -1 the
+    second time). Windows see at most ``2**run_bits`` page rows, or one row for each run of a site.
     """
     reach = rules.reach()
     n = 2 * reach
     names = [f.name for f in findings.schema["found"].dataType]
-    zero = F.lit(0).cast("bigint")
 
     # seams inside runs
     pages = findings.withColumn("run", F.shiftright("ord", run_bits))
@@ -178,40 +169,33 @@ def site_findings(
         seam, F.col("lowered"), F.greatest(F.length("left") - reach, F.lit(reach)),
         F.least(F.length("left") + reach, F.length(seam) - reach), F.lit(False), F.lit(False))
     pages = pages.withColumn("seam", _judge(inner, rules))
-    here = [_keyed(F.col(c), names, F.col("run"), 0, F.col("ord"), level)
-            for level, c in enumerate(("found", "seam"))]
+    here = {"found": _place("run", "0", "ord", "0"), "seam": _place("run", "0", "ord", "1")}
     runs = pages.groupBy("domain", "run").agg(
-        *[_gather(x, _combine(x, here)) for x in names],
-        F.min(F.struct("ord", F.left(F.concat("head", "right"), F.lit(n)).alias("v")))["v"]
-        .alias("head"),
-        F.max(F.struct("ord", F.col("left").alias("v")))["v"].alias("tail"),
+        F.struct(*[_merged(x, here) for x in names]).alias("inside"),
+        F.expr(f"min(struct(ord, left(concat(head, right), {n}) AS v)).v AS head"),
+        F.expr("max(struct(ord, left AS v)).v AS tail"),
         *[agg.alias(k) for k, agg in run_aggs.items()])
 
-    # seams between runs, and the two ends of the site
+    # seams between runs, and the start of the site as one more seam of its first run
     in_site = Window.partitionBy("domain").orderBy("run")
     left, right = _ends(in_site, n, "head", "tail")
     runs = runs.withColumns({
         "left": left, "right": right, "first_run": F.row_number().over(in_site) == 1})
-
-    runs = runs.withColumn("opening", F.left(F.concat("head", "right"), F.lit(n))).withColumns({
-        "end": F.concat("left", "right"), "n_left": F.length("left"), "n_right": F.length("right")})
-    runs = runs.withColumns({"low_end": F.lower("end"), "low_opening": F.lower("opening")})
-    before = F.col("n_left")
-    end = _Piece(
-        F.col("end"), F.col("low_end"), F.greatest(before - reach, F.lit(0)), before + reach,
-        before < n, F.col("n_right") < n)
-    start = _Piece(
-        F.col("opening"), F.col("low_opening"), F.lit(0), F.lit(reach), F.lit(True),
-        F.length("opening") < n)
-    runs = runs.withColumns({
-        "end_seam": _judge(end, rules),
-        "start_seam": F.when(F.col("first_run"), _judge(start, rules))})
-    parts = [F.struct(*names)] + [
-        _keyed(F.col(c), names, F.col("run"), level, zero, 0)
-        for level, c in ((1, "end_seam"), (-1, "start_seam"))]
-    return runs.groupBy("domain").agg(
-        *[_gather(x, _combine(x, parts)) for x in names],
-        *[agg.alias(k) for k, agg in site_aggs.items()])
+    seams = F.expr(f"""explode(filter(array(
+        struct(1 AS level, concat(left, right) AS whole, length(left) AS before,
+               length(right) < {n} AS to_end),
+        if(first_run, struct(-1 AS level, left(concat(head, right), {n}) AS whole, 0 AS before,
+               length(concat(head, right)) < {n} AS to_end), NULL)), x -> x IS NOT NULL))""")
+    rows = runs.select("domain", "run", "inside", *run_aggs, seams.alias("s"))
+    rows = rows.select("*", "s.*", F.lower("s.whole").alias("lowered"))
+    before = F.col("before")
+    between = _Piece(
+        F.col("whole"), F.col("lowered"), F.greatest(before - reach, F.lit(0)), before + reach,
+        before < n, F.col("to_end"))
+    rows = rows.withColumn("seam", _judge(between, rules))
+    there = {"inside": "", "seam": _place("run", "level", "0L", "0")}
+    return rows.groupBy("domain").agg(
+        *[_merged(x, there) for x in names], *[agg.alias(k) for k, agg in site_aggs.items()])
 
 
 def conclusions(found: DataFrame, rules: RuleSet) -> dict[str, Column]:

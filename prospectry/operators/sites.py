@@ -102,10 +102,11 @@ def site_profiles(
     found = page_findings(features, rules, ("url",) + PAGE_FIELDS)
     first = ("url",) + PAGE_FIELDS
     run_aggs = {"n_pages": F.count("*")} | {f: _first_set(f, "ord") for f in first}
-    site_aggs = {"n_pages": F.sum("n_pages")} | {f: _first_set(f, "run") for f in first}
+    once = F.col("level") == 1
+    site_aggs = {"n_pages": F.sum(F.when(once, F.col("n_pages")))} | {f: _first_set(f, "run") for f in first}
     if candidates_only:
         run_aggs["urls"] = F.collect_list(F.struct("ord", "url"))
-        site_aggs["urls"] = F.array_sort(F.flatten(F.collect_list("urls")))
+        site_aggs["urls"] = F.array_sort(F.flatten(F.collect_list(F.when(once, F.col("urls")))))
         checked = F.transform("urls", lambda p: p["url"])
     else:
         checked = F.lit(None).cast("array<string>")

@@ -40,7 +40,7 @@ PROFILES = _schema(
     "url string, domain string, company_name string, email string, phone string,"
     "description string, research_only_evidence string, company_type string,"
     "sells_direct boolean, manufactures boolean, is_content_site boolean, us_based boolean,"
-    "state string, pages_checked strings"
+    "state string, n_pages bigint, pages_checked strings"
 )
 SEARCH_RESPONSES = _schema(
     "provider string, q_ord bigint, query string, failed boolean, body string"

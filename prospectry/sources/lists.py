@@ -84,7 +84,7 @@ def read_domain_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blob(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages or pasted text, one row per file: ``(file, content)``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
@@ -99,10 +99,7 @@ def parse_template(text: Column) -> Column:
     subject = strip(F.substr(first, F.instr(first, ":") + 1))
     good = F.lower(first).startswith("subject:")
     fail = F.raise_error(F.lit("a message template must start with a 'Subject:' line"))
-    return F.struct(
-        F.when(good, subject).otherwise(fail).alias("subject"),
-        F.when(good, rest).otherwise(fail).alias("body"),
-    )
+    return F.when(good, F.struct(subject.alias("subject"), rest.alias("body"))).otherwise(fail)
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
