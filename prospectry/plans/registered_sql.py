@@ -712,3 +712,62 @@ SQL["discovery_stream"] = (
     .replace("ANTI JOIN known USING (domain)", "").replace("'serper' AS source", "'page_stream' AS source")
     .replace("query AS matched_query", "'stored pages' AS matched_query"))
 SQL["reply_stream"] = SQL["replied_leads"]
+
+# --- name similarity: longest common blocks, found again left and right of each ---------------
+
+
+def block(a: str, b: str) -> str:
+    """The longest common block of two strings as {k, i, j}: longest, then earliest in a, then b;
+    i and j negated."""
+    common = (f"len(list_filter(range(1, least(length({a}) - i, length({b}) - j) + 1), "
+              f"lambda k: substr({a}, i + 1, k) = substr({b}, j + 1, k)))")
+    return (f"list_reverse_sort(flatten(list_transform(range(length({a})), lambda i: list_transform("
+            f"range(length({b})), lambda j: {{'k': {common}, 'i': -i, 'j': -j}}))))[1]")
+
+
+def slug(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+
+
+def first_letter_up(x: str) -> str:
+    return f"upper({x}[1]) || lower(substr({x}, 2))"
+
+
+_LABEL = f"regexp_extract({domain('url')}, '([a-z\\-]+)\\.example', 1)"
+_LOOKUP_HOST = host("split_part(regexp_replace(url, '^https?://', ''), '/', 1)")
+_SCORES = f"""lookups AS (SELECT n.name, n.position, p.url FROM (
+  SELECT {first_letter_up(_LABEL)} || ' Inc.' AS name, page_id % 7 AS position,
+    page_id + page_id % 3 AS other FROM pages) n JOIN pages p ON p.page_id = n.other),
+found AS (SELECT name, host, min(position) AS position FROM (
+  SELECT name, position, {_LOOKUP_HOST} AS host FROM lookups)
+  WHERE {is_company('host')} AND host NOT IN {many(RULES.never_official_hosts)} GROUP BY 1, 2),
+pairs AS (SELECT name, host, position, {slug('name')} AS a, {slug("split_part(host, '.', 1)")} AS b
+  FROM found),
+parts AS (SELECT name, host, a, b FROM pairs UNION ALL
+  SELECT name, host, c.a, c.b FROM (SELECT name, host, unnest([
+      {{'a': left(a, -m.i), 'b': left(b, -m.j)}},
+      {{'a': substr(a, m.k - m.i + 1), 'b': substr(b, m.k - m.j + 1)}}]) AS c
+    FROM (SELECT *, {block('a', 'b')} AS m FROM parts WHERE a <> '' AND b <> '') WHERE m.k > 0)
+  WHERE c.a <> '' AND c.b <> ''),
+matched AS (SELECT name, host, sum(({block('a', 'b')}).k)::DOUBLE AS n FROM parts
+  WHERE a <> '' AND b <> '' GROUP BY 1, 2),
+ratios AS (SELECT p.name, p.host, p.position, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE
+  ELSE 2.0::DOUBLE * coalesce(n, 0.0::DOUBLE) / (length(a) + length(b)) END AS similarity
+  FROM pairs p LEFT JOIN matched USING (name, host)),
+scores AS (SELECT *, similarity + greatest(0.0::DOUBLE, (5 - position)::DOUBLE) * 0.01::DOUBLE AS score
+  FROM ratios),
+official AS (SELECT name, host AS domain, score FROM (SELECT *, row_number() OVER (PARTITION BY name
+  ORDER BY score DESC, position, host DESC) AS rn FROM scores) WHERE rn = 1 AND score >= 0.55::DOUBLE AND score > 0)"""
+
+
+def recursive(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
+SQL["host_scores"] = recursive(_SCORES) + "SELECT name, host, position, similarity, score FROM scores"
+SQL["official_domains"] = recursive(_SCORES) + "SELECT name, domain, score FROM official"
+_NAMES = "names AS (SELECT DISTINCT name FROM lookups)"
+SQL["resolution_totals"] = recursive(_SCORES, _NAMES) + """SELECT count(o.name) AS resolved,
+  count_if(o.name IS NULL) AS unresolved FROM names LEFT JOIN official o USING (name)"""
+SQL["unresolved_names"] = recursive(_SCORES, _NAMES) + """SELECT name FROM names
+  WHERE name NOT IN (SELECT name FROM official)"""
