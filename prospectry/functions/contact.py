@@ -18,7 +18,7 @@ def addresses(text: Column) -> Column:
 
 def first_phone(text: Column) -> Column:
     """first North-American looking number, null if there is none."""
-    return blank_to_null(F.regexp_extract(text, f"(?U)({PHONE_PATTERN})", 1))
+    return blank_to_null(F.regexp_extract(text, rf"(?U)(?=[+(\d])({PHONE_PATTERN})", 1))
 
 
 def is_usable_address(address: Column, rules: RuleSet = DEFAULT_RULES) -> Column:

@@ -15,14 +15,14 @@ from .strings import WHITESPACE, blank_to_null, strip
 
 _CUT = "\x01"
 _NOT_TEXT = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script[^>]*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style[^>]*>|\z)"
-    r"|<template\b[^>]*>.*?(?:</template[^>]*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|script\b[^>]*>.*?(?:</script[^>]*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style[^>]*>|\z)"
+    r"|template\b[^>]*>.*?(?:</template[^>]*>|\z))"
 )
 # quote-aware tag first; a tag with an unbalanced quote ends at its first '>'
 _TAG_BODY = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-_TAG = rf"<[a-zA-Z/!?]{_TAG_BODY}>|<[a-zA-Z/!?][^>]*>"
+_TAG = rf"<[a-zA-Z/!?](?:{_TAG_BODY}>|[^>]*>)"
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 _ATTRIBUTE = r"(?is)[\s\"']%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 

@@ -42,6 +42,17 @@ def alternation(words: Iterable[str]) -> str:
     return "|".join(re.sub(r"([!-/:-@\[-^`{-~])", r"\\\1", w) for w in words)
 
 
+def one_of(words: Iterable[str], flags: str = "") -> str:
+    """Regex for one of the words, behind a look at the first character that spares most positions
+    the alternatives."""
+    words = list(words)
+    if not words:
+        return r"(?!)"
+    firsts = "".join(sorted({re.sub(r"([\[\]^&\\-])", r"\\\1", w[0]) for w in words}))
+    return f"(?{flags}:(?=[{firsts}])(?:{alternation(words)}))" if flags else (
+        f"(?=[{firsts}])(?:{alternation(words)})")
+
+
 def words_array(words: Iterable[str]) -> Column:
     """A constant array of words, as one literal however many there are."""
     words = list(words)

@@ -6,11 +6,13 @@ text that is judged in pieces (see ``operators.site_text``): they also say where
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import DEFAULT_RULES, US_MENTION, ZIP_WINDOW, RuleSet
-from .strings import alternation, blank_to_null, contains_some, let, strip, words_array
+from .strings import alternation, contains_some, let, one_of, strip, words_array
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -124,22 +126,39 @@ def evidence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     return let(found, lambda p: around(text, p, rules.evidence_margin))
 
 
+_US_WORDS = ("united states", "u.s.", "usa")
+
+
 def mentions_us(text: Column) -> Column:
-    return text.rlike(rf"(?iU)\b(?:{US_MENTION})\b")
+    return contains_any(text, _US_WORDS) & text.rlike(rf"(?iU)\b(?:{US_MENTION})\b")
 
 
-def _first(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """(found?, 0-based start, text after) of the first match, counted in characters."""
-    halves = F.split(text, pattern, 2)
-    return F.size(halves) > 1, F.length(halves[0]), F.get(halves, F.lit(1))
+def _first(text: Column, pattern: str, found: Callable[[Column, Column, Column], Column]) -> Column:
+    """``found(start, value, after)`` of the first match, null without one. ``start`` is 0-based.
+
+    One pass of the pattern, counted in characters whatever the text holds.
+    """
+    def of_halves(h: Column) -> Column:
+        before, after = h[0], F.get(h, F.lit(1))
+        n = F.length(text) - F.length(before) - F.length(after)
+        value = F.substr(text, F.length(before) + 1, n)
+        return F.when(F.size(h) > 1, found(F.length(before), value, after))
+
+    return let(F.split(text, pattern, 2), of_halves)
 
 
 def state_name_pattern(rules: RuleSet) -> str:
-    return f"(?i)(?:{alternation(rules.state_names)})"
+    return one_of(rules.state_names, "i")
 
 
 def state_code_pattern(rules: RuleSet) -> str:
-    return rf"(?U)\b(?:{alternation(sorted(rules.state_abbreviations))})\b"
+    words = sorted(rules.state_abbreviations)
+    firsts = "".join(sorted({w[0] for w in words}))
+    return rf"(?U)(?=[{firsts}])\b(?:{alternation(words)})\b" if words else "(?!)"
+
+
+def _names_somewhere(text: Column, rules: RuleSet) -> Column:
+    return contains_any(text, rules.state_names)
 
 
 def has_zip(text: Column) -> Column:
@@ -148,11 +167,13 @@ def has_zip(text: Column) -> Column:
 
 def us_state(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """leftmost state name as written, else the first abbreviation if a zip code follows."""
-    name = blank_to_null(F.regexp_extract(text, f"({state_name_pattern(rules)})", 1))
-    found, start, after = _first(text, state_code_pattern(rules))
-    code = F.regexp_extract(F.substr(text, start + 1), f"({state_code_pattern(rules)})", 1)
-    zipped = found & has_zip(F.left(after, F.lit(ZIP_WINDOW)))
-    return F.coalesce(name, F.when(zipped, code))
+    name = F.when(
+        _names_somewhere(text, rules),
+        F.regexp_extract(text, f"({state_name_pattern(rules)})", 1))
+    code = _first(
+        text, state_code_pattern(rules),
+        lambda start, value, after: F.when(has_zip(F.left(after, F.lit(ZIP_WINDOW))), value))
+    return F.coalesce(name, code)
 
 
 def us_presence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -178,20 +199,26 @@ def evidence_between(
     return let(_evidence_place(lowered, rules, lo, hi), match)
 
 
-def _first_between(text: Column, pattern: str, lo: Column, hi: Column, zip_after: bool) -> Column:
+def _first_between(
+    text: Column, pattern: str, lo: Column, hi: Column, zip_after: bool
+) -> Column:
     # the character before ``lo`` stays in view for word boundaries but cannot begin a match
-    view = F.substr(F.concat(F.lit(" "), text), lo + 1)
-    pattern = f"(?s)(?<=.)(?:{pattern})"
-    found, start, after = _first(view, pattern)
-    value = F.regexp_extract(view, f"({pattern})", 1)
-    zipped = has_zip(F.left(after, F.lit(ZIP_WINDOW))) if zip_after else None
-    at = lo + start - 1
-    return F.when(found & (at < hi), _match(F.lit(0), at, value, zipped))
+    def first(view: Column) -> Column:
+        def match(start: Column, value: Column, after: Column) -> Column:
+            zipped = has_zip(F.left(after, F.lit(ZIP_WINDOW))) if zip_after else None
+            at = lo + start - 1
+            return F.when(at < hi, _match(F.lit(0), at, value, zipped))
+
+        return _first(view, f"(?s)(?<=.)(?:{pattern})", match)
+
+    return let(F.substr(F.concat(F.lit(" "), text), lo + 1), first)
 
 
 def state_name_between(text: Column, lo: Column, hi: Column, rules: RuleSet) -> Column:
     """First state name that starts in ``[lo, hi)``."""
-    return _first_between(text, state_name_pattern(rules), lo, hi, False)
+    return F.when(
+        _names_somewhere(text, rules),
+        _first_between(text, state_name_pattern(rules), lo, hi, False))
 
 
 def state_code_between(text: Column, lo: Column, hi: Column, rules: RuleSet) -> Column:

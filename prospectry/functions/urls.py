@@ -81,7 +81,11 @@ def url_hosts(text: Column) -> Column:
 
 def bare_hosts(text: Column) -> Column:
     """normalised bare domains in a text."""
-    found = F.regexp_extract_all(text, F.lit("(?iU)(" + BARE_DOMAIN_PATTERN + ")"), 1)
+    # letters of either case are spelled out, and a label must be seen to end in a dot, before the
+    # pattern proper is tried
+    pattern = BARE_DOMAIN_PATTERN.replace("a-z", "a-zA-Z").removeprefix(r"\b")
+    found = F.regexp_extract_all(
+        text, F.lit(rf"(?U)\b(?=[a-zA-Z0-9\-]++\.)({pattern})"), 1)
     return F.transform(found, normalize_host)
 
 

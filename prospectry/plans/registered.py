@@ -31,6 +31,14 @@ def query(f: Query) -> Query:
     return f
 
 
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return tables.spread(table(spark, d, "pages"))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return tables.spread(table(spark, d, "documents"))
+
+
 def joined(array: Column | str, sep: str = "|") -> Column:
     return F.array_join(array, sep)
 
@@ -47,7 +55,7 @@ def page_domains(spark, d):
 
 @query
 def page_fields(spark, d):
-    features = sites.page_features(table(spark, d, "pages"), RULES)
+    features = sites.page_features(pages(spark, d), RULES)
     return features.select(
         F.col("ord").alias("page_id"), "domain", "company_name", "description", "email", "phone",
         F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("n_chars"))
@@ -55,12 +63,12 @@ def page_fields(spark, d):
 
 @query
 def contact_rollup(spark, d):
-    return sites.contact_rollup(sites.page_features(table(spark, d, "pages"), RULES))
+    return sites.contact_rollup(sites.page_features(pages(spark, d), RULES))
 
 
 @query
 def site_profiles(spark, d):
-    out = sites.site_profiles(table(spark, d, "pages"), RULES, candidates_only=False)
+    out = sites.site_profiles(pages(spark, d), RULES, candidates_only=False)
     return out.drop("pages_checked")
 
 
@@ -84,7 +92,7 @@ def candidate_page_urls(spark, d):
 
 @query
 def site_text_pieces(spark, d):
-    features = sites.page_features(table(spark, d, "pages"), RULES)
+    features = sites.page_features(pages(spark, d), RULES)
     return site_text.site_pieces(features).select(
         "domain", "piece", "n_pages", F.length("text").alias("n_chars"),
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -96,7 +104,7 @@ def page_mailto_links(spark, d):
     n = F.col("page_id")
     linked = F.concat(
         "html", F.format_string("<a class=c href=\"mailto:office%d@site.example.net?subject=x\">w</a>", n))
-    live = table(spark, d, "pages").select("page_id", html.live_markup(linked).alias("live"))
+    live = pages(spark, d).select("page_id", html.live_markup(linked).alias("live"))
     return live.select("page_id", joined(html.mailto_addresses(F.col("live"))).alias("addresses"))
 
 
@@ -108,7 +116,7 @@ def page_meta_fields(spark, d):
         "<head><meta property=\"og:site_name\" content=\"Site %d &amp; Co\">"
         "<meta content='About %d' name='description'>", n, n)
     marked = F.replace("html", F.lit("<head>"), F.when(n % 3 != 0, head).otherwise(F.lit("<head>")))
-    live = table(spark, d, "pages").select("page_id", html.live_markup(marked).alias("live"))
+    live = pages(spark, d).select("page_id", html.live_markup(marked).alias("live"))
     return live.select(
         "page_id", html.company_name(F.col("live")).alias("company_name"),
         html.meta_description(F.col("live")).alias("description"))
@@ -119,14 +127,14 @@ def page_meta_fields(spark, d):
 
 @query
 def doc_addresses(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     return docs.select(
         "doc_id", F.posexplode(contact.addresses(F.col("text"))).alias("pos", "address"))
 
 
 @query
 def doc_best_address(spark, d):
-    docs = table(spark, d, "documents").filter(F.contains("text", F.lit("@")))
+    docs = documents(spark, d).filter(F.contains("text", F.lit("@")))
     pool = F.concat(
         F.array(F.lit("privacy@mail2.example.com")), contact.addresses(F.col("text")),
         F.array(F.lit(" info@mail2.example.com "), F.format_string("d%d@mail3.example.com", "doc_id")))
@@ -137,21 +145,21 @@ def doc_best_address(spark, d):
 
 @query
 def doc_phones(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", contact.first_phone(F.col("text")).alias("phone"))
     return docs.filter(F.col("phone").isNotNull())
 
 
 @query
 def keyword_docs(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     return docs.filter(text.contains_any(F.col("text"), RULES.keywords)).select("doc_id", "lang")
 
 
 @query
 def signal_flags(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", text.count_signals(t, RULES.commerce_signals).alias("n_commerce"),
         text.sells_direct(t, RULES).alias("sells_direct"),
         text.is_content_site(t, RULES).alias("is_content_site"))
@@ -160,21 +168,21 @@ def signal_flags(spark, d):
 @query
 def unnegated_signals(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", text.manufactures(t, RULES).alias("manufactures"),
         text.unnegated_signal(t, RULES.compounding_signals, RULES).alias("compounding"))
 
 
 @query
 def evidence_snippets(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", text.evidence(F.col("text"), RULES).alias("snippet"))
     return docs.filter(F.col("snippet").isNotNull())
 
 
 @query
 def us_presence(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", text.us_presence(F.col("text"), RULES).alias("us"))
     return docs.select("doc_id", "us.is_us", "us.state")
 
@@ -184,7 +192,7 @@ def us_presence_with_zip(spark, d):
     """The abbreviation branch of F6: no state names, a zip code written after abbreviations."""
     rules = RULES.but(state_names=("Absent State",))
     marked = F.regexp_replace("text", "(IN|OF|DE) ", "$1 46201 ")
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id", text.us_presence(marked, rules).alias("us"))
     return docs.select("doc_id", "us.is_us", "us.state")
 
@@ -192,7 +200,7 @@ def us_presence_with_zip(spark, d):
 @query
 def company_types(spark, d):
     t = F.col("text")
-    docs = table(spark, d, "documents").select("doc_id", "text", text.evidence(t, RULES).alias("e"))
+    docs = documents(spark, d).select("doc_id", "text", text.evidence(t, RULES).alias("e"))
     return docs.select("doc_id", text.text_company_type(t, F.col("e"), RULES).alias("company_type"))
 
 
@@ -200,7 +208,7 @@ def company_types(spark, d):
 def skip_reasons(spark, d):
     """P14 with and without its flags, over documents as sites."""
     t = F.col("text")
-    docs = table(spark, d, "documents").select("doc_id", "text", text.evidence(t, RULES).alias("e"))
+    docs = documents(spark, d).select("doc_id", "text", text.evidence(t, RULES).alias("e"))
     flags = docs.select(
         "doc_id", text.text_company_type(t, F.col("e"), RULES).alias("company_type"),
         text.sells_direct(t, RULES).alias("sells_direct"),
@@ -215,11 +223,11 @@ def skip_reasons(spark, d):
 
 
 def _texts(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         F.col("text").alias("content"), F.lit("mail1.example.com").alias("source_host"))
-    pages = table(spark, d, "pages").select(
+    linked = pages(spark, d).select(
         F.concat_ws(" ", "url", "html").alias("content"), F.lit(None).cast("string").alias("source_host"))
-    return docs.unionByName(pages)
+    return docs.unionByName(linked)
 
 
 def _seeds(spark, d):
@@ -236,7 +244,7 @@ def mined_hosts(spark, d):
 
 @query
 def doc_hosts(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     found = docs.select("doc_id", F.array_sort(urls.text_hosts(F.col("text"), None, RULES)).alias("h"))
     return found.filter(F.size("h") > 0).select("doc_id", joined("h").alias("hosts"))
 
@@ -351,7 +359,7 @@ def lookup_provider(spark, d):
 
 def _judged(spark, d):
     visits = candidates.visit_list(s.page_candidates(spark, d))
-    profiles = sites.site_profiles(table(spark, d, "pages"), RULES, candidates_only=False)
+    profiles = sites.site_profiles(pages(spark, d), RULES, candidates_only=False)
     return leads.judged_visits(visits, profiles, allow_non_us=True, vendors_only=True)
 
 
@@ -716,7 +724,7 @@ def public_pages(spark, d):
 @query
 def keyword_lines(spark, d):
     """S1/S2 grammar over the lines of all documents."""
-    lines = table(spark, d, "documents").select(
+    lines = documents(spark, d).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     value = F.when(F.col("pos") % 9 == 4, F.concat(F.lit("#"), "line")).when(
         F.col("pos") % 9 == 5, F.concat(F.lit("  # "), "line")).otherwise(F.col("line"))
@@ -744,7 +752,7 @@ def domain_map_lines(spark, d):
 
 @query
 def message_templates(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         "doc_id",
         lists.parse_template(F.concat(F.lit("SUBJECT:  a: "), "text")).alias("t"))
     return docs.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.urls import url_domain
 from ..rules import RuleSet
+from ..sources.tables import spread
 
 # Words that do occur in the texts take the place of the usual vocabulary.
 RULES = RuleSet(
@@ -126,7 +127,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under the address of their language section, so that paths repeat within a site."""
-    return table(spark, sf_dir, "pages").withColumn(
+    return spread(table(spark, sf_dir, "pages")).withColumn(
         "url", F.regexp_replace("url", r"^([a-z]+://[^/]+/[a-z]+).*", "$1"))
 
 

@@ -48,3 +48,14 @@ def recent_messages(
         F.coalesce("subject", F.lit("")).alias("subject"),
         F.left(F.coalesce("body", F.lit("")), F.lit(body_cut)).alias("body"),
     )
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A small table, as read, dealt out over all cores before heavy work on each row.
+
+    Only when the scan has fewer partitions than the session has cores; larger tables, whose
+    partitions keep every core busy anyway, are never moved. Not for derived frames: counting
+    their partitions could start a job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
