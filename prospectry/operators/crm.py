@@ -50,7 +50,8 @@ def lead_history(leads: DataFrame, outreach: DataFrame) -> DataFrame:
         "part",
         F.when(F.col("_n") <= HISTORY_ROW, F.lit(0).cast("bigint"))
         .otherwise(F.shiftright("id", _HISTORY_BITS)))
-    nested = parted.groupBy("lead_id", "part").agg(
+    # parts of one lead go to different tasks, which also leaves the join above free to split it
+    nested = parted.repartition("lead_id", "part").groupBy("lead_id", "part").agg(
         F.array_sort(F.collect_list(F.struct(*_HISTORY_FIELDS))).alias("history"))
     joined = leads.join(nested.withColumnRenamed("lead_id", "id"), "id", "left")
     empty = F.array().cast(nested.schema["history"].dataType)

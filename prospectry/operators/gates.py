@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import is_global_address
 
+SALTS = 16
+
 
 def public_domains(host_addresses: DataFrame) -> DataFrame:
     """Domains all of whose addresses are globally routable, from ``(domain, ip)``."""
@@ -28,7 +30,8 @@ def robots_verdicts(
     ``robots_rules`` is ``(domain, ord, prefix, allow)``: the first rule whose prefix begins the
     path decides; without one the path is allowed. Domains in ``unreadable`` (rules could not be
     read) are refused. A path is matched by looking up its own prefixes, so a domain with very
-    many rules or paths meets only the rules that apply instead of all pairs.
+    many rules or paths meets only the rules that apply instead of all pairs. Every path of a
+    domain looks up the same short prefixes; salting spreads those over tasks.
     """
     # an empty Disallow allows everything, '*' stands for every path
     prefix = F.when(F.col("prefix") == "*", F.lit("")).otherwise(F.col("prefix"))
@@ -36,12 +39,15 @@ def robots_verdicts(
         "domain", prefix.alias("prefix"), "ord",
         (F.col("allow") | (F.col("prefix") == "")).alias("allow"))
     rules = rules.groupBy("domain", "prefix").agg(F.min(F.struct("ord", "allow")).alias("rule"))
+    rules = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = requests.select("domain", "path").distinct()
     prefixes = F.transform(
         F.sequence(F.lit(0), F.length("path")), lambda n: F.left(F.col("path"), n))
-    first = (
-        asked.withColumn("prefix", F.explode(prefixes)).join(rules, ["domain", "prefix"])
-        .groupBy("domain", "path").agg(F.min("rule")["allow"].alias("_allow")))
+    looked_up = asked.select(
+        "domain", "path", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.explode(prefixes).alias("prefix"))
+    first = looked_up.join(rules, ["domain", "prefix", "salt"]).groupBy("domain", "path").agg(
+        F.min("rule")["allow"].alias("_allow"))
     out = requests.join(first, ["domain", "path"], "left")
     allowed = F.coalesce("_allow", F.lit(True))
     if unreadable is not None:

@@ -12,6 +12,7 @@ from .ordering import first_by
 from .site_text import conclusions, page_findings, site_findings
 
 PAGE_FIELDS = ("company_name", "description", "email", "phone")
+_KEPT = ("url",) + PAGE_FIELDS
 
 
 def _paths(rules: RuleSet) -> Column:
@@ -27,14 +28,6 @@ def candidate_page_urls(domains: DataFrame, rules: RuleSet = DEFAULT_RULES) -> D
         F.concat(F.lit("https://"), "domain", path).alias("url"))
 
 
-def located_pages(pages: DataFrame) -> DataFrame:
-    """Pages with ``domain`` and ``path`` (``/`` for the bare host)."""
-    path = urls.url_path(F.col("url"))
-    return pages.withColumns({
-        "domain": urls.url_domain(F.col("url")),
-        "path": F.when(path == "", F.lit("/")).otherwise(path)})
-
-
 def candidate_pages(pages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Stored pages that are a domain's candidate pages, one per path (the lowest ``page_id``).
 
@@ -85,36 +78,53 @@ def _first_set(field: str, ord_col: str) -> Column:
         F.when(F.col(field).isNotNull(), F.struct(F.col(ord_col), F.col(field).alias("v"))))["v"]
 
 
-def site_profiles(
+def page_evidence(
     pages: DataFrame, rules: RuleSet = DEFAULT_RULES, candidates_only: bool = True
 ) -> DataFrame:
-    """One profile per domain with readable pages.
+    """What each page that counts contributes to its site's profile: narrow rows without texts.
 
-    ``candidates_only`` reads the candidate paths of each domain, as a polite visit would; the
-    site text then has a handful of pages and ``pages_checked`` lists them. Otherwise every stored
-    page counts, in ``page_id`` order, however many a domain has (``pages_checked`` is null,
-    ``n_pages`` counts them).
+    ``candidates_only`` reads the candidate paths of each domain, as a polite visit would.
+    Otherwise every stored page counts, in ``page_id`` order. Rows can still be gated by
+    ``domain`` and ``url`` before ``profiles_from`` rolls them up; that is the place for joins
+    with large tables, because page bodies never move for them.
     """
     if candidates_only:
         features = page_features(candidate_pages(pages, rules), rules, "ord")
     else:
         features = page_features(pages, rules)
-    found = page_findings(features, rules, ("url",) + PAGE_FIELDS)
-    first = ("url",) + PAGE_FIELDS
-    run_aggs = {"n_pages": F.count("*")} | {f: _first_set(f, "ord") for f in first}
+    return page_findings(features, rules, _KEPT)
+
+
+def profiles_from(
+    evidence: DataFrame, rules: RuleSet = DEFAULT_RULES, candidates_only: bool = True
+) -> DataFrame:
+    """Page evidence rolled up to one profile per domain (A1, and F6-F12 over the site's text).
+
+    ``pages_checked`` lists the pages of a site visited on its candidate paths; it is null when
+    all stored pages count, however many a domain has, and ``n_pages`` counts them.
+    """
+    run_aggs = {"n_pages": F.count("*")} | {f: _first_set(f, "ord") for f in _KEPT}
     once = F.col("level") == 1
-    site_aggs = {"n_pages": F.sum(F.when(once, F.col("n_pages")))} | {f: _first_set(f, "run") for f in first}
+    site_aggs = {"n_pages": F.sum(F.when(once, F.col("n_pages")))}
+    site_aggs |= {f: _first_set(f, "run") for f in _KEPT}
     if candidates_only:
         run_aggs["urls"] = F.collect_list(F.struct("ord", "url"))
         site_aggs["urls"] = F.array_sort(F.flatten(F.collect_list(F.when(once, F.col("urls")))))
         checked = F.transform("urls", lambda p: p["url"])
     else:
         checked = F.lit(None).cast("array<string>")
-    sites = site_findings(found, rules, run_aggs, site_aggs)
+    sites = site_findings(evidence, rules, run_aggs, site_aggs)
     out = sites.select(
-        "domain", "n_pages", *first, checked.alias("pages_checked"),
+        "domain", "n_pages", *_KEPT, checked.alias("pages_checked"),
         *[c.alias(k) for k, c in conclusions(sites, rules).items()])
     return out.select(
         "url", "domain", "company_name", "email", "phone", "description",
         "research_only_evidence", "company_type", "sells_direct", "manufactures",
         "is_content_site", "us_based", "state", "n_pages", "pages_checked")
+
+
+def site_profiles(
+    pages: DataFrame, rules: RuleSet = DEFAULT_RULES, candidates_only: bool = True
+) -> DataFrame:
+    """One profile per domain with readable pages."""
+    return profiles_from(page_evidence(pages, rules, candidates_only), rules, candidates_only)

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import url_path
 from ..operators import candidates as cand
 from ..operators import gates, leads as lead_ops, sites
 from ..operators.funnels import discovery_funnel
@@ -22,23 +23,21 @@ class Discovery(NamedTuple):
     funnel: DataFrame
 
 
-def allowed_pages(
-    pages: DataFrame, domains: DataFrame, host_addresses: DataFrame | None = None,
+def gated(
+    evidence: DataFrame, domains: DataFrame, host_addresses: DataFrame | None = None,
     robots_rules: DataFrame | None = None, unreadable: DataFrame | None = None,
 ) -> DataFrame:
-    """Stored pages of the given domains that may be read: public hosts, paths robots allow.
-
-    The restriction comes before any text is looked at.
-    """
-    located = sites.located_pages(pages).join(domains.select("domain"), "domain", "left_semi")
+    """Page rows of the given domains that may be read: public hosts, paths robots allow."""
+    rows = evidence.join(domains.select("domain"), "domain", "left_semi")
     if host_addresses is not None:
-        located = gates.only_public(located, host_addresses)
+        rows = gates.only_public(rows, host_addresses)
     if robots_rules is not None:
-        verdicts = gates.robots_verdicts(
-            located.select("domain", "path").distinct(), robots_rules, unreadable)
-        located = located.join(
-            verdicts.filter("allowed").select("domain", "path"), ["domain", "path"], "left_semi")
-    return located.select(*pages.columns)
+        path = url_path(F.col("url"))
+        rows = rows.withColumn("path", F.when(path == "", F.lit("/")).otherwise(path))
+        asked = rows.select("domain", "path").distinct()
+        open_ = gates.robots_verdicts(asked, robots_rules, unreadable).filter("allowed")
+        rows = rows.join(open_, ["domain", "path"], "left_semi")
+    return rows.select(*evidence.columns)
 
 
 def run(
@@ -50,15 +49,19 @@ def run(
 ) -> Discovery:
     """Visit list, profiles, qualification, insertion and funnel.
 
-    ``skip_known`` leaves the pages of domains that are leads already unread; those visits are
-    still reported, as ``duplicate`` (a full run would report some of them as skipped).
+    Pages are reduced to evidence where they are read; visits, gates and known leads join those
+    narrow rows, so page bodies are never shuffled for them. ``skip_known`` leaves domains that
+    are leads already out of the roll-up; those visits are still reported, as ``duplicate`` (a
+    full run would report some of them as skipped).
     """
     visits = cand.visit_list(candidates, limit)
     to_read = visits.select("domain")
     if skip_known:
         to_read = to_read.join(leads.select("domain"), "domain", "left_anti")
-    readable = allowed_pages(pages, to_read, host_addresses, robots_rules, unreadable)
-    profiles = sites.site_profiles(readable, rules, candidates_only)
+    evidence = gated(
+        sites.page_evidence(pages, rules, candidates_only), to_read, host_addresses, robots_rules,
+        unreadable)
+    profiles = sites.profiles_from(evidence, rules, candidates_only)
     judged = lead_ops.judged_visits(visits, profiles, allow_non_us, vendors_only)
     if skip_known:
         known = leads.select("domain", F.lit(True).alias("_known"))

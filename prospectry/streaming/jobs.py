@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas
-from ..functions.urls import url_domain
 from ..operators import leads as lead_ops
 from ..operators import outreach as out_ops
 from ..operators import replies as reply_ops
@@ -59,17 +58,19 @@ def discover_stream(
 ) -> StreamingQuery:
     """Newly arrived pages become profiles, and qualifying new domains are appended as leads.
 
-    Pages of domains that are leads already are dropped before their text is read.
+    Domains that are leads already drop out before the roll-up. A profile is made of the pages
+    that arrive together: let a site's pages arrive in one batch.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = read_batches(spark, leads_path, schemas.LEADS, batch_id)
-        fresh = batch.withColumn("domain", url_domain(F.col("url"))).join(
-            known.select("domain"), "domain", "left_anti").select(*batch.columns)
-        visits = first_per_domain(fresh.select(
+        visits = first_per_domain(batch.select(
             F.col("page_id").alias("ord"), "url", F.lit("stored pages").alias("query"),
             F.lit("page_stream").alias("source")))
-        profiles = sites.site_profiles(fresh, rules, candidates_only)
+        visits = visits.join(known.select("domain"), "domain", "left_anti")
+        evidence = sites.page_evidence(batch, rules, candidates_only).join(
+            visits.select("domain"), "domain", "left_semi")
+        profiles = sites.profiles_from(evidence, rules, candidates_only)
         judged = lead_ops.judged_visits(visits, profiles, allow_non_us, vendors_only)
         write_batch(lead_ops.new_leads(known, judged, now), leads_path, batch_id)
 

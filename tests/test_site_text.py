@@ -9,7 +9,9 @@ from prospectry.functions import text as tx
 from prospectry.operators.site_text import (
     conclusions, page_findings, site_findings, site_pieces,
 )
-from prospectry.operators.sites import candidate_page_urls, contact_rollup, page_features, site_profiles
+from prospectry.operators.sites import (
+    candidate_page_urls, contact_rollup, page_features, site_profiles,
+)
 from prospectry.rules import RuleSet
 
 RULES = RuleSet(
