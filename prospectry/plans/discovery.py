@@ -12,10 +12,11 @@ from ..operators import candidates as cand
 from ..operators import gates, leads as lead_ops, sites
 from ..operators.funnels import discovery_funnel
 from ..rules import DEFAULT_RULES, RuleSet
+from ..sources.tables import written
 
 
 class Discovery(NamedTuple):
-    """All lazy: nothing is read before one of the frames is written or counted."""
+    """``judged`` is worked out and written down; the rest follows from it without reading pages."""
 
     judged: DataFrame
     new_leads: DataFrame
@@ -67,6 +68,7 @@ def run(
         known = leads.select("domain", F.lit(True).alias("_known"))
         judged = judged.join(known, "domain", "left").withColumn(
             "reason", F.when(F.col("_known").isNull(), F.col("reason"))).drop("_known")
+    judged = written(judged)
     outcomes = lead_ops.lead_outcomes(leads, judged)
     return Discovery(
         judged, lead_ops.new_leads(leads, judged, now), outcomes, discovery_funnel(outcomes))

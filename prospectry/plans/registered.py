@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -763,12 +761,6 @@ def message_templates(spark, d):
 # --- plans and streams ------------------------------------------------------------------------
 
 
-def _work_dir(spark: SparkSession) -> str:
-    """A new directory under the session's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prospectry-")
-    return f"{base.rstrip('/')}/prospectry-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, d, name).schema)
     return source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
@@ -808,7 +800,7 @@ def roster_run(spark, d):
 @query
 def discovery_stream(spark, d):
     """T1 run to its end over the stored pages."""
-    work = _work_dir(spark)
+    work = tables.work_dir(spark)
     jobs.discover_stream(
         _stream(spark, d, "pages"), f"{work}/leads", f"{work}/checkpoint", now(), RULES,
         allow_non_us=True, candidates_only=False).awaitTermination()
@@ -818,7 +810,7 @@ def discovery_stream(spark, d):
 @query
 def reply_stream(spark, d):
     """T2 run to its end over the stored conversations."""
-    work = _work_dir(spark)
+    work = tables.work_dir(spark)
     leads_ = s.leads(spark, d)
     jobs.reply_stream(
         s.messages_of(_stream(spark, d, "conversations")), leads_, s.outreach(spark, d),
@@ -830,7 +822,7 @@ def reply_stream(spark, d):
 @query
 def cadence_tick(spark, d):
     """T3, run twice: the second run of a tick changes nothing."""
-    path = f"{_work_dir(spark)}/log"
+    path = f"{tables.work_dir(spark)}/log"
     jobs.write_batch(s.outreach(spark, d), path, 0)
     for _ in range(2):
         jobs.cadence_tick(

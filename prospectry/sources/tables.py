@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,3 +62,20 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new directory under the session's shared checkpoint folder (``spark.checkpoint.dir``)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prospectry-")
+    return f"{base.rstrip('/')}/prospectry-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and read back from a table in the shared checkpoint folder.
+
+    For narrow results of dear plans that are used more than once. Starts a job; survives the loss
+    of executors because nothing of it stays in their memory.
+    """
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
