@@ -86,31 +86,36 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(tag != "", F.coalesce(*values))
 
 
-def meta_content(live: Column, attribute: str, value: str) -> Column:
-    """Content of the first ``<meta>`` whose attribute has the value; null if absent or empty."""
+def meta_tags(live: Column) -> Column:
+    """All ``<meta>`` tags, in order; keep them as a column where several values are wanted."""
+    return F.regexp_extract_all(live, F.lit(rf"(<[mM][eE][tT][aA][\s/]{_TAG_BODY}>)"), 1)
+
+
+def meta_content(tags: Column, attribute: str, value: str) -> Column:
+    """Content of the first of the tags whose attribute has the value; null if absent or empty."""
     mark = rf"[\s\"'](?i:{attribute})\s*=\s*(?:\"{value}\"|'{value}'|{value}(?=[\s/>]))"
-    tags = F.regexp_extract_all(live, F.lit(rf"(?s)(<(?i:meta)[\s/]{_TAG_BODY}>)"), 1)
     tag = F.get(F.filter(tags, lambda t: t.rlike(mark)), F.lit(0))
     return decode_entities(_attribute(tag, "content"))
 
 
 def page_title(live: Column) -> Column:
     """Text of the first ``<title>``; null if absent or empty."""
-    raw = F.regexp_extract(live, r"(?is)<title\b[^>]*>([^<]*)", 1)
+    raw = F.regexp_extract(live, r"<[tT][iI][tT][lL][eE]\b[^>]*>([^<]*)", 1)
     return decode_entities(blank_to_null(raw))
 
 
-def company_name(live: Column) -> Column:
+def company_name(live: Column, tags: Column | None = None) -> Column:
     """F16: site name from the meta tag, else the title up to its first ``|`` and `` - ``."""
-    site_name = strip(meta_content(live, "property", "og:site_name"))
+    tags = meta_tags(live) if tags is None else tags
+    site_name = strip(meta_content(tags, "property", "og:site_name"))
     title = strip(page_title(live))
     title = F.substring_index(F.substring_index(title, "|", 1), " - ", 1)
     return F.coalesce(site_name, strip(title))
 
 
-def meta_description(live: Column) -> Column:
+def meta_description(live: Column, tags: Column | None = None) -> Column:
     """F17."""
-    return strip(meta_content(live, "name", "description"))
+    return strip(meta_content(meta_tags(live) if tags is None else tags, "name", "description"))
 
 
 def mailto_addresses(live: Column) -> Column:
@@ -130,12 +135,10 @@ def mailto_addresses(live: Column) -> Column:
             "?", 1,
         ),
     )
-    return F.when(
-        F.contains(F.lower(live), F.lit("mailto:")), cleaned
-    ).otherwise(F.array().cast("array<string>"))
+    return F.when(live.rlike("(?i)mailto:"), cleaned).otherwise(F.array().cast("array<string>"))
 
 
 __all__ = [
     "WHITESPACE", "company_name", "decode_entities", "live_markup", "mailto_addresses",
-    "meta_content", "meta_description", "page_title", "visible_text",
+    "meta_content", "meta_description", "meta_tags", "page_title", "visible_text",
 ]

@@ -129,8 +129,13 @@ def evidence(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
 _US_WORDS = ("united states", "u.s.", "usa")
 
 
+def mentions_us_in(text: Column, lowered: Column) -> Column:
+    """The pattern is tried only on texts that hold one of its words at all."""
+    return contains_some(lowered, _US_WORDS) & text.rlike(rf"(?iU)\b(?:{US_MENTION})\b")
+
+
 def mentions_us(text: Column) -> Column:
-    return contains_any(text, _US_WORDS) & text.rlike(rf"(?iU)\b(?:{US_MENTION})\b")
+    return let(F.lower(text), lambda low: mentions_us_in(text, low))
 
 
 def _first(text: Column, pattern: str, found: Callable[[Column, Column, Column], Column]) -> Column:
@@ -157,8 +162,8 @@ def state_code_pattern(rules: RuleSet) -> str:
     return rf"(?U)(?=[{firsts}])\b(?:{alternation(words)})\b" if words else "(?!)"
 
 
-def _names_somewhere(text: Column, rules: RuleSet) -> Column:
-    return contains_any(text, rules.state_names)
+def _names_in(lowered: Column, rules: RuleSet) -> Column:
+    return contains_some(lowered, [n.lower() for n in rules.state_names])
 
 
 def has_zip(text: Column) -> Column:
@@ -168,7 +173,7 @@ def has_zip(text: Column) -> Column:
 def us_state(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """leftmost state name as written, else the first abbreviation if a zip code follows."""
     name = F.when(
-        _names_somewhere(text, rules),
+        let(F.lower(text), lambda low: _names_in(low, rules)),
         F.regexp_extract(text, f"({state_name_pattern(rules)})", 1))
     code = _first(
         text, state_code_pattern(rules),
@@ -202,22 +207,27 @@ def evidence_between(
 def _first_between(
     text: Column, pattern: str, lo: Column, hi: Column, zip_after: bool
 ) -> Column:
-    # the character before ``lo`` stays in view for word boundaries but cannot begin a match
+    # a stand-in for the character before ``lo`` keeps word boundaries as they are
+    before = F.substr(F.concat(F.lit(" "), text), lo + 1, F.lit(1))
+    mark = F.when(before.rlike(r"(?U)\w"), F.lit("_")).otherwise(F.lit(" "))
+
     def first(view: Column) -> Column:
         def match(start: Column, value: Column, after: Column) -> Column:
             zipped = has_zip(F.left(after, F.lit(ZIP_WINDOW))) if zip_after else None
             at = lo + start - 1
             return F.when(at < hi, _match(F.lit(0), at, value, zipped))
 
-        return _first(view, f"(?s)(?<=.)(?:{pattern})", match)
+        return _first(view, pattern, match)
 
-    return let(F.substr(F.concat(F.lit(" "), text), lo + 1), first)
+    return let(F.concat(mark, F.substr(text, lo + 1)), first)
 
 
-def state_name_between(text: Column, lo: Column, hi: Column, rules: RuleSet) -> Column:
+def state_name_between(
+    text: Column, lowered: Column, lo: Column, hi: Column, rules: RuleSet
+) -> Column:
     """First state name that starts in ``[lo, hi)``."""
     return F.when(
-        _names_somewhere(text, rules),
+        _names_in(lowered, rules),
         _first_between(text, state_name_pattern(rules), lo, hi, False))
 
 

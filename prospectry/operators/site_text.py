@@ -81,9 +81,9 @@ def _judge(piece: _Piece, rules: RuleSet) -> Column:
         contains_some(lowered, [w.lower() for w in rules.keywords]).alias("relevant"),
         tx.unnegated_in(lowered, rules.compounding_signals, rules, cut).alias("compounding"),
         tx.unnegated_in(lowered, rules.manufacturing_signals, rules, cut).alias("manufacturing"),
-        tx.mentions_us(framed).alias("us_mention"),
+        tx.mentions_us_in(framed, lowered).alias("us_mention"),
         tx.evidence_between(t, lowered, lo, hi, rules).alias("evidence"),
-        tx.state_name_between(t, lo, hi, rules).alias("state_name"),
+        tx.state_name_between(t, lowered, lo, hi, rules).alias("state_name"),
         tx.state_code_between(t, lo, hi, rules).alias("state_code"),
     )
 
@@ -115,7 +115,7 @@ def page_findings(
     # a page is bounded by spaces, so words at its very ends are whole
     return text.select(
         "domain", "ord", *keep,
-        judged.withField("us_mention", tx.mentions_us(t)).alias("found"),
+        judged.withField("us_mention", tx.mentions_us_in(t, F.col("lowered"))).alias("found"),
         F.left(t, F.lit(2 * reach)).alias("head"), F.right(t, F.lit(2 * reach)).alias("tail"))
 
 

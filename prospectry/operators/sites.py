@@ -52,13 +52,15 @@ def page_features(
         domain.alias("domain"), F.col(ord_col).alias("ord"), "url", "html",
         html.live_markup(F.col("html")).alias("live"),
     ).filter(F.col("domain") != "")
-    texts = live.withColumn("nodes", html.joined_nodes(F.col("live"))).withColumn(
+    texts = live.withColumns({
+        "nodes": html.joined_nodes(F.col("live")), "tags": html.meta_tags(F.col("live")),
+    }).withColumn(
         "text", html.decode_entities(F.col("nodes")))
     pool = F.concat(html.mailto_addresses(F.col("live")), contact.addresses(F.col("html")))
     return texts.select(
         "domain", "ord", "url", "text",
-        html.company_name(F.col("live")).alias("company_name"),
-        html.meta_description(F.col("live")).alias("description"),
+        html.company_name(F.col("live"), F.col("tags")).alias("company_name"),
+        html.meta_description(F.col("live"), F.col("tags")).alias("description"),
         contact.best_address(pool, F.col("domain"), rules).alias("email"),
         contact.first_phone(F.col("text")).alias("phone"))
 
