@@ -62,7 +62,10 @@ def roster_outcomes(
     if profiles is not None:
         facts = facts.join(
             profiles.select("domain", "n_pages", F.col("email").alias("_found")), "domain", "left")
-    rows = located.join(facts, "domain", "left")
+    # rows without a domain find nothing; a key of their own each keeps them from one task
+    key = F.coalesce("domain", F.concat(F.lit("\x01"), F.col("ord").cast("string")))
+    rows = located.withColumn("_key", key).join(
+        facts.withColumnRenamed("domain", "_key"), "_key", "left")
     is_first = F.col("ord") == F.col("_first")
     outcome = (
         F.when(F.col("domain").isNull(), "no_domain")
