@@ -159,8 +159,8 @@ def site_findings(
     n = 2 * reach
     names = [f.name for f in findings.schema["found"].dataType]
 
-    # seams inside runs
-    pages = findings.withColumn("run", F.shiftright("ord", run_bits))
+    # seams inside runs; partitioned by run even where the rows already lie by domain
+    pages = findings.withColumn("run", F.shiftright("ord", run_bits)).repartition("domain", "run")
     left, right = _ends(Window.partitionBy("domain", "run").orderBy("ord"), n, "head", "tail")
     pages = pages.withColumns({"left": left, "right": right}).withColumn(
         "whole", F.concat("left", "right")).withColumn("lowered", F.lower("whole"))
