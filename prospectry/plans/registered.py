@@ -516,7 +516,10 @@ def message_history(spark, d):
 def next_steps(spark, d):
     rows = outreach.with_next_step(
         s.leads(spark, d), s.outreach(spark, d), now(), 30, s.FOLLOWUPS)
-    return rows.select("id", "n_delivered", "last_at", "next_step")
+    # shown as 0: no message yet, nothing due
+    return rows.select(
+        "id", F.coalesce("n_delivered", F.lit(0)).alias("n_delivered"), "last_at",
+        F.coalesce("next_step", F.lit(0)).alias("next_step"))
 
 
 @query

@@ -371,7 +371,7 @@ SQL["doc_hosts"] = f"""SELECT doc_id, array_to_string(list_sort(h), '|') AS host
   SELECT doc_id, {hosts_of('text')} AS h FROM documents) WHERE len(h) > 0"""
 SQL["seed_additions"] = with_(_MINED) + """SELECT host, 'https://' || host || '/' AS url FROM mined
   ANTI JOIN seeds USING (host)"""
-SQL["seed_merge_counts"] = with_(_MINED) + """SELECT count_if(s.host IS NULL) AS added,
+SQL["seed_merge_counts"] = with_(_MINED) + """SELECT count_if(s.host IS NULL)::BIGINT AS added,
   count(s.host) AS already FROM mined m LEFT JOIN seeds s USING (host)"""
 _HOST = host(f"{authority('url')} || ({array(('', '.', *ASSET_SUFFIXES))}[page_id % 13 + 1])")
 SQL["company_hosts"] = f"""SELECT page_id, host, {is_company('host')} AS is_company FROM (
@@ -531,7 +531,8 @@ due AS (SELECT *, next_step AS step FROM steps WHERE next_step IS NOT NULL AND e
 SQL["contactable_makers"] = with_(LEADS) + (
     "SELECT id, email FROM leads WHERE email IS NOT NULL AND email <> '' AND manufactures")
 SQL["message_history"] = with_(_STEPS) + "SELECT id AS lead_id, n_delivered, last_at FROM history"
-SQL["next_steps"] = with_(_STEPS) + "SELECT id, n_delivered, last_at, next_step FROM steps"
+SQL["next_steps"] = with_(_STEPS) + """SELECT id, coalesce(n_delivered, 0) AS n_delivered, last_at,
+  CAST(coalesce(next_step, 0) AS INTEGER) AS next_step FROM steps"""
 SQL["due_plan"] = with_(_STEPS) + "SELECT id, email, step, created_at FROM due"
 SQL["due_plan_capped"] = with_(_STEPS) + """SELECT id, email, step FROM due WHERE manufactures
   ORDER BY created_at, id LIMIT 10"""
@@ -768,6 +769,6 @@ SQL["host_scores"] = recursive(_SCORES) + "SELECT name, host, position, similari
 SQL["official_domains"] = recursive(_SCORES) + "SELECT name, domain, score FROM official"
 _NAMES = "names AS (SELECT DISTINCT name FROM lookups)"
 SQL["resolution_totals"] = recursive(_SCORES, _NAMES) + """SELECT count(o.name) AS resolved,
-  count_if(o.name IS NULL) AS unresolved FROM names LEFT JOIN official o USING (name)"""
+  count_if(o.name IS NULL)::BIGINT AS unresolved FROM names LEFT JOIN official o USING (name)"""
 SQL["unresolved_names"] = recursive(_SCORES, _NAMES) + """SELECT name FROM names
   WHERE name NOT IN (SELECT name FROM official)"""
