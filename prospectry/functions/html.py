@@ -11,7 +11,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import WHITESPACE, blank_to_null, strip
+from .strings import blank_to_null, strip
 
 _CUT = "\x01"
 _NOT_TEXT = (
@@ -139,6 +139,6 @@ def mailto_addresses(live: Column) -> Column:
 
 
 __all__ = [
-    "WHITESPACE", "company_name", "decode_entities", "live_markup", "mailto_addresses",
+    "company_name", "decode_entities", "joined_nodes", "live_markup", "mailto_addresses",
     "meta_content", "meta_description", "meta_tags", "page_title", "visible_text",
 ]
