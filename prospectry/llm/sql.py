@@ -1,0 +1,56 @@
+"""The same results in SQL, where SQL can express them."""
+
+SQL = {
+    "op3_curriculum_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+w AS (SELECT *, 1 + (rank - 1) % 3 AS weight FROM r),
+l AS (
+  SELECT *,
+    CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
+      ORDER BY source_size / weight, rank
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_words,
+    CAST(sum(weight) OVER (ORDER BY source_size / weight, rank
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS sharing
+  FROM w),
+c AS (SELECT *, left_words * weight > 3 * source_size * sharing AS capped FROM l),
+f AS (
+  SELECT left_words AS rate_left, sharing AS rate_sharing FROM c WHERE NOT capped
+  ORDER BY source_size / weight, rank LIMIT 1),
+t AS (
+  SELECT source, source_size, rank,
+    CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE)
+      ELSE CAST(weight * rate_left AS DOUBLE) / rate_sharing END AS target
+  FROM c CROSS JOIN f),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, (t.rank - 1) % 3 AS turn,
+    CAST(floor(t.target) AS BIGINT) AS total,
+    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN total // source_size ELSE 0 END AS epochs FROM p),
+x AS (
+  SELECT *, epochs * size + least(size, greatest(0, total - epochs * source_size - start)) AS taken,
+    CASE WHEN target > 0 THEN start / target ELSE 0.0 END AS share
+  FROM e)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN least(1.0, CASE turn
+    WHEN 1 THEN CASE WHEN share < 0.5
+      THEN 0.0 + share * 2.0 / (1.0 + sqrt(1.0))
+      ELSE 0.5 + (share - 0.5) * 2.0 / (1.0 + sqrt(1.0)) END
+    WHEN 0 THEN CASE WHEN share * 0.75 < 0.4375
+      THEN 0.0 + (share * 0.75 - 0.0) * 2.0 / (1.0 + sqrt(1.0 + (share * 0.75 - 0.0) * -1.0))
+      ELSE 0.5 + (share * 0.75 - 0.4375) * 2.0
+        / (0.75 + sqrt(0.5625 + (share * 0.75 - 0.4375) * -1.0)) END
+    ELSE CASE WHEN share * 0.75 < 0.3125
+      THEN 0.0 + (share * 0.75 - 0.0) * 2.0 / (0.5 + sqrt(0.25 + (share * 0.75 - 0.0) * 1.0))
+      ELSE 0.5 + (share * 0.75 - 0.3125) * 2.0
+        / (0.75 + sqrt(0.5625 + (share * 0.75 - 0.3125) * 1.0)) END
+    END) END AS first_position
+FROM x
+""",
+}
