@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum
+from . import curriculum, imatch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op8_imatch": op8_imatch,
 }
