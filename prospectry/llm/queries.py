@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, imatch
+from . import chat, curriculum, imatch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,19 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    marked = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.union(marked)))
+
+
 QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op8_imatch": op8_imatch,
+    "op10_chat_template": op10_chat_template,
 }

@@ -52,5 +52,30 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
         / (0.75 + sqrt(0.5625 + (share * 0.75 - 0.3125) * 1.0)) END
     END) END AS first_position
 FROM x
+""",
+    "op10_chat_template": r"""
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(replace(text, '\', '\'),
+      '(<)(/?s>)|(\[)(/?(?:INST|TEXT)\]|OUT\]|ROLE\])', '\1\3\\2\4', 'g') AS escaped,
+    regexp_replace(replace(role, '\', '\'),
+      '(<)(/?s>)|(\[)(/?(?:INST|TEXT)\]|OUT\]|ROLE\])', '\1\3\\2\4', 'g') AS escaped_role
+  FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text)
+      FILTER (WHERE role = 'assistant'), '') AS loss,
+    3 + sum(length(escaped) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 10
+      ELSE 23 + length(escaped_role) END) AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM g
 """,
 }
