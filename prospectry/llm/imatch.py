@@ -119,11 +119,11 @@ def fingerprints(
 def next_ids(ids: DataFrame) -> DataFrame:
     """``id, next_id``: the next id in descending order, after the smallest the largest.
 
-    ``ids`` has distinct ``id``s. They are compared within blocks of 2^20 ids; a block's smallest
+    ``ids`` has distinct ``id``s. They are compared within blocks of 2^14 ids; a block's smallest
     id is followed by the largest of the next block that has any, found in the same way among
-    blocks and groups of blocks, so that no window sees more than 2^24 rows whatever the ids are.
+    blocks and groups of blocks, so that no window sees more than 2^26 rows whatever the ids are.
     """
-    block, group = F.shiftright("id", 20), F.shiftright("id", 40)
+    block, group = F.shiftright("id", 14), F.shiftright("id", 38)
     inside = Window.partitionBy("block").orderBy(F.col("id").desc())
     within = ids.select("id", block.alias("block")).select(
         "id", F.lead("id").over(inside).alias("next_id")).filter(F.col("next_id").isNotNull())
@@ -147,18 +147,18 @@ def edited_fingerprints(docs: DataFrame, band=BAND, subsets=SUBSETS) -> DataFram
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The next document has the next smaller ``doc_id``, after the last the largest. A null id comes
-    after all others; of rows with one id, the smallest text is what precedes or replaces. Null
+    after all others (it stands where the smallest bigint would); of rows with one id, the smallest text is what precedes or replaces. Null
     texts count as empty; a text without terms has the fingerprint of the empty term list.
     No rows, no result.
     """
     lowest = F.lit(-(1 << 63)).cast("bigint")
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("id"), F.col("doc_id").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"))
     words = written(lexicon(base, band))
     sizes = base.groupBy("id").agg(F.max(F.floor(F.length("text") / 3)).alias("want"))
     links = written(next_ids(sizes.select("id")).join(sizes, "id"))
-    heads = base.select("id", "text").join(
+    heads = base.join(
         links.select(F.col("id").alias("to"), F.col("next_id").alias("id"), "want"), "id"
     ).select(F.col("to").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("want").cast("int")).alias("head")
              ).groupBy("id").agg(F.min("head").alias("head"))
@@ -166,12 +166,12 @@ def edited_fingerprints(docs: DataFrame, band=BAND, subsets=SUBSETS) -> DataFram
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third),
                       F.substring("head", F.lit(1), third))
     both = base.join(heads, "id").select(
-        "id", "doc_id", F.length("text").cast("bigint").alias("n_chars"),
+        "id", F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "text", edited.alias("edited"))
     marks = written(fingerprints(both, ["text", "edited"], words, subsets))
     after = marks.groupBy(F.col("id").alias("next_id")).agg(F.min("text").alias("next_mark"))
     return marks.join(links.select("id", "next_id"), "id").join(after, "next_id").select(
-        "doc_id", "n_chars", "edited_sha256",
+        F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         as_text(F.col("text")).alias("fingerprint"),
         as_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("text"), F.col("edited")).alias("near_edited"),
