@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, imatch
+from . import chat, curriculum, imatch, jaccard_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -40,6 +46,7 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_imatch": op8_imatch,
     "op10_chat_template": op10_chat_template,
 }
