@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, imatch, jaccard_join
+from . import chat, curriculum, decontaminate, imatch, jaccard_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every document that repeats a benchmark item, as it is or edited."""
+    return decontaminate.contaminations(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -47,6 +53,7 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_decontamination": op7_decontamination,
     "op8_imatch": op8_imatch,
     "op10_chat_template": op10_chat_template,
 }
