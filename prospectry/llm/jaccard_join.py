@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents on 5-word shingles, as a join in a metric space.
 
 Jaccard distance is a metric. Documents with one shingle set are one class. A class is known in the
-regions of its prefix shingles: of a set of n, the first n - ceil(0.75 n) + 1 in an order of all
-shingles; two sets with a similarity of 0.75 share a region. The order puts shingles that are
-frequent in the corpus last, so common passages open no regions.
+regions of its prefix shingles: of a set of n, the first n - ceil(0.75 n) + k, k a tenth of n, in an order
+of all shingles; two sets with a similarity of 0.75 share k regions, k that of the smaller set. The
+order puts shingles that are frequent in the corpus last, so common passages open few regions, and
+classes that share fewer than k regions with all others are told from the rest at once.
 
 In each region pivots are chosen and every member's exact distance to them is taken. Members within
 the radius of a pivot are linked to it and leave the region; the others are joined recursively with
@@ -24,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import as_long, list_column, mixed, slices, text_shingles
+from .shingles import as_long, mixed, slices, text_shingles
 from .store import written
 
 SIMILAR = 75  # percent
+SHARED = 10  # percent of a set by which prefixes are longer than they need be, to demand more of them
 #: Cells of the table of shingle counts; its size is fixed, whatever the corpus.
 CELL_BITS = 22
 BLOCKS = 64
@@ -40,33 +42,61 @@ BROADCAST_IDS = 1_000_000
 
 # --- order of shingles ------------------------------------------------------------------------
 
-def shingle_levels(docs: DataFrame) -> np.ndarray:
-    """For each of 2^22 cells of shingle hashes 0, or, where the cell holds clearly more than its
-    even share of all shingles, the logarithm of its count (in quarters of a power of two).
+def _sets(hashes: np.ndarray, begin: np.ndarray) -> Iterator[np.ndarray]:
+    for d in range(len(begin) - 1):
+        yield np.unique(hashes[begin[d]:begin[d + 1]])
 
-    Counts cover all documents: each task counts in a table of fixed size, and tables are summed by
-    block. What reaches the driver has 2^22 bytes at any size of the input.
-    """
+
+def _class(own: np.ndarray) -> np.uint64:
+    """Hash of a set of hashes; 0 for the empty set."""
+    return mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(own))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """Two kinds of rows: ``doc_id, n`` (set size), ``class`` (hash of the set) for each document,
+    and ``block, cells``: for each task, how many shingles fell into each of 2^22 cells."""
     width = (1 << CELL_BITS) // BLOCKS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, waiting, held = np.zeros(1 << CELL_BITS, dtype=np.int64), [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, _ = text_shingles(part.column("text"))
+                hashes, begin = text_shingles(part.column("text"))
+                sizes = np.zeros(part.num_rows, dtype=np.int64)
+                marks = np.zeros(part.num_rows, dtype=np.uint64)
+                for d, own in enumerate(_sets(hashes, begin)):
+                    sizes[d], marks[d] = len(own), _class(own)
                 waiting.append((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 held += len(hashes)
                 if held > 1 << 21:
                     cells += np.bincount(np.concatenate(waiting), minlength=1 << CELL_BITS)
                     waiting, held = [], 0
+                yield pa.record_batch(
+                    [part.column("doc_id"), pa.array(sizes), as_long(marks),
+                     pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())],
+                    names=["doc_id", "n", "class", "block", "cells"])
         if waiting:
             cells += np.bincount(np.concatenate(waiting), minlength=1 << CELL_BITS)
         for block in range(BLOCKS):
             part = np.minimum(cells[block * width:(block + 1) * width], (1 << 32) - 1).astype(np.uint32)
             if part.any():
                 planes = part.view(np.uint8).reshape(-1, 4).T.tobytes()  # zeros together pack well
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([planes], pa.binary())],
-                                      names=["block", "cells"])
+                yield pa.record_batch(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                     pa.array([block], pa.int32()), pa.array([planes], pa.binary())],
+                    names=["doc_id", "n", "class", "block", "cells"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id bigint, n bigint, class bigint, block int, cells binary")
+
+
+def shingle_levels(scan: DataFrame) -> np.ndarray:
+    """For each cell 0, or, where it holds clearly more than its even share of all shingles, the
+    logarithm of its count (in quarters of a power of two).
+
+    Counts cover all documents: each task counted in a table of fixed size, and tables are summed by
+    block. What reaches the driver has a fixed size as well.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -79,8 +109,9 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
                 pa.array(list(sums), pa.int32()),
                 pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
 
-    rows = docs.select("text").mapInArrow(count, "block int, cells binary").repartition(
+    rows = scan.filter("block IS NOT NULL").select("block", "cells").repartition(
         BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()  # 64 blocks
+    width = (1 << CELL_BITS) // BLOCKS
     cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
     for r in rows:
         cells[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(r["cells"], np.int64)
@@ -88,48 +119,45 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
     return np.where(often, 4 * np.log2(np.maximum(cells, 1)), 0).astype(np.uint8)
 
 
+def _share(n):
+    """Shingles that two similar sets must share in their prefixes: a tenth of the smaller set."""
+    return (n * SHARED + 99) // 100
+
+
 def prefix_length(n: int) -> int:
-    return n - (SIMILAR * n + 99) // 100 + 1 if n else 0
+    """The first k common shingles of two similar sets, k = ``_share`` of the smaller one, lie
+    within so many of either set."""
+    return n - (SIMILAR * n + 99) // 100 + _share(n) if n else 0
 
 
-def shingle_sets(docs: DataFrame, levels) -> DataFrame:
-    """``doc_id, n`` (set size), ``class`` (hash of the set), ``prefix`` (its region shingles)."""
+def regions(docs: DataFrame, levels) -> DataFrame:
+    """``region, class`` for the prefix shingles of every document, where a region has two classes
+    or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, begin = text_shingles(part.column("text"))
-                sizes = np.zeros(part.num_rows, dtype=np.int64)
-                marks = np.zeros(part.num_rows, dtype=np.uint64)
-                found, ends = [], np.zeros(part.num_rows + 1, dtype=np.int64)
-                for d in range(part.num_rows):
-                    own = np.unique(hashes[begin[d]:begin[d + 1]])
-                    sizes[d] = n = len(own)
-                    if n:
-                        marks[d] = mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(n)
-                        p = prefix_length(n)
-                        level = table[own >> np.uint64(64 - CELL_BITS)]
-                        first = np.flatnonzero(level == 0)[:p]
-                        if len(first) < p:
-                            late = np.flatnonzero(level)
-                            late = late[np.lexsort((own[late], level[late]))[:p - len(first)]]
-                            first = np.concatenate((first, late))
-                        found.append(own[first])
-                        ends[d + 1] = p
-                yield pa.record_batch([
-                    part.column("doc_id"), pa.array(sizes), as_long(marks),
-                    list_column(np.concatenate(found) if found else np.zeros(0, np.uint64), np.cumsum(ends))],
-                    names=["doc_id", "n", "class", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, class bigint, prefix array<bigint>")
-
-
-def regions(sets: DataFrame) -> DataFrame:
-    """``region, class`` of the regions with two classes or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found, marks, sizes = [], [], []
+                for own in _sets(*text_shingles(part.column("text"))):
+                    if not len(own):
+                        continue
+                    p = prefix_length(len(own))
+                    level = table[own >> np.uint64(64 - CELL_BITS)]
+                    first = np.flatnonzero(level == 0)[:p]
+                    if len(first) < p:
+                        late = np.flatnonzero(level)
+                        late = late[np.lexsort((own[late], level[late]))[:p - len(first)]]
+                        first = np.concatenate((first, late))
+                    found.append(own[first])
+                    marks.append(_class(own))
+                    sizes.append(p)
+                if found:
+                    yield pa.record_batch(
+                        [as_long(np.concatenate(found)), as_long(np.repeat(np.array(marks, np.uint64), sizes))],
+                        names=["region", "class"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, and whether its region has been given out
         for batch in batches:
             if not batch.num_rows:
@@ -142,45 +170,82 @@ def regions(sets: DataFrame) -> DataFrame:
             out = last is not None and last[2]
             r, c = r[new], c[new]
             same = r[1:] == r[:-1]
-            shared = np.zeros(len(r), dtype=bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            last = (r[-1], c[-1], bool(shared[-1]) or (out and r[-1] == r[0] and len(r) == 1))
+            several = np.zeros(len(r), dtype=bool)
+            several[1:] |= same
+            several[:-1] |= same
+            last = (r[-1], c[-1], bool(several[-1]) or (out and r[-1] == r[0] and len(r) == 1))
             if out:
-                shared[0] = False
-            if shared.any():
-                yield pa.record_batch([pa.array(r[shared]), pa.array(c[shared])], names=["region", "class"])
+                several[0] = False
+            if several.any():
+                yield pa.record_batch([pa.array(r[several]), pa.array(c[several])], names=["region", "class"])
+
+    return docs.select("text").mapInArrow(prefixes, "region bigint, class bigint").repartition("region")\
+        .sortWithinPartitions("region", "class").mapInArrow(shared, "region bigint, class bigint")
+
+
+def crowded(lists: DataFrame) -> DataFrame:
+    """``region, class, n`` without the classes that share too few of their prefix shingles with
+    any other class to be similar to one, and without regions that then have one class."""
+    counts = lists.groupBy("class").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    least = F.floor((F.floor((F.col("n") * SIMILAR + 99) / 100) * SHARED + 99) / 100)
+    kept = lists.join(written(counts.filter(F.col("c") >= least).select("class")), "class", "left_semi")
+    several = written(kept.groupBy("region").count().filter("count > 1").select("region"))
+    return written(kept.join(several, "region", "left_semi").select("region", "class", "n"))
 
-    return sets.select(F.explode("prefix").alias("region"), "class").repartition("region")\
-        .sortWithinPartitions("region", "class").mapInArrow(run, "region bigint, class bigint")
 
+# --- exact distances --------------------------------------------------------------------------
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``class, tokens`` (sorted hashes as bytes) of the documents in ``ids`` (``doc_id``)."""
+    """``class, n, parity, tokens`` of the documents in ``ids`` (``doc_id``): the sorted hashes as
+    bytes, and a bit for each of about four cells a shingle: whether its count is odd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, begin = text_shingles(part.column("text"))
-                marks, tokens = np.zeros(part.num_rows, dtype=np.uint64), []
-                for d in range(part.num_rows):
-                    own = np.unique(hashes[begin[d]:begin[d + 1]])
-                    if len(own):
-                        marks[d] = mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(own))
+                marks, sizes, tokens, parity = [], [], [], []
+                for own in _sets(*text_shingles(part.column("text"))):
+                    bits = 4 << max(len(own) - 1, 15).bit_length()
+                    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
                     tokens.append(own.tobytes())
-                yield pa.record_batch([as_long(marks), pa.array(tokens, pa.binary())], names=["class", "tokens"])
+                    marks.append(_class(own))
+                    sizes.append(len(own))
+                yield pa.record_batch(
+                    [as_long(np.array(marks, np.uint64)), pa.array(sizes, pa.int64()),
+                     pa.array(parity, pa.binary()), pa.array(tokens, pa.binary())],
+                    names=["class", "n", "parity", "tokens"])
 
     small = ids.count() <= BROADCAST_IDS
     ids = ids.select(F.col("doc_id").alias("_id"))
     ids = F.broadcast(ids) if small else ids
     chosen = docs.join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    return chosen.select("text").mapInArrow(run, "class bigint, tokens binary")
+    return chosen.select("text").mapInArrow(run, "class bigint, n bigint, parity binary, tokens binary")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``x, p`` to ``x, p, shared, united``: exact sizes of intersection and union."""
+def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``x, p, shared, united`` of the ``pairs`` (``x, p``) with a similarity of ``percent`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Cells with odd counts on one side only are at most as many as the shingles of one side only:
+    pairs that have too many are told apart by their bits, and only the others' sets are moved.
+    """
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, both in zip(batch["a"], batch["b"], batch["both"].to_pylist(), strict=True):
+                a, b = a.as_py(), b.as_py()
+                if len(a) < len(b):
+                    a, b = b, a
+                bits = int.from_bytes(a, "little")
+                while len(a) > len(b):  # fold to the coarser one's cells
+                    half = len(a) // 2
+                    bits = (bits >> (8 * half)) ^ (bits & ((1 << (8 * half)) - 1))
+                    a = a[:half]
+                differ = (bits ^ int.from_bytes(b, "little")).bit_count()
+                keep.append(differ * (100 + percent) <= both * (100 - percent))
+            yield batch.select(["x", "p"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, united = [], []
             for a, b in zip(batch["a"], batch["b"], strict=True):
@@ -189,54 +254,62 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
-                both = int((b[at] == a).sum()) if len(b) else 0
+                both = int((b[at] == a).sum())
                 shared.append(both)
                 united.append(len(a) + len(b) - both)
             yield pa.record_batch([batch["x"], batch["p"], pa.array(shared, pa.int64()), pa.array(united, pa.int64())],
                                   names=["x", "p", "shared", "united"])
 
-    left = sets.select(F.col("class").alias("x"), F.col("tokens").alias("a"))
-    right = sets.select(F.col("class").alias("p"), F.col("tokens").alias("b"))
-    return pairs.join(left, "x").join(right, "p").select("x", "p", "a", "b").mapInArrow(
-        run, "x bigint, p bigint, shared bigint, united bigint")
+    def sides(of: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+        return (of.select(F.col("class").alias("x"), F.col("n").alias("nx"), F.col(value).alias("a")),
+                of.select(F.col("class").alias("p"), F.col("n").alias("np"), F.col(value).alias("b")))
+
+    left, right = sides(sets, "parity")
+    likely = written(
+        pairs.join(left, "x").join(right, "p").filter(
+            (F.col("nx") * 100 >= F.col("np") * percent) & (F.col("np") * 100 >= F.col("nx") * percent)
+        ).select("x", "p", "a", "b", (F.col("nx") + F.col("np")).alias("both")
+                 ).mapInArrow(plausible, "x bigint, p bigint"))
+    used = written(likely.select(F.explode(F.array("x", "p")).alias("class")).distinct())
+    left, right = sides(sets.join(F.broadcast(used) if used.count() <= BROADCAST_IDS else used, "class", "left_semi"), "tokens")
+    return likely.join(left, "x").join(right, "p").select("x", "p", "a", "b").mapInArrow(
+        exact, "x bigint, p bigint, shared bigint, united bigint").filter(
+        F.col("shared") * 100 >= F.col("united") * percent)
 
 
 def _linked() -> Column:
     return F.col("shared") * 100 >= F.col("united") * SIMILAR
 
 
-def _near() -> Column:
-    """Within twice the radius."""
-    return F.col("shared") * 100 >= F.col("united") * (2 * SIMILAR - 100)
-
-
 def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """``x, p, shared, united`` of all comparisons with pivots, until no region is open."""
+    """``x, p, shared, united`` of all pairs within twice the radius that were compared, x > p,
+    until no region is open."""
     known, turn = None, 0
     while True:
-        sized = lists.groupBy("region").agg(F.count("*").alias("m"))
-        members = lists.join(written(sized), "region")
-        small = members.filter(F.col("m") <= (2 if turn == 0 else SMALL_REGION))
-        large = members.filter(F.col("m") > (2 if turn == 0 else SMALL_REGION))
-        direct = small.select("region", F.col("class").alias("x")).join(
-            small.select("region", F.col("class").alias("p")), "region").filter("p < x")
+        sized = written(lists.groupBy("region").agg(F.count("*").alias("m")))
+        members = lists.join(sized, "region")
+        most = 2 if turn == 0 else SMALL_REGION
+        small, large = members.filter(F.col("m") <= most), members.filter(F.col("m") > most)
+        direct = small.select("region", F.col("class").alias("x"), F.col("n").alias("nx")).join(
+            small.select("region", F.col("class").alias("p"), F.col("n").alias("np")), "region").filter(
+            (F.col("p") < F.col("x")) & (F.col("nx") * 100 >= F.col("np") * SIMILAR)
+            & (F.col("np") * 100 >= F.col("nx") * SIMILAR))
         order = F.struct(F.xxhash64("class", F.lit(turn)), "class")
         # one pivot first, which settles groups of copies; then one for each of several parts
         part = F.pmod(F.xxhash64("class", F.lit(-turn)), F.lit(1 if turn == 0 else PIVOTS))
         pivots = written(large.groupBy("region", part.alias("part")).agg(
             F.min(order)["class"].alias("p")).select("region", "p"))
-        rivals = written(large.select("region", F.col("class").alias("x")).join(pivots, "region").filter("x <> p"))
-        pairs = direct.select("x", "p").union(
-            rivals.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["x", "p"], "left_anti")
-        fresh = written(overlaps(pairs, sets))
+        rivals = written(large.select("region", F.col("class").alias("x")).join(pivots, "region").filter(
+            "x <> p").select("region", "x", "p", F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")))
+        fresh = near_pairs(direct.select("x", "p").distinct(), sets, SIMILAR).union(
+            near_pairs(rivals.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct(), sets, 2 * SIMILAR - 100))
         known = fresh if known is None else known.union(fresh)
-        gone = written(rivals.withColumns({"a": F.greatest("x", "p"), "b": F.least("x", "p")}).join(
+        known = written(known.distinct())
+        gone = written(rivals.join(
             known.filter(_linked()).select(F.col("x").alias("a"), F.col("p").alias("b")), ["a", "b"])
             .select("region", F.col("x").alias("class")).union(pivots.toDF("region", "class")).distinct())
-        rest = large.select("region", "class").join(gone, ["region", "class"], "left_anti")
-        open_regions = rest.groupBy("region").count().filter("count > 1").select("region")
+        rest = large.select("region", "class", "n").join(gone, ["region", "class"], "left_anti")
+        open_regions = written(rest.groupBy("region").count().filter("count > 1").select("region"))
         lists = written(rest.join(open_regions, "region", "left_semi"))
         turn += 1
         if lists.isEmpty():
@@ -248,14 +321,14 @@ def _boundaries(known: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFram
     both = written(known.union(known.select(F.col("p").alias("x"), F.col("x").alias("p"), "shared", "united")))
     distance = 1 - F.col("shared") / F.col("united")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    outside = both.filter(_near() & ~_linked()).select("x", "p", distance.alias("d")).join(
+    outside = both.filter(~_linked()).select("x", "p", distance.alias("d")).join(
         root("x"), "x", "left").join(root("p"), "p").filter(
         ~F.coalesce("x_root", "x").eqNullSafe(F.col("p_root"))).select("p", F.col("x").alias("y"), "d")
     ball = both.filter(_linked()).select("p", "x", distance.alias("e"))
     pairs = written(outside).join(ball, "p").filter(
         (F.abs(F.col("d") - F.col("e")) <= (100 - SIMILAR) / 100 + 1e-9) & (F.col("x") != F.col("y"))
     ).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
-    return overlaps(pairs.join(known, ["x", "p"], "left_anti"), sets)
+    return near_pairs(pairs.join(known, ["x", "p"], "left_anti"), sets, SIMILAR)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -270,14 +343,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    levels = spark.sparkContext.broadcast(shingle_levels(docs))
-    sets = written(shingle_sets(docs, levels))
-    lists = written(regions(sets.filter("n > 0")))
-    candidates = written(sets.join(lists.select("class").distinct(), "class", "left_semi")
-                         .groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    whole = written(whole_sets(docs, candidates.select("doc_id")).join(
-        candidates.select("class"), "class", "left_semi").dropDuplicates(["class"]))
-    known = written(_rounds(lists, whole))
+    scan = written(scanned(docs))
+    levels = spark.sparkContext.broadcast(shingle_levels(scan))
+    sets = scan.filter("block IS NULL").select("doc_id", "n", "class")
+    classes = sets.groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    lists = written(regions(docs, levels))
+    lists = lists.join(written(classes), "class").select("region", "class", "n")
+    lists = crowded(crowded(lists))
+    candidates = written(classes.join(lists.select("class").distinct(), "class", "left_semi"))
+    whole = written(whole_sets(docs, candidates.select("doc_id")))
+    known = _rounds(lists, whole)
     links = known.filter(_linked()).select(F.col("x").alias("u"), F.col("p").alias("v"))
     roots = written(components(links))
     late = written(_boundaries(known, roots, whole).filter(_linked()).select(
