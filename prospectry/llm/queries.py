@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, decontaminate, imatch, jaccard_join
+from . import chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay."""
+    return fuzzy_lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc.doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select(
@@ -52,6 +58,7 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_imatch": op8_imatch,
