@@ -107,16 +107,18 @@ def shingle_levels(scan: DataFrame) -> np.ndarray:
         if sums:
             yield pa.record_batch([
                 pa.array(list(sums), pa.int32()),
-                pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
+                pa.array([np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in sums.values()],
+                         pa.binary())], names=["block", "cells"])
 
     rows = scan.filter("block IS NOT NULL").select("block", "cells").repartition(
         BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()  # 64 blocks
     width = (1 << CELL_BITS) // BLOCKS
-    cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    for r in rows:
-        cells[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(r["cells"], np.int64)
-    often = cells > 2 * cells.mean() + 16
-    return np.where(often, 4 * np.log2(np.maximum(cells, 1)), 0).astype(np.uint8)
+    blocks = {r["block"]: np.frombuffer(r["cells"], np.uint32) for r in rows}
+    often = 2 * sum(int(x.sum(dtype=np.int64)) for x in blocks.values()) / (1 << CELL_BITS) + 16
+    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    for block, x in blocks.items():
+        levels[block * width:(block + 1) * width] = np.where(x > often, 4 * np.log2(np.maximum(x, 1)), 0)
+    return levels
 
 
 def _share(n):
@@ -295,8 +297,9 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
             (F.col("p") < F.col("x")) & (F.col("nx") * 100 >= F.col("np") * SIMILAR)
             & (F.col("np") * 100 >= F.col("nx") * SIMILAR))
         order = F.struct(F.xxhash64("class", F.lit(turn)), "class")
-        # one pivot first, which settles groups of copies; then one for each of several parts
-        part = F.pmod(F.xxhash64("class", F.lit(-turn)), F.lit(1 if turn == 0 else PIVOTS))
+        # one pivot first, which settles groups of copies; then one for each of ever more parts
+        parts = 1 if turn == 0 else PIVOTS * 4 ** (turn - 1)
+        part = F.pmod(F.xxhash64("class", F.lit(-turn)), F.lit(parts))
         pivots = written(large.groupBy("region", part.alias("part")).agg(
             F.min(order)["class"].alias("p")).select("region", "p"))
         rivals = written(large.select("region", F.col("class").alias("x")).join(pivots, "region").filter(
