@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shingles import buffers, mixed, slices, word_hashes
 
@@ -189,8 +190,9 @@ def _marked(docs: DataFrame, ids: list, texts: list, keep: list[str], hits: str)
                 yield pa.record_batch(
                     [part.column(c) for c in keep] + [pa.array(per, kind)], names=[*keep, hits])
 
-    schema = schema.add(hits, "array<struct<item_id: bigint, edits: int, start: bigint, stop: bigint>>")
-    return docs.mapInArrow(run, schema)
+    found = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()),
+                          T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    return docs.mapInArrow(run, schema.add(hits, T.ArrayType(found)))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are sets of character shingles (eight code points; a shorter line is one shingle). A signature
-of 30 minima, in 10 bands of 3, finds lines that may be alike; pairs that collide are verified by the
+of 24 minima, in 8 bands of 3, finds lines that may be alike; pairs that collide are verified by the
 exact Jaccard similarity of all their shingles; connected components of the verified pairs keep one
 line, the first of the corpus by ``(doc_id, position)``.
 
@@ -23,7 +23,7 @@ from .store import written
 
 SHINGLE = 8
 SIMILAR = 75  # percent
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 8, 3
 #: Tables of keys up to so many rows are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LAST = (1 << 63) - 1
@@ -69,8 +69,8 @@ def buckets(lines: DataFrame) -> DataFrame:
 
 def _shingle_hashes(line: str) -> Column:
     count = f"greatest(length(`{line}`) - {SHINGLE - 1}, 1)"
-    return F.expr(f"transform(array(encode(`{line}`, 'UTF-32')), b -> array_distinct(transform("
-                  f"sequence(0, {count} - 1), i -> xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE})))))[0]")
+    return F.expr(f"transform(array(encode(`{line}`, 'UTF-32')), _raw -> array_distinct(transform("
+                  f"sequence(0, {count} - 1), _i -> xxhash64(substring(_raw, 4 * _i + 1, {4 * SHINGLE})))))[0]")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
