@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join
+from . import chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join, language, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predicted(docs, ["doc_id"]).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target, the words the mix takes of it and the position of
     its first pass, in training order (those not taken last)."""
@@ -57,6 +69,8 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_language": op2_language,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op6_jaccard_join": op6_jaccard_join,
