@@ -5,8 +5,8 @@ of 24 minima, in 8 bands of 3, finds lines that may be alike; pairs that collide
 exact Jaccard similarity of all their shingles; connected components of the verified pairs keep one
 line, the first of the corpus by ``(doc_id, position)``.
 
-Minima are taken over the shingles that begin a word, a sixth of all, which have the same similarity
-on average; lines with few word beginnings use all shingles. Minimum number m is the hash that is
+Minima are taken over the shingles that begin a word (after a space), a sixth of all, which have the
+same similarity on average; lines with few spaces use all shingles. Minimum number m is the hash that is
 least after an exclusive or with a mask of its own.
 
 Only DataFrame functions. Lines are known by 64-bit hashes; equal lines are one line from the start,
@@ -15,6 +15,9 @@ so a line that a third of all documents share is one row in all but the last ste
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ SIMILAR = 75  # percent
 BANDS, ROWS = 8, 3
 #: Tables of keys up to so many rows are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+SMALL_BUCKET, LEADERS = 32, 8
 _LAST = (1 << 63) - 1
 
 
@@ -36,25 +40,26 @@ def _bounded(df: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc, pos, line, id`` of all lines that are not blank; a null id is the largest."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc")
+    blank = F.btrim(F.col("line"), F.lit(" \t\r\x0b\x0c")) == ""
     return docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
-        F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").withColumn("id", F.xxhash64("line"))
-
-
-def _sampled_shingles(line: Column) -> Column:
-    begin = F.regexp_extract_all(line, F.lit(f"(?=(?:^| )(.{{{SHINGLE}}}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(f"(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).when(
-        F.size(begin) * 24 < F.length(line), every).otherwise(begin)
+        ~blank).withColumn("id", F.xxhash64("line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """``id, first_doc, copies, n`` (code points) and ``bands`` (keys) of each distinct line."""
-    masks = [(m << 27) - (1 << 31) for m in range(BANDS * ROWS)]
-    hashed = lines.select("id", "doc", F.length("line").alias("n"), "pos", _sampled_shingles(F.col("line")).alias("s")).select(
-        "id", "doc", "n", F.posexplode("s").alias("at", "s")).select(
-        "id", "doc", "n", "at", F.hash("s").alias("h"))
+    words, n = F.split("line", " "), F.length("line")
+    few = F.size(words) * 24 < n
+    units = lines.select("id", "doc", n.alias("n"), words.alias("w"), F.encode("line", "UTF-32").alias("raw"),
+                         few.alias("few"),
+                         F.when(few, F.greatest(n - (SHINGLE - 1), F.lit(1))).otherwise(F.size(words)).alias("m"))
+    places = units.select("*", F.expr("explode(sequence(0, m - 1)) AS i"))
+    hashed = places.select("id", "doc", "n", "i", F.expr(
+        f"if(few, hash(substring(raw, 4 * i + 1, {4 * SHINGLE})),"
+        f" hash(left(array_join(slice(w, i + 1, {SHINGLE}), ' '), {SHINGLE})))").alias("h"))
+    # the masks of one band lie far apart, so that even a short line gives it different shingles
+    masks = [((r * BANDS + b) << 27) - (1 << 31) for b in range(BANDS) for r in range(ROWS)]
     minima = hashed.groupBy("id").agg(
-        F.min("doc").alias("first_doc"), F.count_if(F.col("at") == 0).alias("copies"), F.max("n").alias("n"),
+        F.min("doc").alias("first_doc"), F.count_if(F.col("i") == 0).alias("copies"), F.max("n").alias("n"),
         *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return minima.select("id", "first_doc", "copies", "n", F.array(*bands).alias("bands"))
@@ -83,23 +88,43 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * SIMILAR).select("u", "v")
 
 
-def links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``u, v``: verified pairs. In each bucket all lines are compared with one leader; those that
-    are alike leave with it, the others go on with the next leader until no bucket has two."""
-    found = None
+def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``u, v``: verified pairs of ``members`` (``key, id, n``, n a length). In each bucket all are
+    compared with one leader; those that ``verify`` finds alike leave with it. The others are
+    compared among themselves where a bucket has few, and else go on with ever more leaders."""
+    found, turn = [], 0
     while True:
-        leaders = written(members.groupBy("key").agg(F.min(F.struct("n", "id")).alias("lead")).select(
-            "key", F.col("lead.id").alias("v"), F.col("lead.n").alias("nv")))
+        if turn:
+            sized = written(members.groupBy("key").agg(F.count("*").alias("m")))
+            members = members.join(sized, "key")
+            small = members.filter(F.col("m") <= SMALL_BUCKET)
+            direct = small.select("key", F.col("id").alias("u")).join(
+                small.select("key", F.col("id").alias("v")), "key").filter("v < u").select("u", "v").distinct()
+            # what one leader has joined already needs no more comparing
+            direct = direct.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(
+                F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+            members = members.filter(F.col("m") > SMALL_BUCKET).select("key", "id", "n")
+        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(LEADERS * 4 ** (turn - 1) if turn else 1))
+        leaders = written(members.groupBy("key", part.alias("part")).agg(
+            F.min(F.struct("n", "id")).alias("lead")).select("key", F.col("lead.id").alias("v")))
         rivals = written(members.join(leaders, "key").filter(F.col("id") != F.col("v")))
-        # a set of k shingles has at most k in common: lengths tell most pairs apart
-        sized = rivals.filter((F.col("nv") - (SHINGLE - 1)) * 100 >= (F.col("n") - (SHINGLE - 1)) * (SIMILAR // 2))
-        alike = written(verified(sized.select(F.col("id").alias("u"), "v").distinct(), texts))
-        found = alike if found is None else found.union(alike)
-        rest = rivals.join(alike.withColumnRenamed("u", "id"), ["id", "v"], "left_anti").select("key", "id", "n")
+        pairs = rivals.select(F.col("id").alias("u"), "v")
+        alike = written(verify((pairs.union(direct) if turn else pairs).distinct()))
+        found.append(alike)
+        if not turn:
+            joined = written(alike.groupBy("u").agg(F.min("v").alias("to")))
+
+            def of(side: str, joined: DataFrame = joined) -> DataFrame:
+                return joined.select(F.col("u").alias(side), F.col("to").alias(f"of_{side}"))
+
+        gone = written(rivals.join(alike.withColumnRenamed("u", "id"), ["id", "v"]).select("key", "id").union(
+            leaders.select("key", F.col("v").alias("id"))).distinct())
+        rest = members.join(gone, ["key", "id"], "left_anti")
         open_buckets = written(rest.groupBy("key").count().filter("count > 1").select("key"))
         members = written(rest.join(open_buckets, "key", "left_semi"))
         if members.isEmpty():
-            return found
+            return reduce(DataFrame.union, found)
+        turn += 1
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -109,7 +134,7 @@ def removals(docs: DataFrame) -> DataFrame:
     members = written(buckets(known))
     wanted = _bounded(written(members.select("id").distinct()))
     texts = written(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
-    groups = written(components(links(members, texts)))
+    groups = written(components(links(members, lambda pairs: verified(pairs, texts))))
     mates = known.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
     keepers = mates.groupBy("root").agg(F.min("first_doc").alias("keeper"), F.sum("copies").alias("all"))

@@ -197,6 +197,22 @@ def crowded(lists: DataFrame) -> DataFrame:
 
 # --- exact distances --------------------------------------------------------------------------
 
+def set_columns(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Class and size of each set."""
+    return as_long(np.array([_class(own) for own in sets], np.uint64)), pa.array([len(own) for own in sets], pa.int64())
+
+
+def set_rows(sets: list[np.ndarray]) -> pa.RecordBatch:
+    tokens, parity = [], []
+    for own in sets:
+        bits = 4 << max(len(own) - 1, 15).bit_length()
+        odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        tokens.append(own.tobytes())
+    return pa.record_batch([*set_columns(sets), pa.array(parity, pa.binary()), pa.array(tokens, pa.binary())],
+                           names=["class", "n", "parity", "tokens"])
+
+
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``class, n, parity, tokens`` of the documents in ``ids`` (``doc_id``): the sorted hashes as
     bytes, and a bit for each of about four cells a shingle: whether its count is odd."""
@@ -204,18 +220,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                marks, sizes, tokens, parity = [], [], [], []
-                for own in _sets(*text_shingles(part.column("text"))):
-                    bits = 4 << max(len(own) - 1, 15).bit_length()
-                    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                    parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-                    tokens.append(own.tobytes())
-                    marks.append(_class(own))
-                    sizes.append(len(own))
-                yield pa.record_batch(
-                    [as_long(np.array(marks, np.uint64)), pa.array(sizes, pa.int64()),
-                     pa.array(parity, pa.binary()), pa.array(tokens, pa.binary())],
-                    names=["class", "n", "parity", "tokens"])
+                yield set_rows(list(_sets(*text_shingles(part.column("text")))))
 
     small = ids.count() <= BROADCAST_IDS
     ids = ids.select(F.col("doc_id").alias("_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join, language, quality
+from . import chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join, language, paragraphs, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated paragraph and passage of all documents but the first of each."""
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select(
@@ -57,6 +62,11 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion records of all pages."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select(
@@ -73,8 +83,10 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_fuzzy_lines": op4_fuzzy_lines,
+    "op5_paragraphs": op5_paragraphs,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_imatch": op8_imatch,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_chat_template": op10_chat_template,
 }
