@@ -186,13 +186,25 @@ def regions(docs: DataFrame, levels) -> DataFrame:
 
 
 def crowded(lists: DataFrame) -> DataFrame:
-    """``region, class, n`` without the classes that share too few of their prefix shingles with
-    any other class to be similar to one, and without regions that then have one class."""
-    counts = lists.groupBy("class").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    least = F.floor((F.floor((F.col("n") * SIMILAR + 99) / 100) * SHARED + 99) / 100)
-    kept = lists.join(written(counts.filter(F.col("c") >= least).select("class")), "class", "left_semi")
+    """``region, class, n, s`` without regions that have one class.
+
+    Prefix shingles of no region are in no other set, so a class has at most ``s`` shingles, all but
+    those, in common with any other. Classes for which that is too few to be similar go.
+    """
+    prefix = F.col("n") - F.floor((F.col("n") * SIMILAR + 99) / 100) + F.floor((F.col("n") * SHARED + 99) / 100)
+    counts = lists.groupBy("class").agg(F.count("*").alias("c"), F.first("n").alias("n")).withColumn(
+        "s", F.col("n") - prefix + F.col("c"))
+    kept = lists.select("region", "class", "n").join(
+        written(counts.filter(F.col("s") * 100 >= F.col("n") * SIMILAR).select("class", "s")), "class")
     several = written(kept.groupBy("region").count().filter("count > 1").select("region"))
-    return written(kept.join(several, "region", "left_semi").select("region", "class", "n"))
+    return written(kept.join(several, "region", "left_semi").select("region", "class", "n", "s"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether classes with sizes n, m and at most s, r shingles in common with others can have a
+    similarity of ``percent``."""
+    most = F.least("s", "r")
+    return most * 100 >= (F.col("n") + F.col("m") - most) * percent
 
 
 # --- exact distances --------------------------------------------------------------------------
@@ -291,32 +303,43 @@ def _linked() -> Column:
 def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """``x, p, shared, united`` of all pairs within twice the radius that were compared, x > p,
     until no region is open."""
-    known, turn = None, 0
+    known, turn, near = None, 0, 2 * SIMILAR - 100
     while True:
-        sized = written(lists.groupBy("region").agg(F.count("*").alias("m")))
-        members = lists.join(sized, "region")
+        sized = written(lists.groupBy("region").agg(F.count("*").alias("many")))
         most = 2 if turn == 0 else SMALL_REGION
-        small, large = members.filter(F.col("m") <= most), members.filter(F.col("m") > most)
-        direct = small.select("region", F.col("class").alias("x"), F.col("n").alias("nx")).join(
-            small.select("region", F.col("class").alias("p"), F.col("n").alias("np")), "region").filter(
-            (F.col("p") < F.col("x")) & (F.col("nx") * 100 >= F.col("np") * SIMILAR)
-            & (F.col("np") * 100 >= F.col("nx") * SIMILAR))
-        order = F.struct(F.xxhash64("class", F.lit(turn)), "class")
-        # one pivot first, which settles groups of copies; then one for each of ever more parts
-        parts = 1 if turn == 0 else PIVOTS * 4 ** (turn - 1)
-        part = F.pmod(F.xxhash64("class", F.lit(-turn)), F.lit(parts))
+        members = lists.join(sized, "region")
+        small = members.filter(F.col("many") <= most).drop("many")
+        large = members.filter(F.col("many") > most).drop("many")
+        direct = small.withColumnRenamed("class", "x").join(
+            small.select(F.col("region").alias("of"), F.col("class").alias("p"), F.col("n").alias("m"), F.col("s").alias("r")),
+            (F.col("region") == F.col("of")) & (F.col("p") < F.col("x")) & _possible(SIMILAR)).select("x", "p")
+        # an original shares more of its shingles than its edited copies do, so it comes first;
+        # one pivot at first, which settles groups of copies, then one for each of ever more parts
+        order = F.struct(-F.col("s") / F.col("n"), F.xxhash64("class", F.lit(turn)), "class")
+        part = F.pmod(F.xxhash64("class", F.lit(-turn)), F.lit(1 if turn == 0 else PIVOTS * 4 ** (turn - 1)))
         pivots = written(large.groupBy("region", part.alias("part")).agg(
-            F.min(order)["class"].alias("p")).select("region", "p"))
-        rivals = written(large.select("region", F.col("class").alias("x")).join(pivots, "region").filter(
-            "x <> p").select("region", "x", "p", F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")))
-        fresh = near_pairs(direct.select("x", "p").distinct(), sets, SIMILAR).union(
-            near_pairs(rivals.select(F.col("a").alias("x"), F.col("b").alias("p")).distinct(), sets, 2 * SIMILAR - 100))
-        known = fresh if known is None else known.union(fresh)
-        known = written(known.distinct())
-        gone = written(rivals.join(
-            known.filter(_linked()).select(F.col("x").alias("a"), F.col("p").alias("b")), ["a", "b"])
-            .select("region", F.col("x").alias("class")).union(pivots.toDF("region", "class")).distinct())
-        rest = large.select("region", "class", "n").join(gone, ["region", "class"], "left_anti")
+            F.min(F.struct(order.alias("o"), F.col("class").alias("p"), F.col("n").alias("m"), F.col("s").alias("r"))).alias("v")
+        ).select(F.col("region").alias("of"), "v.p", "v.m", "v.r"))
+
+        def rivals(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+            pairs = members.withColumnRenamed("class", "x").join(
+                pivots, (F.col("region") == F.col("of")) & (F.col("x") != F.col("p")) & _possible(percent))
+            return written(pairs.select("region", "x", "p", F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")))
+
+        def pairs_of(found: DataFrame) -> DataFrame:
+            return found.select(F.col("a").alias("x"), F.col("b").alias("p"))
+
+        tried = rivals(large, pivots, SIMILAR)
+        linked = written(near_pairs(direct.union(pairs_of(tried)).distinct(), sets, SIMILAR))
+        balls = written(tried.join(linked.select(F.col("x").alias("a"), F.col("p").alias("b")), ["a", "b"]))
+        gone = written(balls.select("region", F.col("x").alias("class")).union(
+            pivots.select("of", F.col("p").alias("class"))).distinct())
+        rest = large.join(gone, ["region", "class"], "left_anti")
+        # only where members have left with a pivot can others be at the boundary of its ball
+        centres = pivots.join(written(balls.select(F.col("region").alias("of"), "p").distinct()), ["of", "p"])
+        edges = near_pairs(pairs_of(rivals(rest, centres, near)).distinct(), sets, near)
+        fresh = linked.union(edges)
+        known = written((fresh if known is None else known.union(fresh)).distinct())
         open_regions = written(rest.groupBy("region").count().filter("count > 1").select("region"))
         lists = written(rest.join(open_regions, "region", "left_semi"))
         turn += 1
@@ -357,7 +380,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = sets.groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     lists = written(regions(docs, levels))
     lists = lists.join(written(classes), "class").select("region", "class", "n")
-    lists = crowded(crowded(lists))
+    lists = crowded(lists)
     candidates = written(classes.join(lists.select("class").distinct(), "class", "left_semi"))
     whole = written(whole_sets(docs, candidates.select("doc_id")))
     known = _rounds(lists, whole)
