@@ -41,10 +41,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of near duplicates the document with the smallest id stays. Rows
     that repeat an id and its words are one document; documents without words all stay."""
-    found = written(jaccard_join.jaccard_components(docs))
+    found, other = written(jaccard_join.jaccard_components(docs)), "gone_id"
+    while other in docs.columns:
+        other += "_"
     gone = found.filter(F.col("n_shingles") > 0).filter(
-        ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_anti")
+        ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(other)), "left_anti")
     twice = found.filter("n_shingles > 0").groupBy("doc_id", "class").count().filter("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

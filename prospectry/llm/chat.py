@@ -59,7 +59,7 @@ _words = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Z
 _BINARY = {
     "==": (1, operator.eq), "!=": (1, operator.ne), "<": (1, operator.lt), ">": (1, operator.gt),
     "<=": (1, operator.le), ">=": (1, operator.ge), "in": (1, lambda a, b: a in b),
-    "+": (2, operator.add), "~": (2, lambda a, b: f"{a}{b}"),
+    "~": (2, lambda a, b: f"{_shown(a)}{_shown(b)}"), "+": (3, operator.add),
 }
 _FILTERS: dict[str, Callable] = {
     "escape": lambda x: escape(str(x)), "trim": lambda x: str(x).strip(),
@@ -116,10 +116,10 @@ class _Expression:
         return self.binary(1)
 
     def binary(self, level: int):
-        node = self.binary(level + 1) if level < 2 else self.filtered()
+        node = self.binary(level + 1) if level < 3 else self.filtered()
         while self.peek() in _BINARY and _BINARY[self.peek()][0] == level:
             sign = self.take()[1]
-            node = ("binary", sign, node, self.binary(level + 1) if level < 2 else self.filtered())
+            node = ("binary", sign, node, self.binary(level + 1) if level < 3 else self.filtered())
         return node
 
     def filtered(self):
