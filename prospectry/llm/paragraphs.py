@@ -68,7 +68,7 @@ def _paragraphs(part: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarra
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc, start, stop`` (code points), ``class`` (hash of the shingle set), ``n``, ``bands``."""
+    """``doc, start, stop`` (code points), ``class`` (hash of the shingle set), ``n``, ``bands``, ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,16 +81,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     bands = mixed(mixed(least[:, 0]) + least[:, 1] * _PLACES[0] + least[:, 2] * _PLACES[1]
                                   + np.arange(BANDS, dtype=np.uint64) * _BASE)
                     a, b = _chars(data, int(at[row]), np.array([start, stop]))
-                    rows.append((ids[row], int(a), int(b), own, bands.view(np.int64).tolist()))
+                    sig = (least.ravel() & np.uint64(255)).astype(np.uint8).view(np.int64)  # a byte of each minimum
+                    rows.append((ids[row], int(a), int(b), own, bands.view(np.int64).tolist(), sig.tolist()))
                 if rows:
                     marks, sizes = set_columns([r[3] for r in rows])
                     yield pa.record_batch(
                         [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                          pa.array([r[2] for r in rows], pa.int64()), marks, sizes,
-                         pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
-                        names=["doc", "start", "stop", "class", "n", "bands"])
+                         pa.array([r[4] for r in rows], pa.list_(pa.int64())), pa.array([r[5] for r in rows], pa.list_(pa.int64()))],
+                        names=["doc", "start", "stop", "class", "n", "bands", "sig"])
 
-    return docs.mapInArrow(run, "doc bigint, start bigint, stop bigint, class bigint, n bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "doc bigint, start bigint, stop bigint, class bigint, n bigint,"
+                                " bands array<bigint>, sig array<bigint>")
 
 
 def paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -111,9 +113,9 @@ def paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
 def paragraph_removals(docs: DataFrame) -> DataFrame:
     found = written(paragraphs(docs))
     classes = found.groupBy("class").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"), F.min("doc").alias("doc"))
+        F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min("doc").alias("doc"))
     classes = written(classes)
-    keys = classes.select(F.explode("bands").alias("key"), F.col("class").alias("id"), "n")
+    keys = classes.select(F.explode("bands").alias("key"), F.col("class").alias("id"), "n", "sig")
     several = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
     members = written(keys.join(written(several), "key", "left_semi"))
     wanted = written(members.select(F.col("id").alias("class")).distinct())
