@@ -9,8 +9,8 @@ from .. import schemas
 from ..functions.strings import blank_to_null
 from .leads import TableChange
 
-HISTORY_ROW = 4_096
-_HISTORY_BITS = 12
+#: A lead's messages are nested by blocks of 2^12 log ids, so no row ever holds more.
+HISTORY_BITS = 12
 _HISTORY_FIELDS = ("id", "created_at", "delivery", "to_email", "step", "error")
 
 
@@ -42,21 +42,16 @@ def lead_by_id(leads: DataFrame, lead_id: int) -> DataFrame:
 def lead_history(leads: DataFrame, outreach: DataFrame) -> DataFrame:
     """Leads with their messages nested in log order.
 
-    One row per lead; only the history of a lead with more than ``HISTORY_ROW`` messages goes on
-    over several rows, numbered by ``part``, each holding the messages of one block of ids.
+    One row for each lead and each block of log ids (``part``) that has messages of it, however
+    many there are; a lead without messages has one row, of part 0.
     """
-    counts = outreach.groupBy("lead_id").agg(F.count("*").alias("_n"))
-    parted = outreach.join(counts, "lead_id").withColumn(
-        "part",
-        F.when(F.col("_n") <= HISTORY_ROW, F.lit(0).cast("bigint"))
-        .otherwise(F.shiftright("id", _HISTORY_BITS)))
-    # parts of one lead go to different tasks, which also leaves the join above free to split it
-    nested = parted.repartition("lead_id", "part").groupBy("lead_id", "part").agg(
+    parted = outreach.withColumn("part", F.shiftright("id", HISTORY_BITS))
+    nested = parted.groupBy("lead_id", "part").agg(
         F.array_sort(F.collect_list(F.struct(*_HISTORY_FIELDS))).alias("history"))
     joined = leads.join(nested.withColumnRenamed("lead_id", "id"), "id", "left")
     empty = F.array().cast(nested.schema["history"].dataType)
     return joined.select(
-        *leads.columns, F.coalesce("part", F.lit(0)).alias("part"),
+        *leads.columns, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
         F.coalesce("history", empty).alias("history"))
 
 

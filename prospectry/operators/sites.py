@@ -28,28 +28,32 @@ def candidate_page_urls(domains: DataFrame, rules: RuleSet = DEFAULT_RULES) -> D
         F.concat(F.lit("https://"), "domain", path).alias("url"))
 
 
-def candidate_pages(pages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Stored pages that are a domain's candidate pages, one per path (the lowest ``page_id``).
-
-    ``ord`` is the rank of the path, so a site never has more pages than there are paths. The
-    choice combines before the shuffle: many copies of one path cost one row per map task.
-    """
+def pages_on_paths(pages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """Readable pages on the candidate paths of their domain; ``ord`` is the rank of the path."""
     path = F.regexp_replace(urls.url_path(F.col("url")), r"/+\z", "")
     located = readable_pages(pages).select(
         "page_id", "url", "html", urls.url_domain(F.col("url")).alias("domain"),
         (F.array_position(_paths(rules), path) - 1).alias("ord"))
-    located = located.filter((F.col("ord") >= 0) & (F.col("domain") != ""))
+    return located.filter((F.col("ord") >= 0) & (F.col("domain") != ""))
+
+
+def candidate_pages(pages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """``(domain, ord, page_id, url)`` of a domain's candidate pages, one per path (the lowest
+    ``page_id``), so a site never has more pages than there are paths. The choice combines before
+    the shuffle: many copies of one path cost one row per map task."""
+    located = pages_on_paths(pages, rules).select("domain", "ord", "page_id", "url")
     return first_by(located, ["domain", "ord"], ["page_id"])
 
 
 def page_features(
-    pages: DataFrame, rules: RuleSet = DEFAULT_RULES, ord_col: str = "page_id"
+    pages: DataFrame, rules: RuleSet = DEFAULT_RULES, ord_col: str = "page_id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(domain, ord, url, text, company_name, description, email, phone)`` of each page (F16-F19,
-    F1, F2, W5). Addresses come from links first, then from the raw markup (U3)."""
+    """``(domain, ord, *keep, url, text, company_name, description, email, phone)`` of each page
+    (F16-F19, F1, F2, W5). Addresses come from links first, then from the raw markup (U3)."""
     domain = F.col("domain") if "domain" in pages.columns else urls.url_domain(F.col("url"))
     live = readable_pages(pages).select(
-        domain.alias("domain"), F.col(ord_col).alias("ord"), "url", "html",
+        domain.alias("domain"), F.col(ord_col).alias("ord"), *keep, "url", "html",
         html.live_markup(F.col("html")).alias("live"),
     ).filter(F.col("domain") != "")
     texts = live.withColumns({
@@ -58,7 +62,7 @@ def page_features(
         "text", html.decode_entities(F.col("nodes")))
     pool = F.concat(html.mailto_addresses(F.col("live")), contact.addresses(F.col("html")))
     return texts.select(
-        "domain", "ord", "url", "text",
+        "domain", "ord", *keep, "url", "text",
         html.company_name(F.col("live"), F.col("tags")).alias("company_name"),
         html.meta_description(F.col("live"), F.col("tags")).alias("description"),
         contact.best_address(pool, F.col("domain"), rules).alias("email"),
@@ -85,16 +89,17 @@ def page_evidence(
 ) -> DataFrame:
     """What each page that counts contributes to its site's profile: narrow rows without texts.
 
-    ``candidates_only`` reads the candidate paths of each domain, as a polite visit would.
-    Otherwise every stored page counts, in ``page_id`` order. Rows can still be gated by
+    ``candidates_only`` counts the candidate paths of each domain, as a polite visit would: each
+    page on such a path is judged where it is read, and one for each path is chosen afterwards,
+    from rows of about a kilobyte. Otherwise every stored page counts, in ``page_id`` order. Rows can still be gated by
     ``domain`` and ``url`` before ``profiles_from`` rolls them up; that is the place for joins
     with large tables, because page bodies never move for them.
     """
     if candidates_only:
-        features = page_features(candidate_pages(pages, rules), rules, "ord")
-    else:
-        features = page_features(pages, rules)
-    return page_findings(features, rules, _KEPT)
+        features = page_features(pages_on_paths(pages, rules), rules, "ord", ("page_id",))
+        findings = page_findings(features, rules, ("page_id", *_KEPT))
+        return first_by(findings, ["domain", "ord"], ["page_id"]).drop("page_id")
+    return page_findings(page_features(pages, rules), rules, _KEPT)
 
 
 def profiles_from(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from .. import schemas
 from ..functions import contact, html, mail, text, urls
 from ..operators import (
     candidates, crm, funnels, gates, hosts, leads, matching, outreach, query_building, replies,
-    roster, site_text, sites,
+    roster, site_text, sites, vocabulary,
 )
 from ..rules import ASSET_SUFFIXES
 from ..sources import lists, search, tables
@@ -25,16 +27,23 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Registers ``f``. Sessions of one machine that name no shared folder get one of their own."""
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        if not spark.conf.get(tables.SHARED, None) and spark.sparkContext.master.startswith("local"):
+            spark.conf.set(tables.SHARED, tempfile.mkdtemp(prefix="prospectry-"))
+        return f(spark, d)
+
+    QUERIES[f.__name__] = run
     return f
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return tables.spread(table(spark, d, "pages"))
+    return s.read(spark, d, "pages")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return tables.spread(table(spark, d, "documents"))
+    return s.read(spark, d, "documents")
 
 
 def joined(array: Column | str, sep: str = "|") -> Column:
@@ -132,7 +141,7 @@ def doc_addresses(spark, d):
 
 @query
 def doc_best_address(spark, d):
-    docs = documents(spark, d).filter(F.contains("text", F.lit("@")))
+    docs = documents(spark, d)
     pool = F.concat(
         F.array(F.lit("privacy@mail2.example.com")), contact.addresses(F.col("text")),
         F.array(F.lit(" info@mail2.example.com "), F.format_string("d%d@mail3.example.com", "doc_id")))
@@ -259,6 +268,24 @@ def seed_merge_counts(spark, d):
     return hosts.seed_merge_counts(found, _seeds(spark, d))
 
 
+@query
+def keyword_table_docs(spark, d):
+    """J10 with a table of keywords: the first word, and the first two, of every benchmark item."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    items = table(spark, d, "benchmark").select(
+        F.explode(F.array(words[0], F.concat_ws(" ", words[0], words[1]))).alias("keyword"))
+    return vocabulary.keyword_hits(table(spark, d, "documents"), items, "doc_id")
+
+
+@query
+def denied_host_table(spark, d):
+    """J11 with a table of denied hosts: those of every seventh page, and one whole domain."""
+    rows = table(spark, d, "pages").select("page_id", urls.normalize_host(urls.authority(F.col("url"))).alias("host"))
+    denied = rows.filter(F.col("page_id") % 7 == 0).select("host").union(
+        spark.range(1).select(F.lit("example.net")))
+    return vocabulary.without_denied_hosts(rows, denied)
+
+
 @query
 def company_hosts(spark, d):
     """P2/P3 over page hosts, some of them asset names."""
@@ -729,9 +756,9 @@ def keyword_lines(spark, d):
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     value = F.when(F.col("pos") % 9 == 4, F.concat(F.lit("#"), "line")).when(
         F.col("pos") % 9 == 5, F.concat(F.lit("  # "), "line")).otherwise(F.col("line"))
-    ord_ = (F.col("doc_id") * 100_000 + F.col("pos")).alias("ord")
+    ord_ = F.struct("doc_id", "pos").alias("ord")
     kept = lists.plain_list(lines.select(ord_, value.alias("value")), "keyword")
-    return kept.select("ord", F.md5(F.col("keyword").cast("binary")).alias("keyword_md5"))
+    return kept.select("ord.doc_id", "ord.pos", F.md5(F.col("keyword").cast("binary")).alias("keyword_md5"))
 
 
 @query
@@ -826,7 +853,7 @@ def reply_stream(spark, d):
 def cadence_tick(spark, d):
     """T3, run twice: the second run of a tick changes nothing."""
     path = f"{tables.work_dir(spark)}/log"
-    jobs.write_batch(s.outreach(spark, d), path, 0)
+    jobs.write_batch(s.outreach(spark, d), path, jobs.TICKS, 0)
     for _ in range(2):
         jobs.cadence_tick(
             s.leads(spark, d), path, 1, now(), FIRST, FOLLOW_UP, SENDER, 30, s.FOLLOWUPS)

@@ -321,7 +321,7 @@ SQL["doc_addresses"] = f"""SELECT doc_id, i - 1 AS pos, a[i] AS address FROM (SE
 _POOL = (f"list_concat(list_concat(['privacy@mail2.example.com'], {addresses('text')}), "
          "[' info@mail2.example.com ', 'd' || doc_id || '@mail3.example.com'])")
 SQL["doc_best_address"] = f"""SELECT doc_id, {best(_POOL, "'mail3.example.com'")} AS on_site,
-  {best(_POOL)} AS anywhere FROM documents WHERE contains(text, '@')"""
+  {best(_POOL)} AS anywhere FROM documents"""
 SQL["doc_phones"] = (
     f"SELECT * FROM (SELECT doc_id, {phone('text')} AS phone FROM documents) WHERE phone IS NOT NULL")
 SQL["keyword_docs"] = (
@@ -377,6 +377,17 @@ _HOST = host(f"{authority('url')} || ({array(('', '.', *ASSET_SUFFIXES))}[page_i
 SQL["company_hosts"] = f"""SELECT page_id, host, {is_company('host')} AS is_company FROM (
   SELECT page_id, {_HOST} AS host FROM pages)"""
 
+SQL["keyword_table_docs"] = r"""WITH w AS (
+  SELECT string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM benchmark),
+k AS (SELECT DISTINCT lower(trim(x)) AS keyword FROM (
+  SELECT w[1] AS x FROM w UNION ALL SELECT concat_ws(' ', w[1], w[2]) FROM w))
+SELECT doc_id, keyword FROM documents, k WHERE regexp_matches(' ' || lower(text) || ' ',
+  '[^\p{L}\p{N}]' || regexp_escape(keyword) || '[^\p{L}\p{N}]')"""
+SQL["denied_host_table"] = f"""WITH h AS (SELECT page_id, {host(authority('url'))} AS host FROM pages),
+denied AS (SELECT host FROM h WHERE page_id % 7 = 0 UNION SELECT 'example.net')
+SELECT page_id, host FROM h WHERE host NOT IN (SELECT host FROM denied)
+  AND list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') NOT IN (SELECT host FROM denied)"""
+
 # --- queries and candidates -------------------------------------------------------------------
 
 
@@ -608,9 +619,10 @@ SQL["lead_list"] = with_(LEADS) + _SHOWN + (
 SQL["lead_list_all"] = with_(LEADS) + _SHOWN
 SQL["lead_by_id"] = with_(LEADS) + (
     "SELECT id, company_name, domain, status FROM leads WHERE id = 42")
-SQL["lead_history"] = with_(LEADS, OUTREACH) + """SELECT l.id, 0 AS part, count(o.id) AS n,
+SQL["lead_history"] = with_(LEADS, OUTREACH) + """SELECT l.id,
+  coalesce(o.id >> 12, 0) AS part, count(o.id) AS n,
   coalesce(string_agg(o.delivery || ' to ' || o.to_email || ' ' || strftime(o.created_at, '%Y-%m-%d'),
-    '|' ORDER BY o.id), '') AS history FROM leads l LEFT JOIN outreach o ON o.lead_id = l.id GROUP BY 1"""
+    '|' ORDER BY o.id), '') AS history FROM leads l LEFT JOIN outreach o ON o.lead_id = l.id GROUP BY 1, 2"""
 SQL["leads_after_delete"] = with_(LEADS) + """SELECT id, domain FROM leads WHERE id NOT IN (
   SELECT doc_id * 3 FROM labels)"""
 SQL["outreach_after_delete"] = with_(OUTREACH) + """SELECT id, lead_id FROM outreach
@@ -662,7 +674,7 @@ SQL["public_pages"] = with_(_PUBLIC) + f"""SELECT page_id, {domain('url')} AS do
 
 # --- lists ------------------------------------------------------------------------------------
 
-SQL["keyword_lines"] = f"""SELECT doc_id * 100000 + pos AS ord, md5({strip('value')}) AS keyword_md5
+SQL["keyword_lines"] = f"""SELECT doc_id, pos, md5({strip('value')}) AS keyword_md5
   FROM (SELECT doc_id, pos, CASE WHEN pos % 9 = 4 THEN '#' || line WHEN pos % 9 = 5
     THEN '  # ' || line ELSE line END AS value FROM (SELECT doc_id, i - 1 AS pos, l[i] AS line FROM (
     SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (

@@ -14,6 +14,9 @@ from ..functions.urls import url_domain
 from ..rules import RuleSet
 from ..sources.tables import spread
 
+#: Session setting of a bench on small files: deal their rows out over all cores. Off by default.
+SPREAD = "prospectry.spread"
+
 # Words that do occur in the texts take the place of the usual vocabulary.
 RULES = RuleSet(
     keywords=("license", "free"),
@@ -39,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts as it is stored; dealt out only where the session asks for it."""
+    rows = table(spark, sf_dir, name)
+    return spread(rows) if spark.conf.get(SPREAD, "false") == "true" else rows
+
+
 def _days(c: Column) -> Column:
     return F.make_dt_interval(days=c.cast("int"))
 
@@ -127,7 +136,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under the address of their language section, so that paths repeat within a site."""
-    return spread(table(spark, sf_dir, "pages")).withColumn(
+    return read(spark, sf_dir, "pages").withColumn(
         "url", F.regexp_replace("url", r"^([a-z]+://[^/]+/[a-z]+).*", "$1"))
 
 

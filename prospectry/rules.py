@@ -1,15 +1,13 @@
 """Word lists, patterns, thresholds and clock-free settings as one parameter object.
 
 Every operator that needs vocabulary takes a :class:`RuleSet`. The lists are turned into literals
-when a plan is built, so they must stay small: ``RuleSet`` refuses a list beyond
-``MAX_RULE_ENTRIES`` (larger vocabularies belong in a table and a join).
+when a plan is built. Keywords and denied hosts of any number can also come as tables:
+``operators.vocabulary`` joins them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
-
-MAX_RULE_ENTRIES = 5_000
+from dataclasses import dataclass, field, replace
 
 # ---------------------------------------------------------------------------------------------
 # Results depend on these being exactly so. All of them can be overridden.
@@ -184,13 +182,6 @@ class RuleSet:
     match_threshold: float = MATCH_THRESHOLD
 
     def __post_init__(self) -> None:
-        for f in fields(self):
-            value = getattr(self, f.name)
-            if isinstance(value, tuple) and len(value) > MAX_RULE_ENTRIES:
-                raise ValueError(
-                    f"{f.name} has {len(value)} entries; lists over {MAX_RULE_ENTRIES} "
-                    "belong in a table"
-                )
         for phrase in self.all_phrases():
             if not phrase or phrase != phrase.lower():
                 raise ValueError(f"signal phrase {phrase!r} must be lower case and not empty")

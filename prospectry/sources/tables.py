@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,9 @@ from ..functions.mail import sender_address
 from ..rules import BODY_CUT, INBOX_DAYS
 
 
+SHARED = "spark.checkpoint.dir"
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
@@ -54,19 +56,16 @@ def recent_messages(
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A small table, as read, dealt out over all cores before heavy work on each row.
-
-    Only when the scan has fewer partitions than the session has cores; larger tables, whose
-    partitions keep every core busy anyway, are never moved. Not for derived frames: counting
-    their partitions could start a job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    """A small table dealt out over all cores before heavy work on each row. Moves every row: for
+    callers who know that the table is a small file, never done by the library itself."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
 
 
 def work_dir(spark: SparkSession) -> str:
     """A new directory under the session's shared checkpoint folder (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prospectry-")
+    base = spark.conf.get(SHARED, None)
+    if not base:
+        raise ValueError(f"set {SHARED} to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/prospectry-{uuid.uuid4().hex}"
 
 

@@ -1,20 +1,22 @@
 """Incremental jobs on Structured Streaming.
 
 State lives in tables, not in operators. Each micro-batch writes one directory of its own,
-``<table>/batch=<id>``, and reads only those of earlier batches; a batch that is run again after a
-failure replaces its own directory and changes nothing else. All paths must be on storage every
-executor reaches.
+``<table>/run=<query id>/batch=<n>``, and reads the rows of all other runs and of its own earlier
+batches; a batch that is run again after a failure replaces its own directory and changes nothing
+else. A new checkpoint is a new query id, hence a new run: it finds all that earlier runs have
+written and touches none of it. All paths must be on storage every executor reaches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import schemas
 from ..operators import leads as lead_ops
@@ -25,24 +27,34 @@ from ..operators.candidates import first_per_domain
 from ..rules import DEFAULT_RULES, RuleSet
 from ..sources.tables import recent_messages
 
+#: The run under which ticks of the cadence write; they number their batches themselves.
+TICKS = "ticks"
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the streaming query that a checkpoint belongs to."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def read_batches(
-    spark: SparkSession, path: str, schema: StructType, before: int | None = None
+    spark: SparkSession, path: str, schema: StructType, before: tuple[str, int] | None = None
 ) -> DataFrame:
-    """Rows of a batch-partitioned table, of batches before ``before`` if given; empty at first."""
+    """Rows of a table of runs and batches; with ``before`` (run, batch) all but those of this run
+    from this batch on. Empty at first."""
     try:
-        full = StructType([*schema.fields, StructField("batch", LongType())])
+        full = StructType([
+            *schema.fields, StructField("run", StringType()), StructField("batch", LongType())])
         rows = spark.read.schema(full).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
     if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    return rows.drop("batch")
+        rows = rows.filter((F.col("run") != before[0]) | (F.col("batch") < before[1]))
+    return rows.drop("run", "batch")
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_batch(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
 
 def _start(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str,
@@ -54,16 +66,19 @@ def _start(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint
 def discover_stream(
     pages: DataFrame, leads_path: str, checkpoint: str, now: Column,
     rules: RuleSet = DEFAULT_RULES, allow_non_us: bool = False, vendors_only: bool = True,
-    candidates_only: bool = True, trigger: dict | None = None,
+    candidates_only: bool = True, trigger: dict | None = None, existing: DataFrame | None = None,
 ) -> StreamingQuery:
     """Newly arrived pages become profiles, and qualifying new domains are appended as leads.
 
-    Domains that are leads already drop out before the roll-up. A profile is made of the pages
+    ``existing`` leads count as known next to those written under ``leads_path``. Domains that are leads already drop out before the roll-up. A profile is made of the pages
     that arrive together: let a site's pages arrive in one batch.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_batches(spark, leads_path, schemas.LEADS, batch_id)
+        run = run_id(spark, checkpoint)
+        known = read_batches(spark, leads_path, schemas.LEADS, (run, batch_id))
+        if existing is not None:
+            known = known.unionByName(existing.select(*schemas.LEADS.names))
         visits = first_per_domain(batch.select(
             F.col("page_id").alias("ord"), "url", F.lit("stored pages").alias("query"),
             F.lit("page_stream").alias("source")))
@@ -72,7 +87,7 @@ def discover_stream(
             visits.select("domain"), "domain", "left_semi")
         profiles = sites.profiles_from(evidence, rules, candidates_only)
         judged = lead_ops.judged_visits(visits, profiles, allow_non_us, vendors_only)
-        write_batch(lead_ops.new_leads(known, judged, now), leads_path, batch_id)
+        write_batch(lead_ops.new_leads(known, judged, now), leads_path, run, batch_id)
 
     return _start(pages, body, checkpoint, trigger)
 
@@ -90,7 +105,8 @@ def reply_stream(
         digest = reply_ops.message_digest(recent_messages(batch, now, since_days), rules)
         updates = reply_ops.reply_updates(
             reply_ops.contacted_map(outreach, leads), digest, policy)
-        write_batch(updates.withColumn("applied_at", now), updates_path, batch_id)
+        run = run_id(batch.sparkSession, checkpoint)
+        write_batch(updates.withColumn("applied_at", now), updates_path, run, batch_id)
 
     return _start(messages, body, checkpoint, trigger)
 
@@ -128,9 +144,9 @@ def cadence_tick(
     Earlier ticks only are looked at, so repeating a tick replaces its rows by the same rows, and
     a lead never has two delivered rows for one step.
     """
-    log = read_batches(leads.sparkSession, log_path, schemas.OUTREACH, tick)
+    log = read_batches(leads.sparkSession, log_path, schemas.OUTREACH, (TICKS, tick))
     due = out_ops.plan_outreach(
         leads, log, now, interval_days=interval_days, max_followups=max_followups)
     messages = out_ops.with_delivery(
         out_ops.with_problems(out_ops.render_messages(due, first, follow_up, sender), sender), False)
-    write_batch(out_ops.log_rows(log, messages, now), log_path, tick)
+    write_batch(out_ops.log_rows(log, messages, now), log_path, TICKS, tick)

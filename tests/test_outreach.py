@@ -286,10 +286,9 @@ def test_history_and_delete(spark, monkeypatch):
     sent = log(spark, {"lead_id": 1, "created_at": days(2)}, {"lead_id": 2}, {"lead_id": 1, "created_at": days(1)})
     got = {(r.id, r.part): [h.id for h in r.history] for r in crm.lead_history(table, sent).collect()}
     assert got == {(1, 0): [1, 3], (2, 0): [2], (3, 0): []}
-    monkeypatch.setattr(crm, "HISTORY_ROW", 1)
-    monkeypatch.setattr(crm, "_HISTORY_BITS", 1)
+    monkeypatch.setattr(crm, "HISTORY_BITS", 1)
     got = {(r.id, r.part): [h.id for h in r.history] for r in crm.lead_history(table, sent).collect()}
-    assert got == {(1, 0): [1], (1, 1): [3], (2, 0): [2], (3, 0): []}
+    assert got == {(1, 0): [1], (1, 1): [3], (2, 1): [2], (3, 0): []}
     gone = spark.createDataFrame([(1,), (1,), (77,)], "lead_id bigint")
     left, log_left = crm.delete_leads(table, sent, gone)
     assert sorted(r.id for r in left.collect()) == [2, 3] and [r.id for r in log_left.collect()] == [2]
@@ -312,6 +311,11 @@ def test_edits(spark):
     assert sorted(rows_of(later.table), key=str) == sorted(rows_of(change.table), key=str)
 
 
-def test_rules_are_bounded():
-    with pytest.raises(ValueError, match="keywords"):
-        RuleSet(keywords=tuple(f"k{i}" for i in range(6_000)))
+def test_history_has_one_shape_whatever_the_count(spark):
+    table = leads(spark, {}, {})
+    for n in (4_096, 4_097):
+        sent = spark.range(10, 10 + n).selectExpr(
+            "id", "1L AS lead_id", "'a@x.test' AS to_email", "'sent' AS delivery", "1 AS step",
+            "CAST(NULL AS string) AS error", "CAST(NULL AS timestamp_ntz) AS created_at")
+        got = {(r.id, r.part): len(r.history) for r in crm.lead_history(table, sent).collect()}
+        assert got == {(1, 0): 4_086, (1, 1): n - 4_086, (2, 0): 0}

@@ -59,3 +59,31 @@ def test_tick_repeats_without_second_message(spark, tmp_path):
     assert tick(0, NOW) == [(1, 1, 1), (2, 2, 1)]
     assert tick(1, NOW + timedelta(1)) == [(1, 1, 1), (2, 2, 1)]
     assert tick(2, NOW + timedelta(3)) == [(1, 1, 1), (2, 2, 1), (3, 1, 2), (4, 2, 2)]
+
+
+def test_new_checkpoint_keeps_leads_of_earlier_runs(spark, tmp_path):
+    table = str(tmp_path / "leads")
+    older = leads(spark, {"domain": "z.test"})
+
+    def run(n, *rows):
+        source = str(tmp_path / f"pages{n}")
+        spark.createDataFrame(list(rows), schemas.PAGES).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(schemas.PAGES).parquet(source)
+        jobs.discover_stream(stream, table, str(tmp_path / f"check{n}"), at(), RULES, existing=older).awaitTermination()
+
+    run(1, (1, "https://a.test/", GOOD % "A"), (2, "https://b.test/", GOOD % "B"), (3, "https://z.test/", GOOD % "Z"))
+    run(2, (4, "https://b.test/", GOOD % "B"), (5, "https://c.test/", GOOD % "C"))
+    got = sorted(rows_of(jobs.read_batches(spark, table, schemas.LEADS).select("domain", "id")))
+    assert [d for d, _ in got] == ["a.test", "b.test", "c.test"] and len({i for _, i in got}) == 3
+
+
+def test_new_checkpoint_keeps_opt_outs_of_earlier_runs(spark, tmp_path):
+    updates, table = str(tmp_path / "updates"), leads(spark, {}, {})
+    sent = log(spark, {"lead_id": 1, "to_email": "s@a.test"}, {"lead_id": 2, "to_email": "s@b.test"})
+    for n, row in enumerate([(1, NOW, "x@a.test", "", "unsubscribe"), (2, NOW, "y@b.test", "", "hello")]):
+        source = str(tmp_path / f"inbox{n}")
+        spark.createDataFrame([row], schemas.MESSAGES).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(schemas.MESSAGES).parquet(source)
+        jobs.reply_stream(stream, table, sent, updates, str(tmp_path / f"c{n}"), at(), 30).awaitTermination()
+    got = jobs.leads_with_replies(table, jobs.merged_updates(spark, updates))
+    assert by(got, "id", "opted_out", "status") == {1: (True, "replied"), 2: (False, "replied")}
