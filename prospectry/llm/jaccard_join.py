@@ -347,19 +347,23 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
             return known
 
 
-def _boundaries(known: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Comparisons of boundary documents with the balls of pivots that they are not yet joined to."""
+def _boundaries(known: DataFrame, roots: DataFrame, sets: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Comparisons of boundary documents with the balls of pivots that they are not yet joined to.
+    ``bounds`` has ``class, n, s``, with which most pairs are told apart."""
     both = written(known.union(known.select(F.col("p").alias("x"), F.col("x").alias("p"), "shared", "united")))
     distance = 1 - F.col("shared") / F.col("united")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     outside = both.filter(~_linked()).select("x", "p", distance.alias("d")).join(
         root("x"), "x", "left").join(root("p"), "p").filter(
-        ~F.coalesce("x_root", "x").eqNullSafe(F.col("p_root"))).select("p", F.col("x").alias("y"), "d")
-    ball = both.filter(_linked()).select("p", "x", distance.alias("e"))
-    pairs = written(outside).join(ball, "p").filter(
-        (F.abs(F.col("d") - F.col("e")) <= (100 - SIMILAR) / 100 + 1e-9) & (F.col("x") != F.col("y"))
+        ~F.coalesce("x_root", "x").eqNullSafe(F.col("p_root"))).select("p", F.col("x").alias("class"), "d")
+    outside = written(outside.join(bounds, "class").withColumnRenamed("class", "y"))
+    ball = both.filter(_linked()).select(F.col("p").alias("of"), "x", distance.alias("e")).join(
+        bounds.select(F.col("class").alias("x"), F.col("n").alias("m"), F.col("s").alias("r")), "x")
+    pairs = outside.join(
+        ball, (F.col("p") == F.col("of")) & (F.col("x") != F.col("y")) & _possible(SIMILAR)
+        & (F.abs(F.col("d") - F.col("e")) <= (100 - SIMILAR) / 100 + 1e-9)
     ).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
-    return near_pairs(pairs.join(known, ["x", "p"], "left_anti"), sets, SIMILAR)
+    return near_pairs(pairs, sets, SIMILAR)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -386,7 +390,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     known = _rounds(lists, whole)
     links = known.filter(_linked()).select(F.col("x").alias("u"), F.col("p").alias("v"))
     roots = written(components(links))
-    late = written(_boundaries(known, roots, whole).filter(_linked()).select(
+    bounds = written(lists.select("class", "n", "s").distinct())
+    late = written(_boundaries(known, roots, whole, bounds).select(
         F.col("x").alias("u"), F.col("p").alias("v")))
     if not late.isEmpty():
         roots = written(components(links.union(late)))
