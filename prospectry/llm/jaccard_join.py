@@ -133,20 +133,22 @@ def prefix_length(n: int) -> int:
 
 
 def regions(docs: DataFrame, levels) -> DataFrame:
-    """``region, class`` for the prefix shingles of every document, where a region has two classes
-    or more."""
+    """``region, class, z, hot`` for the prefix shingles of every document, where a region has two
+    classes or more: ``z`` counts the infrequent shingles of the prefix, ``hot`` says that the
+    region's own shingle is a frequent one."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for batch in batches:
             for part in slices(batch, "text"):
-                found, marks, sizes = [], [], []
+                found, marks, sizes, rare = [], [], [], []
                 for own in _sets(*text_shingles(part.column("text"))):
                     if not len(own):
                         continue
                     p = prefix_length(len(own))
                     level = table[own >> np.uint64(64 - CELL_BITS)]
                     first = np.flatnonzero(level == 0)[:p]
+                    rare.append(len(first))
                     if len(first) < p:
                         late = np.flatnonzero(level)
                         late = late[np.lexsort((own[late], level[late]))[:p - len(first)]]
@@ -156,46 +158,57 @@ def regions(docs: DataFrame, levels) -> DataFrame:
                     sizes.append(p)
                 if found:
                     yield pa.record_batch(
-                        [as_long(np.concatenate(found)), as_long(np.repeat(np.array(marks, np.uint64), sizes))],
-                        names=["region", "class"])
+                        [as_long(np.concatenate(found)), as_long(np.repeat(np.array(marks, np.uint64), sizes)),
+                         pa.array(np.repeat(np.array(rare, np.int32), sizes))],
+                        names=["region", "class", "z"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, and whether its region has been given out
+        table = levels.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            r, c = (np.asarray(batch.column(i)) for i in (0, 1))
+            r, c, z = (np.asarray(batch.column(i)) for i in (0, 1, 2))
             if last is not None:
-                r, c = np.concatenate(([last[0]], r)), np.concatenate(([last[1]], c))
+                r, c, z = (np.concatenate(([v], x)) for v, x in zip((last[0], last[1], last[3]), (r, c, z), strict=True))
             new = np.ones(len(r), dtype=bool)
             new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
             out = last is not None and last[2]
-            r, c = r[new], c[new]
+            r, c, z = r[new], c[new], z[new]
             same = r[1:] == r[:-1]
             several = np.zeros(len(r), dtype=bool)
             several[1:] |= same
             several[:-1] |= same
-            last = (r[-1], c[-1], bool(several[-1]) or (out and r[-1] == r[0] and len(r) == 1))
+            last = (r[-1], c[-1], bool(several[-1]) or (out and r[-1] == r[0] and len(r) == 1), z[-1])
             if out:
                 several[0] = False
             if several.any():
-                yield pa.record_batch([pa.array(r[several]), pa.array(c[several])], names=["region", "class"])
+                r, c, z = r[several], c[several], z[several]
+                hot = table[r.view(np.uint64) >> np.uint64(64 - CELL_BITS)] > 0
+                yield pa.record_batch([pa.array(r), pa.array(c), pa.array(z.astype(np.int32)), pa.array(hot)],
+                                      names=["region", "class", "z", "hot"])
 
-    return docs.select("text").mapInArrow(prefixes, "region bigint, class bigint").repartition("region")\
-        .sortWithinPartitions("region", "class").mapInArrow(shared, "region bigint, class bigint")
+    return docs.select("text").mapInArrow(prefixes, "region bigint, class bigint, z int").repartition("region")\
+        .sortWithinPartitions("region", "class").mapInArrow(
+            shared, "region bigint, class bigint, z int, hot boolean")
 
 
 def crowded(lists: DataFrame) -> DataFrame:
-    """``region, class, n, s`` without regions that have one class.
+    """``region, class, n, s`` without classes that share too few of their prefix shingles with any
+    other to be similar to it, and without regions that have one class.
 
-    Prefix shingles of no region are in no other set, so a class has at most ``s`` shingles, all but
-    those, in common with any other. Classes for which that is too few to be similar go.
+    ``s`` bounds what a class has in common with any other class of the region. Where the region's
+    shingle is frequent, the prefixes of all its classes hold all their infrequent shingles: common
+    ones among these are regions too, so ``s`` is their number and that of the frequent shingles.
+    Elsewhere ``s`` is the size of the set.
     """
-    prefix = F.col("n") - F.floor((F.col("n") * SIMILAR + 99) / 100) + F.floor((F.col("n") * SHARED + 99) / 100)
-    counts = lists.groupBy("class").agg(F.count("*").alias("c"), F.first("n").alias("n")).withColumn(
-        "s", F.col("n") - prefix + F.col("c"))
-    kept = lists.select("region", "class", "n").join(
-        written(counts.filter(F.col("s") * 100 >= F.col("n") * SIMILAR).select("class", "s")), "class")
+    least = F.floor((F.floor((F.col("n") * SIMILAR + 99) / 100) * SHARED + 99) / 100)
+    counts = lists.groupBy("class").agg(
+        F.count("*").alias("c"), F.count_if(~F.col("hot")).alias("c0"), F.first("n").alias("n"), F.first("z").alias("z"))
+    counts = counts.filter(F.col("c") >= least).withColumn("common", F.col("n") - F.col("z") + F.col("c0"))
+    kept = lists.select("region", "class", "n", "hot").join(written(counts.select("class", "common")), "class").withColumn(
+        "s", F.when(F.col("hot"), F.col("common")).otherwise(F.col("n")))
+    kept = kept.filter(F.col("s") * 100 >= F.col("n") * SIMILAR)
     several = written(kept.groupBy("region").count().filter("count > 1").select("region"))
     return written(kept.join(several, "region", "left_semi").select("region", "class", "n", "s"))
 
@@ -335,9 +348,11 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
         gone = written(balls.select("region", F.col("x").alias("class")).union(
             pivots.select("of", F.col("p").alias("class"))).distinct())
         rest = large.join(gone, ["region", "class"], "left_anti")
-        # only where members have left with a pivot can others be at the boundary of its ball
+        # only where members have left with a pivot can others, those that leave with another pivot
+        # and other pivots among them, be at the boundary of its ball
         centres = pivots.join(written(balls.select(F.col("region").alias("of"), "p").distinct()), ["of", "p"])
-        edges = near_pairs(pairs_of(rivals(rest, centres, near)).distinct(), sets, near)
+        around = pairs_of(rivals(large, centres, near)).distinct().join(linked.select("x", "p"), ["x", "p"], "left_anti")
+        edges = near_pairs(around, sets, near)
         fresh = linked.union(edges)
         known = written((fresh if known is None else known.union(fresh)).distinct())
         open_regions = written(rest.groupBy("region").count().filter("count > 1").select("region"))
@@ -383,14 +398,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = scan.filter("block IS NULL").select("doc_id", "n", "class")
     classes = sets.groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     lists = written(regions(docs, levels))
-    lists = lists.join(written(classes), "class").select("region", "class", "n")
+    lists = lists.join(written(classes), "class").select("region", "class", "n", "z", "hot")
     lists = crowded(lists)
     candidates = written(classes.join(lists.select("class").distinct(), "class", "left_semi"))
     whole = written(whole_sets(docs, candidates.select("doc_id")))
     known = _rounds(lists, whole)
     links = known.filter(_linked()).select(F.col("x").alias("u"), F.col("p").alias("v"))
     roots = written(components(links))
-    bounds = written(lists.select("class", "n", "s").distinct())
+    bounds = written(lists.select("class", "n", F.col("n").alias("s")).distinct())
     late = written(_boundaries(known, roots, whole, bounds).select(
         F.col("x").alias("u"), F.col("p").alias("v")))
     if not late.isEmpty():
