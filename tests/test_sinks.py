@@ -3,6 +3,8 @@
 from helpers import leads, log, rows_of
 from pyspark.sql import functions as F
 
+import pytest
+
 from prospectry import schemas
 from prospectry.operators import hosts, roster
 from prospectry.sources import lists, sinks, tables
@@ -43,15 +45,25 @@ def test_stored_tables(spark, tmp_path):
     assert [r.page_id for r in tables.read_pages(spark, str(tmp_path / "pages")).collect()] == [3]
 
 
-def test_spread_only_small_scans(spark, tmp_path):
+def test_spread_deals_rows_out_where_asked(spark, tmp_path):
     spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
     scan = spark.read.parquet(str(tmp_path / "t"))
     assert tables.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100, numPartitions=64)
-    assert tables.spread(many) is many
+    assert tables.spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_drafts_as_json(spark, tmp_path):
     df = spark.createDataFrame([(1, "a@x.test")], "lead_id bigint, to string")
     sinks.write_drafts(df.withColumn("body", F.lit("x\ny")), str(tmp_path / "d"))
     assert spark.read.json(str(tmp_path / "d")).first().body == "x\ny"
+
+
+def test_written_tables_need_a_shared_folder(spark, monkeypatch):
+    before = spark.conf.get(tables.SHARED)
+    spark.conf.unset(tables.SHARED)
+    try:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.work_dir(spark)
+    finally:
+        spark.conf.set(tables.SHARED, before)
