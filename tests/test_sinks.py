@@ -1,10 +1,9 @@
 """Round trips through files and stored tables."""
 
+import pytest
 from helpers import leads, log, rows_of
 from pyspark.sql import functions as F
 
-import pytest
-
 from prospectry import schemas
 from prospectry.operators import hosts, roster
 from prospectry.sources import lists, sinks, tables
@@ -60,10 +59,6 @@ def test_drafts_as_json(spark, tmp_path):
 
 
 def test_written_tables_need_a_shared_folder(spark, monkeypatch):
-    before = spark.conf.get(tables.SHARED)
-    spark.conf.unset(tables.SHARED)
-    try:
-        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            tables.work_dir(spark)
-    finally:
-        spark.conf.set(tables.SHARED, before)
+    monkeypatch.setattr(tables, "SHARED", "spark.some.folder.dir")
+    with pytest.raises(ValueError, match="spark.some.folder.dir"):
+        tables.work_dir(spark)
