@@ -104,9 +104,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``u, v``: verified pairs of ``members`` (``key, id, n, sig``, n a length). In each bucket all
     are compared with one leader, by signature and then by ``verify``; those that are alike leave
-    with it. The others are compared among themselves where a bucket has few, and else go on with
-    ever more leaders."""
-    found, turn = [], 0
+    with it, its ball. The others are compared among themselves where a bucket has few, and else go
+    on with ever more leaders. In the end all of a bucket are compared with those that left in balls
+    and that the links so far have not joined them to."""
+    # an original meets more lines in its buckets than its edited copies do, so it leads
+    crowds = written(members.groupBy("key").agg(F.count("*").alias("m")))
+    met = written(members.join(crowds, "key").groupBy("id").agg(F.sum("m").alias("met")))
+    everyone = written(members.join(met, "id").select("key", "id", F.struct(-F.col("met"), "n").alias("n"), "sig"))
+    members = everyone
+    found, balls, turn = [], [], 0
     while True:
         if turn:
             sized = written(members.groupBy("key").agg(F.count("*").alias("m")))
@@ -136,16 +142,37 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataF
             def of(side: str, joined: DataFrame = joined) -> DataFrame:
                 return joined.select(F.col("u").alias(side), F.col("to").alias(f"of_{side}"))
 
-        gone = written(rivals.join(alike.withColumnRenamed("u", "id"), ["id", "v"]).select("key", "id").union(
+        ball = written(rivals.join(alike.withColumnRenamed("u", "id"), ["id", "v"]).select("key", "id").distinct())
+        balls.append(ball)
+        gone = written(ball.union(
             leaders.select(F.col("of").alias("key"), F.col("v").alias("id"))).distinct())
         rest = members.join(gone, ["key", "id"], "left_anti")
         open_buckets = written(rest.groupBy("key").count().filter("count > 1").select("key"))
         members = written(rest.join(open_buckets, "key", "left_semi"))
         if members.isEmpty():
-            return reduce(DataFrame.union, found)
+            found = reduce(DataFrame.union, found)
+            return found.union(late_links(everyone, reduce(DataFrame.union, balls), found, verify))
         turn += 1
 
 
+def late_links(members: DataFrame, balls: DataFrame, found: DataFrame,
+               verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``u, v``: verified pairs of one of ``balls`` (``key, id``: who left a bucket, alike to its leader)
+    and another member of the bucket that the links ``found`` have not joined to it."""
+    roots = written(components(found)).withColumnRenamed("node", "id")
+    rooted = written(members.join(written(balls.select("key").distinct()), "key", "left_semi").join(
+        roots, "id", "left").select("key", "id", "sig", F.coalesce("root", "id").alias("root")))
+    # where links have joined a whole bucket nothing is left to compare
+    split = written(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"))
+    rooted = written(rooted.join(split, "key", "left_semi"))
+    inside = rooted.join(balls, ["key", "id"], "left_semi").select(
+        F.col("key").alias("of"), F.col("id").alias("v"), F.col("sig").alias("sig_v"), F.col("root").alias("root_v"))
+    pairs = written(rooted.join(
+        written(inside), (F.col("key") == F.col("of")) & (F.col("root") != F.col("root_v")) & probable("sig", "sig_v")
+    ).select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct())
+    return written(verify(pairs))
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """``doc, removed``: the positions (from 0) of the lines to take out of each document."""
     lines = lines_of(docs)

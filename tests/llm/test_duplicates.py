@@ -123,3 +123,55 @@ def test_repeated_paragraphs_and_pasted_passages(spark):
             assert words_of(texts[r["kept_doc_id"]][r["kept_start"]:])[:25] == words_of(copy)[:25]
     assert paragraphs.repeated(docs.limit(0)).count() == 0
     assert paragraphs.repeated(spark.createDataFrame(messy(2, 30), SCHEMA)).count() > 0
+
+
+def line_roots(spark, lines):
+    """Component of each of the (distinct) ``lines``."""
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = fuzzy_lines.lines_of(docs)
+    members = fuzzy_lines.buckets(fuzzy_lines.signatures(found)).persist()
+    texts = found.select("id", "line").distinct()
+    groups = components.components(fuzzy_lines.links(members, lambda pairs: fuzzy_lines.verified(pairs, texts)))
+    root = {r["node"]: r["root"] for r in groups.collect()}
+    ids = {r["line"]: r["id"] for r in found.collect()}
+    return [root.get(ids[x], ids[x]) for x in lines]
+
+
+def test_edited_copies_are_joined_through_their_original(spark):
+    rng, words = random.Random(21), vocabulary(21, 3000)
+    stars = []
+    for copies in (5, 20, 100):
+        base = [rng.choice(words) for _ in range(30)]
+        star = [" ".join(base)]
+        while len(star) <= copies:
+            copy = list(base)
+            for at in rng.sample(range(30), 2):
+                copy[at] = rng.choice(words)
+            if similar(_line_shingles(star[0]), _line_shingles(" ".join(copy))):
+                star.append(" ".join(copy))
+        stars.append(star)
+    root = line_roots(spark, [x for star in stars for x in star])
+    at = 0
+    for star in stars:
+        own = root[at:at + len(star)]
+        at += len(star)
+        assert sum(r == own[0] for r in own[1:]) >= 0.9 * (len(star) - 1)
+
+
+def test_no_link_is_lost_where_a_copy_leads(spark):
+    rng = random.Random(22)
+    sets = {"lead": set(range(100)), "mid": set(range(13, 113)), "far": set(range(26, 126))}
+    for i in range(60):  # others of the bucket, alike to nothing
+        sets[f"o{i}"] = {1000 + rng.randrange(10**6) for _ in range(100)}
+    names = list(sets)
+    sig = [0, 0, 0]
+    # the leader meets more lines, in a second bucket
+    rows = [("all", i, 100, sig) for i in range(len(names))] + [("two", i, 100, sig) for i in (0, 5)]
+    members = spark.createDataFrame(rows, "key string, id bigint, n int, sig array<bigint>")
+
+    def verify(pairs):
+        rows = [(r["u"], r["v"]) for r in pairs.collect() if similar(sets[names[r["u"]]], sets[names[r["v"]]])]
+        return spark.createDataFrame(rows, "u bigint, v bigint")
+
+    root = {r["node"]: r["root"] for r in components.components(fuzzy_lines.links(members, verify)).collect()}
+    assert root == {0: 0, 1: 0, 2: 0}
