@@ -6,8 +6,9 @@ exact Jaccard similarity of all their shingles; connected components of the veri
 line, the first of the corpus by ``(doc_id, position)``.
 
 Minima are taken over the shingles that begin a word (after a space), a sixth of all, which have the
-same similarity on average; lines with few spaces use all shingles. Minimum number m is the hash that is
-least after an exclusive or with a mask of its own.
+same similarity on average; lines of few words or few spaces use all shingles. Lines in between, up to a
+third more words than that, have both kinds of signature, so that similar lines meet in one of them.
+Minimum number m is the hash that is least after an exclusive or with a mask of its own.
 
 Only DataFrame functions. Lines are known by 64-bit hashes; equal lines are one line from the start,
 so a line that a third of all documents share is one row in all but the last step.
@@ -29,6 +30,8 @@ SIMILAR = 75  # percent
 BANDS, ROWS = 8, 3
 #: Tables of keys up to so many rows are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Lines with fewer words, or fewer words for their characters, have too few shingles that begin one.
+FEW_WORDS, LONG_WORDS = 24, 24
 SMALL_BUCKET, LEADERS = 32, 8
 AGREEING = 10  # of the 24 minima
 _LAST = (1 << 63) - 1
@@ -48,26 +51,31 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """``id, first_doc, copies, n`` (code points), ``bands`` (keys) and ``sig`` (the last byte of
-    each minimum, eight in one integer) of each distinct line."""
+    each minimum, eight in one integer) of each distinct line, for each kind of signature that it
+    has; ``main`` marks one row of each line."""
     words, n = F.split("line", " "), F.length("line")
-    few = F.size(words) * 24 < n
-    units = lines.select("id", "doc", n.alias("n"), words.alias("w"), F.when(few, F.encode("line", "UTF-32")).alias("raw"),
-                         few.alias("few"),
-                         F.when(few, F.greatest(n - (SHINGLE - 1), F.lit(1))).otherwise(F.size(words)).alias("m"))
+    size = F.size(words)
+    begun = (size >= FEW_WORDS) & (size * LONG_WORDS >= n)
+    every = ~begun | (size * 3 <= FEW_WORDS * 4) | (size * LONG_WORDS * 3 <= n * 4)
+    kinds = F.filter(F.array(F.when(every, F.lit(True)), F.when(begun, F.lit(False))), lambda k: k.isNotNull())
+    units = lines.select("id", "doc", n.alias("n"), words.alias("w"), F.when(every, F.encode("line", "UTF-32")).alias("raw"),
+                         every.alias("every"), F.explode(kinds).alias("few"))
+    units = units.withColumn("main", F.col("few") | ~F.col("every")).withColumn(
+        "m", F.when(F.col("few"), F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).otherwise(F.size("w")))
     places = units.select("*", F.expr("explode(sequence(0, m - 1)) AS i"))
-    hashed = places.select("id", "doc", "n", "i", F.expr(
+    hashed = places.select("id", "doc", "n", "few", "main", "i", F.expr(
         f"if(few, hash(substring(raw, 4 * i + 1, {4 * SHINGLE})),"
         f" hash(left(array_join(slice(w, i + 1, 3), ' '), {SHINGLE})))").alias("h"))
     # the masks of one band lie far apart, so that even a short line gives it different shingles
     masks = [((r * BANDS + b) << 27) - (1 << 31) for b in range(BANDS) for r in range(ROWS)]
-    minima = hashed.groupBy("id").agg(
+    minima = hashed.groupBy("id", "few", "main").agg(
         F.min("doc").alias("first_doc"), F.count_if(F.col("i") == 0).alias("copies"), F.max("n").alias("n"),
         *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    bands = [F.xxhash64(F.lit(b), "few", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     sig = F.array(*[reduce(Column.bitwiseOR, [
         F.shiftleft(F.col(f"m{at + i}").bitwiseAND(F.lit(255)).cast("bigint"), 8 * i) for i in range(8)])
         for at in range(0, BANDS * ROWS, 8)])
-    return minima.select("id", "first_doc", "copies", "n", F.array(*bands).alias("bands"), sig.alias("sig"))
+    return minima.select("id", "main", "first_doc", "copies", "n", F.array(*bands).alias("bands"), sig.alias("sig"))
 
 
 def probable(mine: str, other: str) -> Column:
@@ -181,7 +189,7 @@ def removals(docs: DataFrame) -> DataFrame:
     wanted = _bounded(written(members.select("id").distinct()))
     texts = written(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
     groups = written(components(links(members, lambda pairs: verified(pairs, texts))))
-    mates = known.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
+    mates = known.filter("main").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
     keepers = mates.groupBy("root").agg(F.min("first_doc").alias("keeper"), F.sum("copies").alias("all"))
     plural = written(mates.join(written(keepers.filter("all > 1")), "root").select("id", "root", "keeper"))

@@ -175,3 +175,17 @@ def test_no_link_is_lost_where_a_copy_leads(spark):
 
     root = {r["node"]: r["root"] for r in components.components(fuzzy_lines.links(members, verify)).collect()}
     assert root == {0: 0, 1: 0, 2: 0}
+
+
+def test_short_lines_with_one_changed_character_are_found(spark):
+    rng, words = random.Random(23), vocabulary(23, 3000)
+    pairs = {}
+    for n in (3, 5, 8, 10, 12, 23, 24, 32):  # of 23 and 32 words the other has one word more
+        while len(pairs.setdefault(n, [])) < 60:
+            base = " ".join(rng.choice(words) for _ in range(n))
+            other = base + " a" if n in (23, 32) else base[:-1] + "x"
+            if base != other and similar(_line_shingles(base), _line_shingles(other)):
+                pairs[n].append((base, other))
+    root = line_roots(spark, [x for of in pairs.values() for pair in of for x in pair])
+    found = {n: sum(root[2 * (60 * k + i)] == root[2 * (60 * k + i) + 1] for i in range(60)) for k, n in enumerate(pairs)}
+    assert found[3] >= 48 and all(found[n] >= 57 for n in found if n > 3), found
