@@ -167,3 +167,20 @@ def test_pipeline_over_the_small_tables(spark):
     texts = {r["text"] for r in rows if r["epoch"] == 0}
     items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert not any(i in t for i in items for t in texts)
+
+
+def test_short_items_are_found_at_every_number_of_edits():
+    rng, words = random.Random(31), vocabulary(31, 3000)
+    cases = [(n, e) for n in (1, 4, 5, 6, 8, 9, 10, 12, 14, 15, 16, 19, 20, 23) for e in range(int(0.2 * n) + 1)]
+    items, texts = [], []
+    for n, e in [c for c in cases for _ in range(20)]:
+        item = [rng.choice(words) for _ in range(n)]
+        copy = list(item)
+        for at in rng.sample(range(n), e):
+            copy[at] = "x" + rng.choice(words)
+        items.append(" ".join(item))
+        texts.append(" ".join(["before", *copy, "after"]))
+    index = decontaminate.Index(list(range(len(items))), items)
+    own, _, counts = shingles.word_hashes(*shingles.buffers(pa.array(texts, pa.string())))
+    found = {(r, i) for r, i, *_ in decontaminate._hits(index, own, counts)}
+    assert not [cases[k // 20] for k in range(len(items)) if (k, k) not in found]
