@@ -5,10 +5,13 @@ bands of 3 are tuned for a recall above 0.98 at a similarity of 0.75; colliding
 verified by exact Jaccard similarity, components of the verified pairs keep their first paragraph.
 
 A passage pasted into a longer line, or over several lines, is not a line of its own. So every text
-also has windows of 25 words at the places that winnowing picks: the least 5-word hash of every 8
-consecutive ones, the same places in every copy. Windows whose whole word sequences agree (edit
-distance 0) are copies of the first one; overlapping copies in a document join to passages, and those
-of 40 words or more are reported. Any repeated passage of 54 words or more has such a run.
+also has windows of 8 words at the places that winnowing picks: the least 5-word hash of every 4
+consecutive ones, the same places in every copy. Windows whose whole word sequences agree are copies
+of the first one. They are seeds: overlapping ones join to exact runs, and runs that follow each other
+in one pair of documents join over gaps, where what lies in the gaps, counted as edits on the longer
+side, is at most a quarter of the words. That bounds the edit distance from above, so no text is
+read again. Passages of 40 words or more are reported. A run of 11 words or more has a seed, and all of a
+run but 3 words at each end is covered: an exact passage of 46 words or more is always found.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from .store import written
 
 BANDS, ROWS = 8, 3
 LEAST_WORDS = 40
-WINDOW, WINNOW = 25, 8
+WINDOW, WINNOW = 8, 4
+#: Words between two exact runs of a passage at most, and percent of its words that gaps may hold.
+GAP, GAPS = 24, 25
 _MASKS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -188,10 +193,10 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def copies(found: DataFrame) -> DataFrame:
-    """``doc, word, start, stop, kept_doc, kept_start`` of all windows but the first of each key."""
+    """``doc, word, start, stop, kept_doc, kept_word, kept_start`` of all windows but the first of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, doc and start of the first window of the key that was read last
+        last = None  # key, doc, start and word of the first window of the key that was read last
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -204,45 +209,93 @@ def copies(found: DataFrame) -> DataFrame:
             leads = np.flatnonzero(new)
             docs = pa.concat_arrays([pa.array([last[1] if last else None], pa.int64()), batch["doc"].take(pa.array(leads))])
             starts = np.concatenate(([last[2] if last else 0], np.asarray(batch["start"])[leads]))
+            places = np.concatenate(([last[3] if last else 0], np.asarray(batch["word"])[leads]))
             copy = np.flatnonzero(~new)
             if len(copy):
                 of = group[copy]
                 part = batch.take(pa.array(copy))
                 yield pa.record_batch(
                     [part["doc"], part["word"], part["start"], part["stop"], docs.take(pa.array(of)),
-                     pa.array(starts[of].astype(np.int32))],
-                    names=["doc", "word", "start", "stop", "kept_doc", "kept_start"])
-            last = (key[-1], docs[int(group[-1])].as_py(), int(starts[group[-1]]))
+                     pa.array(places[of].astype(np.int32)), pa.array(starts[of].astype(np.int32))],
+                    names=["doc", "word", "start", "stop", "kept_doc", "kept_word", "kept_start"])
+            last = (key[-1], docs[int(group[-1])].as_py(), int(starts[group[-1]]), int(places[group[-1]]))
 
     return found.repartition("key").sortWithinPartitions("key", "doc", "word").mapInArrow(
-        run, "doc bigint, word int, start int, stop int, kept_doc bigint, kept_start int")
+        run, "doc bigint, word int, start int, stop int, kept_doc bigint, kept_word int, kept_start int")
+
+
+class _Run:
+    """A stretch of a document: words ``at`` to ``end``, of which ``gaps`` lie between copied windows.
+    ``kept`` is the first window's source (document, start), ``source`` the last one's (document, word
+    after it); ``head`` is the first window's (document, word)."""
+
+    __slots__ = ("at", "end", "start", "stop", "gaps", "kept", "head", "source")
+
+    def __init__(self, at, start, stop, doc, word, kept_start):
+        self.at, self.end, self.start, self.stop, self.gaps = at, at + WINDOW, start, stop, 0
+        self.kept, self.head, self.source = (doc, kept_start), (doc, word), (doc, word + WINDOW)
+
+    def gap(self, other: _Run) -> int | None:
+        """Edits at most between this run and a later one of the same pair of documents, None if
+        they do not follow each other there."""
+        if self.source[0] != other.head[0]:
+            return None
+        mine, theirs = other.at - self.end, other.head[1] - self.source[1]
+        if theirs < 0:  # words taken twice are edits as well
+            mine, theirs = mine - theirs, 0
+        most = max(mine, theirs)
+        return most if most <= GAP else None
+
+    def take(self, other: _Run, gap: int) -> None:
+        self.gaps += gap + other.gaps
+        if other.end >= self.end:
+            self.end, self.source = other.end, other.source
+        self.stop = max(self.stop, other.stop)
+
+
+def joined(runs: list[_Run]) -> list[_Run]:
+    """``runs`` in order, joined over gaps, smallest first, as long as gaps stay a small part."""
+    while True:
+        best = None
+        for k in range(len(runs) - 1):
+            a, b = runs[k], runs[k + 1]
+            gap = a.gap(b)
+            if gap is not None and (a.gaps + gap + b.gaps) * 100 <= (b.end - a.at) * GAPS and (best is None or gap < best[0]):
+                best = gap, k
+        if best is None:
+            return runs
+        runs[best[1]].take(runs.pop(best[1] + 1), best[0])
 
 
 def passages(found: DataFrame) -> DataFrame:
-    """Overlapping copies of one document joined; passages of ``LEAST_WORDS`` words or more."""
+    """Copies of one document joined; passages of ``LEAST_WORDS`` words or more."""
     names = ["doc", "start", "stop", "words", "kept_doc", "kept_start", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run = None  # doc, first word, word after, start, stop, kept doc, kept start
+        doc, runs = None, []  # exact runs with small gaps between them
         out: list[tuple] = []
 
         def close() -> None:
-            if open_run and open_run[2] - open_run[1] >= LEAST_WORDS:
-                d, a, b, start, stop, kept, kept_start = open_run
-                out.append((d, start, stop, b - a, kept, kept_start, "passage"))
+            for r in joined(runs):
+                if r.end - r.at >= LEAST_WORDS:
+                    out.append((doc, r.start, r.stop, r.end - r.at, *r.kept, "passage"))
+            runs.clear()
 
         def given() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             return pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
         for batch in batches:
-            for d, w, start, stop, kept, kept_start in zip(*[batch[c].to_pylist() for c in (
-                    "doc", "word", "start", "stop", "kept_doc", "kept_start")], strict=True):
-                if open_run and open_run[0] == d and w <= open_run[2]:
-                    open_run[2], open_run[4] = max(open_run[2], w + WINDOW), max(open_run[4], stop)
-                else:
+            for d, w, start, stop, kept, word, kept_start in zip(*[batch[c].to_pylist() for c in (
+                    "doc", "word", "start", "stop", "kept_doc", "kept_word", "kept_start")], strict=True):
+                seed = _Run(w, start, stop, kept, word, kept_start)
+                if runs and (doc != d or w > runs[-1].end + GAP):
                     close()
-                    open_run = [d, w, w + WINDOW, start, stop, kept, kept_start]
+                doc = d
+                if runs and w <= runs[-1].end:
+                    runs[-1].take(seed, 0)
+                else:
+                    runs.append(seed)
             if out:
                 yield given()
                 out.clear()

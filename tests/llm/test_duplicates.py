@@ -189,3 +189,23 @@ def test_short_lines_with_one_changed_character_are_found(spark):
     root = line_roots(spark, [x for of in pairs.values() for pair in of for x in pair])
     found = {n: sum(root[2 * (60 * k + i)] == root[2 * (60 * k + i) + 1] for i in range(60)) for k, n in enumerate(pairs)}
     assert found[3] >= 48 and all(found[n] >= 57 for n in found if n > 3), found
+
+
+def test_pasted_passages_with_changed_words_are_found(spark):
+    rng, words = random.Random(24), vocabulary(24, 3000)
+
+    def line(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    rows, cases = [], [(n, e) for n, e in ((46, 0), (51, 0), (53, 0), (60, 1), (70, 1), (80, 2), (100, 2)) for _ in range(40)]
+    for k, (n, e) in enumerate(cases):
+        passage = line(n)
+        copy = list(passage)
+        for at in rng.sample(range(n), e):
+            copy[at] = "x" + rng.choice(words)
+        rows += [(k, " ".join(line(30) + passage + line(30))), (1000 + k, " ".join(line(17) + copy + line(40)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeated(docs).collect() if r["kind"] == "passage"}
+    assert got <= {(1000 + k, k) for k in range(len(cases))}
+    share = {c: sum((1000 + k, k) in got for k, x in enumerate(cases) if x == c) / 40 for c in set(cases)}
+    assert all(v == 1 for (n, e), v in share.items() if not e) and min(share.values()) >= 0.97, share
