@@ -1,6 +1,6 @@
 """Substring deduplication: paragraphs that repeat, whole or pasted into other text.
 
-Paragraphs (lines of 40 words or more) are sets of 5-word shingles. Signatures of 24 minima in 8
+Paragraphs (lines of 5 words or more) are sets of 5-word shingles. Signatures of 24 minima in 8
 bands of 3 are tuned for a recall above 0.98 at a similarity of 0.75; colliding paragraphs are
 verified by exact Jaccard similarity, components of the verified pairs keep their first paragraph.
 
@@ -31,7 +31,7 @@ from .shingles import (
 from .store import written
 
 BANDS, ROWS = 8, 3
-LEAST_WORDS = 40
+LEAST_PARAGRAPH, LEAST_WORDS = WORDS, 40  # words of a paragraph, of a pasted passage
 WINDOW, WINNOW = 8, 4
 #: Words between two exact runs of a passage at most, and percent of its words that gaps may hold.
 GAP, GAPS = 24, 25
@@ -59,14 +59,14 @@ def _word_ends(data: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarra
 # --- paragraphs -------------------------------------------------------------------------------
 
 def _paragraphs(part: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(row, first byte, byte after, shingle hashes) of each long line of each text."""
+    """(row, first byte, byte after, shingle hashes) of each line of ``LEAST_PARAGRAPH`` words or more."""
     data, at = buffers(part.column("text"))
     low, high = int(at[0]), int(at[-1])
     breaks = np.flatnonzero(data[low:high] == 10) + low
     cuts = np.unique(np.concatenate((at, breaks)))  # a line begins at a text or at a line feed
     words, _, counts = word_hashes(data, cuts)
     hashes, begin = shingle_hashes(words, counts)
-    for k in np.flatnonzero(np.diff(counts) >= LEAST_WORDS):
+    for k in np.flatnonzero(np.diff(counts) >= LEAST_PARAGRAPH):
         row = int(np.searchsorted(at, cuts[k], "right")) - 1
         start = int(cuts[k]) + (1 if cuts[k] < high and data[cuts[k]] == 10 else 0)
         yield row, start, int(cuts[k + 1]), np.unique(hashes[begin[k]:begin[k + 1]])
@@ -314,7 +314,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     met first). ``kind`` is ``paragraph`` or ``passage``; both may report one stretch. For a
     paragraph ``words`` counts its distinct shingles and four.
 
-    Null texts and texts of fewer than 40 words repeat nothing. Rows with one id are one document
+    Null texts and lines of fewer than five words repeat nothing unless a passage holds them. Rows with one id are one document
     whose repeated rows repeat each other's text at equal places, which is not reported for whole
     paragraphs; a null id counts as the smallest. Other columns are not used. No rows, no result.
     """

@@ -209,3 +209,16 @@ def test_pasted_passages_with_changed_words_are_found(spark):
     assert got <= {(1000 + k, k) for k in range(len(cases))}
     share = {c: sum((1000 + k, k) in got for k, x in enumerate(cases) if x == c) / 40 for c in set(cases)}
     assert all(v == 1 for (n, e), v in share.items() if not e) and min(share.values()) >= 0.97, share
+
+
+def test_short_paragraphs_are_reported(spark):
+    rng, words = random.Random(25), vocabulary(25, 3000)
+    shared = {n: " ".join(rng.choice(words) for _ in range(n)) for n in (4, 5, 12, 30, 39)}
+    near = shared[39].rsplit(" ", 1)[0] + " other"
+    rows = [(k, "\n".join([" ".join(rng.choice(words) for _ in range(9)), shared[n]])) for n in shared for k in (n, 100 + n)]
+    rows.append((300, near))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    got = sorted((r["doc_id"], r["kept_doc_id"], texts[r["doc_id"]][r["start"]:r["stop"]])
+                 for r in paragraphs.repeated(docs).collect() if r["kind"] == "paragraph")
+    assert got == [*[(100 + n, n, shared[n]) for n in (5, 12, 30, 39)], (300, 39, near)]
