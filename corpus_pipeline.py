@@ -40,15 +40,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of near duplicates the document with the smallest id stays. Rows
-    that repeat an id and its words are one document; documents without words all stay."""
-    found, other = written(jaccard_join.jaccard_components(docs)), "gone_id"
-    while other in docs.columns:
-        other += "_"
-    gone = found.filter(F.col("n_shingles") > 0).filter(
-        ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(other)), "left_anti")
-    twice = found.filter("n_shingles > 0").groupBy("doc_id", "class").count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    that repeat an id and its words are one document, other words under the id, or without one,
+    are others; documents without words all stay."""
+    found, other, own = written(jaccard_join.jaccard_components(docs)), "gone_id", "own_class"
+    while other in docs.columns or own in docs.columns:
+        other, own = other + "_", own + "_"
+    sets = written(found.filter("n_shingles > 0").select("doc_id", "class", "root").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class")).alias("first")
+    gone = written(sets.join(written(sets.groupBy("root").agg(first)), "root").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class")))
+    ).select(F.col("doc_id").alias(other), F.col("class").alias(f"{own}_gone")))
+    many = written(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(other)))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(other))
+    kept = docs.join(gone.select(other).union(many).distinct(), same, "left_anti")
+    if many.isEmpty():
+        return kept
+    # where rows share an id, or have none, the words tell them apart
+    rows = jaccard_join.with_class(docs.join(many, same, "left_semi"), own)
+    rows = written(rows.join(gone, same & (F.col(own) == F.col(f"{own}_gone")), "left_anti"))
+    once = rows.filter(F.col(own) != 0).dropDuplicates(["doc_id", own])
+    return kept.union(rows.filter(F.col(own) == 0).drop(own)).union(once.drop(own))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Lines are sets of character shingles (eight code points; a shorter line is one shingle). A signature
 of 24 minima, in 8 bands of 3, finds lines that may be alike; pairs that collide are verified by the
 exact Jaccard similarity of all their shingles; connected components of the verified pairs keep one
-line, the first of the corpus by ``(doc_id, position)``.
+line, the first of the corpus by ``(doc_id, position)``. A document is an id and a text: rows that
+share an id, or have none, but hold other texts are other documents.
 
 Minima are taken over the shingles that begin a word (after a space), a sixth of all, which have the
 same similarity on average; lines of few words or few spaces use all shingles. Lines in between, up to a
@@ -42,15 +43,16 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc, pos, line, id`` of all lines that are not blank; a null id is the largest."""
+    """``doc, tag`` (hash of the text), ``pos, line, id`` of all lines that are not blank; a null id is
+    the largest."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc")
     blank = F.btrim(F.col("line"), F.lit(" \t\r\x0b\x0c")) == ""
-    return docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
+    return docs.select(doc, F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
         ~blank).withColumn("id", F.xxhash64("line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``id, first_doc, copies, n`` (code points), ``bands`` (keys) and ``sig`` (the last byte of
+    """``id, copies, n`` (code points), ``bands`` (keys) and ``sig`` (the last byte of
     each minimum, eight in one integer) of each distinct line, for each kind of signature that it
     has; ``main`` marks one row of each line."""
     words, n = F.split("line", " "), F.length("line")
@@ -58,24 +60,24 @@ def signatures(lines: DataFrame) -> DataFrame:
     begun = (size >= FEW_WORDS) & (size * LONG_WORDS >= n)
     every = ~begun | (size * 3 <= FEW_WORDS * 4) | (size * LONG_WORDS * 3 <= n * 4)
     kinds = F.filter(F.array(F.when(every, F.lit(True)), F.when(begun, F.lit(False))), lambda k: k.isNotNull())
-    units = lines.select("id", "doc", n.alias("n"), words.alias("w"), F.when(every, F.encode("line", "UTF-32")).alias("raw"),
+    units = lines.select("id", n.alias("n"), words.alias("w"), F.when(every, F.encode("line", "UTF-32")).alias("raw"),
                          every.alias("every"), F.explode(kinds).alias("few"))
     units = units.withColumn("main", F.col("few") | ~F.col("every")).withColumn(
         "m", F.when(F.col("few"), F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).otherwise(F.size("w")))
     places = units.select("*", F.expr("explode(sequence(0, m - 1)) AS i"))
-    hashed = places.select("id", "doc", "n", "few", "main", "i", F.expr(
+    hashed = places.select("id", "n", "few", "main", "i", F.expr(
         f"if(few, hash(substring(raw, 4 * i + 1, {4 * SHINGLE})),"
         f" hash(left(array_join(slice(w, i + 1, 3), ' '), {SHINGLE})))").alias("h"))
     # the masks of one band lie far apart, so that even a short line gives it different shingles
     masks = [((r * BANDS + b) << 27) - (1 << 31) for b in range(BANDS) for r in range(ROWS)]
     minima = hashed.groupBy("id", "few", "main").agg(
-        F.min("doc").alias("first_doc"), F.count_if(F.col("i") == 0).alias("copies"), F.max("n").alias("n"),
+        F.count_if(F.col("i") == 0).alias("copies"), F.max("n").alias("n"),
         *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
     bands = [F.xxhash64(F.lit(b), "few", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     sig = F.array(*[reduce(Column.bitwiseOR, [
         F.shiftleft(F.col(f"m{at + i}").bitwiseAND(F.lit(255)).cast("bigint"), 8 * i) for i in range(8)])
         for at in range(0, BANDS * ROWS, 8)])
-    return minima.select("id", "main", "first_doc", "copies", "n", F.array(*bands).alias("bands"), sig.alias("sig"))
+    return minima.select("id", "main", "copies", "n", F.array(*bands).alias("bands"), sig.alias("sig"))
 
 
 def probable(mine: str, other: str) -> Column:
@@ -182,7 +184,7 @@ def late_links(members: DataFrame, balls: DataFrame, found: DataFrame,
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """``doc, removed``: the positions (from 0) of the lines to take out of each document."""
+    """``doc, tag, removed``: the positions (from 0) of the lines to take out of each document."""
     lines = lines_of(docs)
     known = written(signatures(lines))
     members = written(buckets(known))
@@ -191,15 +193,15 @@ def removals(docs: DataFrame) -> DataFrame:
     groups = written(components(links(members, lambda pairs: verified(pairs, texts))))
     mates = known.filter("main").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
-    keepers = mates.groupBy("root").agg(F.min("first_doc").alias("keeper"), F.sum("copies").alias("all"))
-    plural = written(mates.join(written(keepers.filter("all > 1")), "root").select("id", "root", "keeper"))
-    places = written(lines.select("id", "doc", "pos")).join(plural, "id")
+    several = written(mates.groupBy("root").agg(F.sum("copies").alias("all")).filter("all > 1").select("root"))
+    plural = written(mates.join(several, "root").select("id", "root"))
+    places = written(written(lines.select("id", "doc", "tag", "pos")).join(plural, "id").select("root", "doc", "tag", "pos"))
+    keepers = written(places.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("keeper")))
     # a document's own first line of each group: only in its keeper does it stay
-    firsts = places.groupBy("doc", "root").agg(
-        F.min("pos").alias("first"), F.min("keeper").alias("keeper"), F.collect_list("pos").alias("all"))
-    gone = F.when(F.col("doc") == F.col("keeper"), F.array_except("all", F.array("first"))).otherwise(F.col("all"))
-    return firsts.select("doc", gone.alias("gone")).filter(F.size("gone") > 0).groupBy("doc").agg(
-        F.flatten(F.collect_list("gone")).alias("removed"))
+    firsts = written(places.groupBy("doc", "tag", "root").agg(F.min("pos").alias("first"), F.collect_list("pos").alias("all")))
+    gone = F.when(F.struct("doc", "tag") == F.col("keeper"), F.array_except("all", F.array("first"))).otherwise(F.col("all"))
+    return firsts.join(_bounded(keepers), "root").select("doc", "tag", gone.alias("gone")).filter(
+        F.size("gone") > 0).groupBy("doc", "tag").agg(F.flatten(F.collect_list("gone")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -207,18 +209,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     with ``text``, their remaining lines, ``n_lines`` and ``n_removed``.
 
     Of each group of lines that are equal or alike (and of chains of them) the first line of the
-    corpus stays, by ``doc_id``, then position. Blank lines stay and are alike to nothing. Rows with
-    one id count as one document and lose the same positions; a null id comes last. A null text
+    corpus stays, by ``doc_id``, a hash of the text, then position. Blank lines stay and are alike to
+    nothing. Rows with one id and one text count as one document and lose the same positions; other
+    texts under the id, or without one, are documents of their own; a null id comes last. A null text
     stays null and has no lines. No rows, no result.
     """
-    gone = removals(docs.select("doc_id", "text")).withColumnRenamed("doc", "_doc")
+    gone = removals(docs.select("doc_id", "text")).withColumnRenamed("doc", "_doc").withColumnRenamed("tag", "_of")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_id"))
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_tag"))
     whole = F.split("doc.text", "\n")
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), coalesce(removed, array())),"
                   " i -> _lines[i]), '\n')")
-    return rows.join(gone, F.col("_id") == F.col("_doc"), "left").withColumn("_lines", whole).select(
+    return rows.join(gone, (F.col("_id") == F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left").withColumn("_lines", whole).select(
         "doc", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept).alias("text"),
         F.greatest(F.size("_lines"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shingles import as_long, mixed, slices, text_shingles
@@ -382,7 +383,7 @@ def _boundaries(known: DataFrame, roots: DataFrame, sets: DataFrame, bounds: Dat
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class`` for each row of ``docs`` (``doc_id, text``).
+    """``doc_id, n_shingles, component_id, class, root`` (of the component's classes) for each row of ``docs`` (``doc_id, text``).
 
     Documents link when their sets of 5-word shingles have a Jaccard similarity of 0.75 or more;
     ``component_id`` is the smallest ``doc_id`` that links reach. Texts of fewer words have their
@@ -417,4 +418,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return written(placed).join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "class")
+        "class", "root")
+
+
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` (all columns) and the class of each text as ``name``; 0: it has no words."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                marks = [_class(own) for own in _sets(*text_shingles(part.column("text")))]
+                yield pa.record_batch([*part.columns, as_long(np.array(marks, np.uint64))], names=[*columns, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from corpora import SCHEMA, edited, messy, vocabulary, words_of
 
 import corpus_pipeline
-from prospectry.llm import decontaminate, language, quality, shingles
+from prospectry.llm import decontaminate, fuzzy_lines, language, quality, shingles
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -184,3 +184,22 @@ def test_short_items_are_found_at_every_number_of_edits():
     own, _, counts = shingles.word_hashes(*shingles.buffers(pa.array(texts, pa.string())))
     found = {(r, i) for r, i, *_ in decontaminate._hits(index, own, counts)}
     assert not [cases[k // 20] for k in range(len(items)) if (k, k) not in found]
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rng, words = random.Random(41), vocabulary(41, 3000)
+
+    def line():
+        return " ".join(rng.choice(words) for _ in range(30))
+
+    a, b, c, d, e = (line() for _ in range(5))
+    rows = [(1, a), (None, f"{b}\n{a}"), (None, f"{c}\n{d}"), (7, f"{a}\n{e}"), (7, line()), (None, line())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc"]["doc_id"], r["text"]) for r in fuzzy_lines.deduplicated(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [rows[0], (None, b), rows[2], (7, e), *rows[4:]]))
+    # near copies of whole documents: only the copies go
+    rows = [(1, a + " " + b), (None, a + " " + b + " end"), (None, c), (None, d), (None, d + " end"), (7, e), (7, a + " " + b), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted(map(str, [tuple(r) for r in corpus_pipeline.dedup_documents(spark, docs, SMALL).collect()]))
+    fixed = sorted(map(str, [rows[0], rows[2], rows[5], rows[7]]))
+    assert left in [sorted([*fixed, str(rows[k])]) for k in (3, 4)]
