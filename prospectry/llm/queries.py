@@ -1,11 +1,12 @@
-"""The registered queries over the ten operators and the pipeline."""
+"""The registered queries over the operators of this package."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join, language, paragraphs, quality, warc
+from . import bpe, chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join, language, paragraphs, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,12 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(marked)))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and its bytes read back from them."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language": op2_language,
@@ -89,4 +96,5 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_chat_template": op10_chat_template,
+    "op13_bpe": op13_bpe,
 }
