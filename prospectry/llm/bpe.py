@@ -9,14 +9,15 @@ A text is cut into pre-tokens by a pattern, and each distinct pre-token is looke
    the least rank, leftmost first, and a merge puts the two pairs around it back on the heap.
 
 The vocabulary is a file of fixed size, read by the driver and broadcast. Texts are worked off in
-slices of a few megabytes; what is remembered of earlier pre-tokens is bounded, and forgetting it
-changes no result.
+slices of a few megabytes. Most text repeats, so the ids of what stands between two spaces are
+remembered; what is remembered is bounded, and forgetting it changes no result.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from .shingles import mixed, slices
 from .store import packed
 
 SLICE = 1 << 21  # bytes of text, or ids, worked off at once
-REMEMBERED = 1 << 18  # pre-tokens, and 64 times as many characters of them
+REMEMBERED = 1 << 18  # chunks, and 64 times as many characters of them
 _LEVEL = 0x9E3779B97F4A7C15
 
 
@@ -140,31 +141,70 @@ class Vocabulary:
         return out
 
 
-class _Pieces(dict):
-    """Number of each pre-token met so far; new ones wait to be resolved."""
+class _Chunks(dict):
+    """Number of each chunk met so far, and their ids in a row; new chunks wait to be resolved.
 
-    def __init__(self):
+    A chunk is the text between two single spaces that stand between other than white space. A
+    pattern match never goes on over such a space, and the space begins the next match, so a chunk
+    has the same pre-tokens wherever it stands. The first chunk of a text lacks the space; its key
+    is a tuple.
+    """
+
+    def __init__(self, pattern: str, vocabulary: Vocabulary):
         super().__init__()
+        self.find, self.vocabulary = regex.compile(pattern).finditer, vocabulary
         self.new: list[str] = []
         self.chars = 0
         self.flat, self.begin = array("i"), array("q", [0])
+        self.merged: dict[bytes, list[int]] = {}
 
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.new.append(piece)
-        self.chars += len(piece)
+    def __missing__(self, chunk) -> int:
+        number = self[chunk] = len(self)
+        text = chunk[0] if isinstance(chunk, tuple) else " " + chunk
+        self.new.append(text)
+        self.chars += len(text)
         return number
 
-    def resolve(self, vocabulary: Vocabulary) -> None:
-        pieces = [p.encode() for p in self.new]
-        for piece, i in zip(pieces, vocabulary.whole(pieces), strict=True):
-            if i >= 0:
-                self.flat.append(i)
+    def resolve(self) -> None:
+        pieces, ends = [], []
+        for text in self.new:
+            pieces += [m[0].encode() for m in self.find(text)]
+            ends.append(len(pieces))
+        at = 0
+        for i, found in enumerate(self.vocabulary.whole(pieces)):
+            while ends[at] == i:  # chunks are never empty but for an empty text's
+                self.begin.append(len(self.flat))
+                at += 1
+            if found >= 0:
+                self.flat.append(found)
             else:
-                self.flat.extend(vocabulary.merged(piece))
-            self.begin.append(len(self.flat))
+                ids = self.merged.get(pieces[i])
+                if ids is None:
+                    ids = self.merged[pieces[i]] = self.vocabulary.merged(pieces[i])
+                self.flat.extend(ids)
+        self.begin.extend([len(self.flat)] * (len(ends) - at))
         self.new = []
 
+    def full(self) -> bool:
+        return len(self) > REMEMBERED or self.chars > 64 * REMEMBERED
+
+
+_cut = re.compile(r"(?<=\S) (?=\S)")
+_odd = re.compile(r" \s|\s |\A | \Z")
+
+
+def _chunk_keys(text: str) -> Iterator[list]:
+    """Keys of all chunks of a text, in stretches of bounded size."""
+    at = 0
+    while at < len(text):
+        stretch = _cut.search(text, at + SLICE) if len(text) - at > SLICE else None
+        part = text[at:stretch.start()] if stretch else text[at:]
+        keys = _cut.split(part) if _odd.search(part) else part.split(" ")
+        if at == 0:
+            keys[0] = (keys[0],)
+        yield keys
+        at += len(part) + 1
+
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places ``starts[i] .. starts[i] + sizes[i] - 1`` of all ``i`` in a row."""
@@ -172,12 +212,12 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _encoded(texts: pa.Array, find, pieces: _Pieces, vocabulary: Vocabulary) -> pa.Array:
-    number = pieces.__getitem__
-    places = [np.fromiter(map(number, (m[0] for m in find(t))), np.int64) if t else np.zeros(0, np.int64)
+def _encoded(texts: pa.Array, chunks: _Chunks) -> pa.Array:
+    number, none = chunks.__getitem__, np.zeros(0, np.int64)
+    places = [np.concatenate([none, *(np.fromiter(map(number, keys), np.int64, len(keys)) for keys in _chunk_keys(t or ""))])
               for t in texts.to_pylist()]
-    pieces.resolve(vocabulary)
-    flat, begin = np.array(pieces.flat, dtype=np.int32), np.array(pieces.begin, dtype=np.int64)
+    chunks.resolve()
+    flat, begin = np.array(chunks.flat, dtype=np.int32), np.array(chunks.begin, dtype=np.int64)
     offsets, parts = [0], []
     for own in places:  # text by text, so that working arrays stay small
         ids = flat[_spread(begin[own], begin[own + 1] - begin[own])]
@@ -205,12 +245,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
     schema = T.StructType([rows.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, find, pieces = shared.value, regex.compile(pattern).finditer, _Pieces()
+        chunks = _Chunks(pattern, shared.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                if len(pieces) > REMEMBERED or pieces.chars > 64 * REMEMBERED:
-                    pieces = _Pieces()
-                ids = _encoded(part.column("text"), find, pieces, vocabulary)
+                if chunks.full():
+                    chunks = _Chunks(pattern, shared.value)
+                ids = _encoded(part.column("text"), chunks)
                 yield pa.record_batch([part.column("doc"), ids], names=["doc", "ids"])
 
     return rows.mapInArrow(run, schema)

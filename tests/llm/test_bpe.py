@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from corpora import SCHEMA, messy
@@ -56,7 +57,7 @@ def texts():
     return odd
 
 
-def test_documents_of_all_kinds(spark, monkeypatch):
+def test_documents_of_all_kinds(spark):
     rows = messy() + [(5000 + i, t, *[None] * 10) for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = sorted(map(tuple, bpe.digests(docs, RANKS, PATTERN).collect()), key=str)
@@ -71,15 +72,23 @@ def test_documents_of_all_kinds(spark, monkeypatch):
     assert bpe.digests(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
-def test_forgetting_changes_nothing():
-    import pyarrow as pa
-    import regex
+def test_forgetting_and_short_stretches_change_nothing(monkeypatch):
+    wanted = [LIBRARY.encode_ordinary(t) for t in texts()]
+    for size in (1 << 21, 50, 3):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        got, chunks = [], bpe._Chunks(PATTERN, VOCABULARY)
+        for t in texts():
+            chunks = bpe._Chunks(PATTERN, VOCABULARY) if len(chunks) > 5 else chunks
+            got += bpe._encoded(pa.array([t]), chunks).to_pylist()
+        assert got == wanted
+    assert bpe._encoded(pa.array(texts()), bpe._Chunks(PATTERN, VOCABULARY)).to_pylist() == wanted
 
-    find, small, pieces = regex.compile(PATTERN).finditer, [], bpe._Pieces()
-    for t in texts():
-        pieces = bpe._Pieces() if len(pieces) > 5 else pieces
-        small += bpe._encoded(pa.array([t]), find, pieces, VOCABULARY).to_pylist()
-    assert small == [LIBRARY.encode_ordinary(t) for t in texts()]
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab'sé \n\t\x1c\x85\u3000.1", max_size=30), max_size=4))
+def test_texts_follow_the_library(rows):
+    got = bpe._encoded(pa.array(rows, pa.string()), bpe._Chunks(PATTERN, VOCABULARY)).to_pylist()
+    assert got == [LIBRARY.encode_ordinary(t) for t in rows]
 
 
 def test_ids_that_no_token_has(spark):
