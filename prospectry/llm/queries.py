@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, curriculum, decontaminate, fuzzy_lines, imatch, jaccard_join, language, paragraphs, quality, warc
+from . import (
+    bpe,
+    chat,
+    curriculum,
+    decontaminate,
+    divergence,
+    filter_audit,
+    fuzzy_lines,
+    imatch,
+    jaccard_join,
+    language,
+    paragraphs,
+    quality,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +93,16 @@ def op10_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(marked)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters over all documents, step by step within each language."""
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of all pairs of sources of a language, and the terms that mark each source."""
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and its bytes read back from them."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -96,5 +120,7 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_chat_template": op10_chat_template,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
     "op13_bpe": op13_bpe,
 }
