@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_domain
 from ..rules import DEFAULT_RULES, LOOKUP_RESULTS, RuleSet
-from .ordering import at_most_per_key, first_by
+from ..sources.tables import written
+from .ordering import at_most_per_key, first_by, numbered
+from .skew import join_skewed
 
-_QUERY_BITS, _POSITION_BITS = 32, 26
+#: First failures that are sent to all tasks: a row of a provider and a query each.
+MOST_PROVIDERS = 10_000
 
 
 def configured_only(rows: DataFrame, configured: Sequence[str]) -> DataFrame:
@@ -25,16 +28,34 @@ def before_first_failure(
     """What a provider was asked before its first failure; later queries are never sent.
 
     ``rows`` has ``failed``. The failing row itself brought nothing. With ``page`` in ``order``
-    the earlier pages of the failing query stay. One minimum per provider instead of a running
-    window, so a provider with most of the rows is no single task.
+    the earlier pages of the failing query stay. The first failures (one row for each provider, no
+    bodies) are counted: up to ``MOST_PROVIDERS`` go to where the rows are read, so that no body is
+    moved for them. More than that are joined, with heavy providers dealt out.
     """
     at = F.struct(*order)
-    failures = rows.filter("failed").groupBy(*keys).agg(F.min(at).alias("_first_failure"))
-    joined = rows.join(failures, list(keys), "left")
+    failures = written(
+        rows.filter("failed").groupBy(*keys).agg(F.min(at).alias("_first_failure")))
+    same = [c for c in rows.columns if c not in keys]
+    if failures.limit(MOST_PROVIDERS + 1).count() <= MOST_PROVIDERS:
+        joined = rows.join(F.broadcast(failures), list(keys), "left")
+    else:
+        key = F.struct(*keys)
+        joined = join_skewed(
+            rows.select(F.to_json(key).alias("_key"), *keys, *same),
+            failures.select(F.to_json(key).alias("_key"), "_first_failure"), "_key", "left",
+            keys=rows.select(F.to_json(key).alias("_key")))
     kept = joined.filter(F.col("_first_failure").isNull() | (at < F.col("_first_failure")))
     return kept.select(*rows.columns)
 
 
+def _page(results: DataFrame) -> Column:
+    return F.col("page").cast("bigint") if "page" in results.columns else F.lit(0).cast("bigint")
+
+
+def _result_order(results: DataFrame) -> list[str]:
+    return [*(["page"] if "page" in results.columns else []), "position"]
+
+
 def _cap(wanted: int, rules: RuleSet) -> Column:
     cap = F.lit(wanted)
     for name, most in rules.provider_caps.items():
@@ -46,9 +67,10 @@ def _cap(wanted: int, rules: RuleSet) -> Column:
 def cap_results(
     results: DataFrame, wanted: int, rules: RuleSet = DEFAULT_RULES
 ) -> DataFrame:
-    """The first results of each query, as many as asked for and its provider gives."""
+    """The first results of each query over its pages, as many as asked for and its provider
+    gives."""
     return at_most_per_key(
-        results, ["provider", "q_ord"], ["position"], _cap(wanted, rules), wanted)
+        results, ["provider", "q_ord"], _result_order(results), _cap(wanted, rules), wanted)
 
 
 def directory_websites(places: DataFrame, details: DataFrame) -> DataFrame:
@@ -67,15 +89,19 @@ def provider_rank(rules: RuleSet = DEFAULT_RULES) -> Column:
 
 def candidate_list(*results: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """``(ord, url, query, source)`` over provider results, provider by provider, query by
-    query, result by result."""
-    place = (
-        F.shiftleft(provider_rank(rules).cast("bigint"), _QUERY_BITS).bitwiseOR(F.col("q_ord")))
-    ord_ = F.shiftleft(place, _POSITION_BITS).bitwiseOR(F.col("position")).alias("ord")
-    columns = (ord_, F.col("url"), F.col("query"), F.col("provider").alias("source"))
-    out = results[0].select(*columns)
-    for more in results[1:]:
-        out = out.unionByName(more.select(*columns))
-    return out
+    query, page by page, result by result; ``ord`` counts from 1 without gaps.
+
+    The order is that of whole keys (rank, query, page, position), then of URL and query where a
+    result is listed twice, so no id is too large for it. Results are read once and written down.
+    """
+    keys = ["rank", "q_ord", "page", "position", "url", "query", "source"]
+    rows = None
+    for found in results:
+        part = found.select(
+            provider_rank(rules).alias("rank"), "q_ord", _page(found).alias("page"), "position", "url", "query",
+            F.col("provider").alias("source"))
+        rows = part if rows is None else rows.unionByName(part)
+    return numbered(written(rows), keys, "ord").select("ord", "url", "query", "source")
 
 
 def seed_candidates(seeds: DataFrame) -> DataFrame:
@@ -103,4 +129,4 @@ def lookup_results(
     chosen = [p for p in rules.lookup_providers if p in set(configured)][:1]
     one = results.filter(F.col("provider").isin(chosen) if chosen else F.lit(False))
     return at_most_per_key(
-        one, ["provider", "q_ord"], ["position"], F.lit(LOOKUP_RESULTS), LOOKUP_RESULTS)
+        one, ["provider", "q_ord"], _result_order(results), F.lit(LOOKUP_RESULTS), LOOKUP_RESULTS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.strings import blank_to_null
 from ..sources.tables import written
-from .ordering import first_by, row_index
+from .ordering import first_by, numbered
 
 
 class TableChange(NamedTuple):
@@ -74,14 +74,13 @@ def lead_outcomes(leads: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def new_leads(leads: DataFrame, judged: DataFrame, now: Column) -> DataFrame:
-    """K1: the rows to add. Numbering them reads them twice, so they are written down first: the
-    texts behind ``judged`` are read once."""
+    """K1: the rows to add. They are written down before they are numbered, so the texts behind
+    ``judged`` are read once. Starts jobs."""
     wanted = judged.filter(F.col("reason").isNull())
     wanted = first_by(wanted, ["domain"], ["ord"]).join(
         leads.select("domain"), "domain", "left_anti")
     last_id = F.coalesce(leads.agg(F.max("id")).scalar(), F.lit(0))
-    numbered = row_index(written(wanted), "ord", "id", start=last_id + 1)
-    rows = numbered.select(
+    rows = numbered(written(wanted), ["ord"], "id", start=last_id + 1).select(
         "*", F.coalesce(blank_to_null(F.col("company_name")), "domain").alias("_name")
     ).select(
         "id", F.col("_name").alias("company_name"), F.col("url").alias("website"), "domain",

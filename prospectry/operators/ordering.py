@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BITS = 20
+from ..sources.tables import written
 
+_RANGE_BITS = 33  # of an id that grows within a range of sorted rows, below the range's number
 
-def row_index(df: DataFrame, ord_col: str, out: str, start: int | Column = 1) -> DataFrame:
-    """``df`` with ``out`` = place of the row in the order of the unique bigint ``ord_col``.
 
-    A global ``row_number`` would put every row into one task. Here rows are numbered within
-    blocks of 2^20 consecutive ``ord_col`` values, and block offsets come from counts, themselves
-    summed in blocks: no window sees more than 2^20 rows (2^23 block groups at the top).
+def numbered(
+    df: DataFrame, order: Sequence[str | Column], out: str, start: int | Column = 1
+) -> DataFrame:
+    """``df`` with ``out`` = dense place of the row in the order of ``order`` (columns of any kind).
+
+    A global ``row_number`` would put every row into one task. Here Spark sorts the rows into
+    ranges, so that no task has more than its share whatever the keys are, and the rows are written
+    down once with their place in their range. Counts of the ranges, one row for each task that
+    wrote, give the places before each range. Rows that tie in all of ``order`` follow each other in
+    any order, but each has a place of its own. Starts a job; ``df`` is read twice, once for the
+    bounds of the ranges, so a dear ``df`` should be ``written`` before.
     """
-    block, group = F.shiftright(F.col(ord_col), _BITS), F.shiftright(F.col(ord_col), 2 * _BITS)
-    counts = df.groupBy(block.alias("_block"), group.alias("_group")).agg(F.count("*").alias("_n"))
-
-    def before(count: str, window) -> Column:
-        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(count).over(earlier), F.lit(0))
-
-    in_group = counts.withColumn(
-        "_in_group", before("_n", Window.partitionBy("_group").orderBy("_block")))
-    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_g")).select(
-        "_group", before("_g", Window.orderBy("_group")).alias("_before_group"))
-    offsets = in_group.join(groups, "_group").select(
-        "_block", (F.col("_in_group") + F.col("_before_group")).alias("_before"))
+    places = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    in_range = F.col("_at").bitwiseAND(F.lit((1 << _RANGE_BITS) - 1))
+    range_ = F.shiftright("_at", _RANGE_BITS)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = places.groupBy(range_.alias("_range")).agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     first = start if isinstance(start, Column) else F.lit(start)
-    numbered = df.withColumn("_block", block).join(offsets, "_block").withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_block").orderBy(ord_col)))
-    return numbered.withColumn(
-        out, (F.col("_before") + F.col("_n") - 1 + first).cast("bigint")
-    ).drop("_block", "_before", "_n")
+    return places.withColumn("_range", range_).join(F.broadcast(before), "_range").withColumn(
+        out, (F.col("_before") + in_range + first).cast("bigint")).select(*df.columns, out)
+
+
+def row_index(df: DataFrame, ord_col: str, out: str, start: int | Column = 1) -> DataFrame:
+    """``numbered`` by one column."""
+    return numbered(df, [ord_col], out, start)
 
 
 def first_by(df: DataFrame, keys: list[str], ord_cols: list[str]) -> DataFrame:

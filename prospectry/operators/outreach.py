@@ -10,7 +10,7 @@ from ..functions.mail import fill_template, sender_problems, step_label
 from ..rules import FINAL_STATUSES, INTERVAL_DAYS, MAX_FOLLOWUPS
 from .leads import TableChange
 from .funnels import long_counts
-from .ordering import row_index
+from .ordering import numbered
 
 
 def contactable(leads: DataFrame, only_manufacturers: bool = False) -> DataFrame:
@@ -129,12 +129,16 @@ def with_delivery(messages: DataFrame, send: bool) -> DataFrame:
 
 
 def log_rows(outreach: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
-    """K4: the log rows of ``messages`` (``id`` is the lead's), numbered on from the log's last."""
+    """K4: the log rows of ``messages`` (``id`` is the lead's), numbered on from the log's last in
+    the order in which they are sent: oldest lead first, as planned. Only lead ids are numbered; the
+    texts are joined to them."""
     last_id = F.coalesce(outreach.agg(F.max("id")).scalar(), F.lit(0))
+    turns = numbered(
+        messages.select(F.col("id").alias("lead_id"), "created_at"),
+        [F.col("created_at").asc_nulls_first(), "lead_id"], "id", start=last_id + 1)
     rows = messages.withColumnRenamed("id", "lead_id").select(
         "lead_id", "to_email", "step", "subject", "body", "delivery", "error",
-        now.alias("created_at"))
-    rows = row_index(rows, "lead_id", "id", start=last_id + 1)
+        now.alias("created_at")).join(turns.select("lead_id", "id"), "lead_id")
     return schemas.conform(rows, schemas.OUTREACH, schemas.OUTREACH_DEFAULTS)
 
 

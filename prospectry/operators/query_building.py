@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import DEFAULT_COMPANY_TYPES, DEFAULT_RULES, LOOKUP_QUERY, RuleSet
-from .ordering import row_index
+from .ordering import numbered
 
 
 def build_queries(
@@ -32,7 +32,7 @@ def build_queries(
         for i, name in enumerate(types) for j, t in enumerate(rules.templates[name])
     ]
     total = keywords.agg(F.count("*")).scalar()
-    indexed = row_index(keywords, "ord", "kw", start=0)
+    indexed = numbered(keywords, ["ord"], "kw", start=0)
     rows = indexed.select("kw", "keyword", F.explode(F.array(*templates)).alias("t"))
     turn = F.col("t.tpl_ord") * total + F.col("kw")
     queries = rows.select(

@@ -2,7 +2,8 @@
 
 Every lead contacted at a mail domain meets the same messages of that domain, so messages are
 reduced to one row per mail domain before the join: a domain with a great share of messages and
-leads never yields their product.
+leads never yields their product. The leads of such a domain are dealt over tasks, each with a copy
+of that row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from ..functions.mail import wants_out
 from ..functions.urls import mail_domain
 from ..rules import DEFAULT_RULES, RuleSet
 from .leads import TableChange
+from .skew import join_skewed
 
 POLICIES = ("any", "first")
 
@@ -49,7 +51,7 @@ def reply_updates(
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    matched = contacted.join(digest, "mail_domain")
+    matched = join_skewed(contacted, digest, "mail_domain")
     per_lead = matched.groupBy("lead_id").agg(
         F.min(F.struct("first_id", "first_out")).alias("f"), F.bool_or("any_out").alias("any_out"))
     out = F.col("any_out") if policy == "any" else F.col("f.first_out")

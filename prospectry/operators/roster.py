@@ -9,7 +9,8 @@ from .. import schemas
 from ..functions.strings import blank_to_null
 from ..rules import ROSTER_HOME_COUNTRY, ROSTER_SOURCE
 from .leads import TableChange
-from .ordering import first_by, row_index
+from .ordering import first_by, numbered
+from .skew import join_skewed
 
 
 def roster_part(
@@ -62,10 +63,7 @@ def roster_outcomes(
     if profiles is not None:
         facts = facts.join(
             profiles.select("domain", "n_pages", F.col("email").alias("_found")), "domain", "left")
-    # rows without a domain find nothing; a key of their own each keeps them from one task
-    key = F.coalesce("domain", F.concat(F.lit("\x01"), F.col("ord").cast("string")))
-    rows = located.withColumn("_key", key).join(
-        facts.withColumnRenamed("domain", "_key"), "_key", "left")
+    rows = join_skewed(located, facts, "domain", "left")
     is_first = F.col("ord") == F.col("_first")
     outcome = (
         F.when(F.col("domain").isNull(), "no_domain")
@@ -97,7 +95,7 @@ def merge_roster(
         ["domain"], ["ord"])
     last_id = F.coalesce(leads.agg(F.max("id")).scalar(), F.lit(0))
     fresh = rows.join(leads.select("domain"), "domain", "left_anti")
-    fresh = row_index(fresh, "ord", "id", start=last_id + 1).select(
+    fresh = numbered(fresh, ["ord"], "id", start=last_id + 1).select(
         "id", F.col("name").alias("company_name"),
         F.concat(F.lit("https://"), "domain", F.lit("/")).alias("website"), "domain",
         F.lit(ROSTER_SOURCE).alias("source"),

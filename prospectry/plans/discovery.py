@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_path
+from ..functions.urls import url_domain, url_path
 from ..operators import candidates as cand
 from ..operators import gates, leads as lead_ops, sites
 from ..operators.funnels import discovery_funnel
+from ..operators.skew import join_skewed
 from ..rules import DEFAULT_RULES, RuleSet
 from ..sources.tables import written
 
 
-class Discovery(NamedTuple):
-    """``judged`` is worked out and written down; the rest follows from it without reading pages."""
+@dataclass(frozen=True)
+class Discovery:
+    """``judged`` is worked out and written down; the rest follows from it without reading pages.
+
+    ``new_leads`` is numbered when it is first asked for: a preview needs none of that.
+    """
 
     judged: DataFrame
-    new_leads: DataFrame
     outcomes: DataFrame
     funnel: DataFrame
+    leads: DataFrame
+    now: Column
+
+    @cached_property
+    def new_leads(self) -> DataFrame:
+        return lead_ops.new_leads(self.leads, self.judged, self.now)
 
 
 def gated(
     evidence: DataFrame, domains: DataFrame, host_addresses: DataFrame | None = None,
     robots_rules: DataFrame | None = None, unreadable: DataFrame | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Page rows of the given domains that may be read: public hosts, paths robots allow."""
-    rows = evidence.join(domains.select("domain"), "domain", "left_semi")
+    """Page rows of the given (distinct) domains that may be read: public hosts, paths robots allow.
+
+    The hosts are judged once for each domain, before their pages; a domain with a great share of
+    the pages, looked for in ``keys``, is dealt over tasks.
+    """
+    domains = domains.select("domain")
     if host_addresses is not None:
-        rows = gates.only_public(rows, host_addresses)
+        domains = gates.only_public(domains, host_addresses)
+    rows = join_skewed(evidence, domains, "domain", "left_semi", keys)
     if robots_rules is not None:
         path = url_path(F.col("url"))
         rows = rows.withColumn("path", F.when(path == "", F.lit("/")).otherwise(path))
@@ -61,7 +78,7 @@ def run(
         to_read = to_read.join(leads.select("domain"), "domain", "left_anti")
     evidence = gated(
         sites.page_evidence(pages, rules, candidates_only), to_read, host_addresses, robots_rules,
-        unreadable)
+        unreadable, keys=pages.select(url_domain(F.col("url")).alias("domain")))
     profiles = sites.profiles_from(evidence, rules, candidates_only)
     judged = lead_ops.judged_visits(visits, profiles, allow_non_us, vendors_only)
     if skip_known:
@@ -70,5 +87,4 @@ def run(
             "reason", F.when(F.col("_known").isNull(), F.col("reason"))).drop("_known")
     judged = written(judged)
     outcomes = lead_ops.lead_outcomes(leads, judged)
-    return Discovery(
-        judged, lead_ops.new_leads(leads, judged, now), outcomes, discovery_funnel(outcomes))
+    return Discovery(judged, outcomes, discovery_funnel(outcomes), leads, now)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import outreach as out_ops
 from ..operators import replies as reply_ops
 from ..rules import DEFAULT_RULES, INBOX_DAYS, INTERVAL_DAYS, MAX_FOLLOWUPS, RuleSet
-from ..sources.tables import recent_messages
+from ..sources.tables import recent_messages, written
 
 
 class Tick(NamedTuple):
@@ -32,7 +32,7 @@ def run(
     """``messages`` is the hand-over to whatever delivers mail; ``new_log_rows`` goes to the log.
 
     A message is planned only for a (lead, step) the log has no delivered row for, so a tick that
-    is run again over its own log plans nothing twice.
+    is run again over its own log plans nothing twice. The plan is worked out once and written down.
     """
     if inbox is None:
         updates = leads.select(F.col("id").alias("lead_id")).limit(0).withColumns({
@@ -41,8 +41,8 @@ def run(
     else:
         answered, updates = reply_ops.apply_replies(
             leads, outreach, recent_messages(inbox, now, since_days), now, policy, rules)
-    planned = out_ops.plan_outreach(
-        answered, outreach, now, only_manufacturers, limit, interval_days, max_followups)
+    planned = written(out_ops.plan_outreach(
+        answered, outreach, now, only_manufacturers, limit, interval_days, max_followups))
     messages = out_ops.with_delivery(
         out_ops.with_problems(out_ops.render_messages(planned, first, follow_up, sender), sender),
         send)

@@ -436,8 +436,8 @@ kept AS (SELECT r.provider, r.q_ord, r.query, r.position, r.url FROM results r
   LEFT JOIN first_failure f USING (provider)
   WHERE (f.q IS NULL OR r.q_ord < f.q) AND NOT failed AND r.provider IN ('bing', 'brave', 'serper')
   UNION ALL SELECT provider, q_ord, query, position, url FROM places),
-cands AS (SELECT ((list_position({array(PROVIDERS)}, provider) - 1)::BIGINT * 4294967296 + q_ord)
-  * 67108864 + position AS ord, url, query, provider AS source FROM kept)"""
+cands AS (SELECT row_number() OVER (ORDER BY list_position({array(PROVIDERS)}, provider), q_ord, position,
+  url, query) AS ord, url, query, provider AS source FROM kept)"""
 SQL["candidate_union"] = with_(_UNION) + "SELECT * FROM cands"
 SQL["first_candidates"] = with_(_UNION) + f"""SELECT ord, url, query, source, domain FROM (SELECT *,
   row_number() OVER (PARTITION BY domain ORDER BY ord) AS rn FROM (
@@ -550,7 +550,7 @@ SQL["due_plan_capped"] = with_(_STEPS) + """SELECT id, email, step FROM due WHER
 _FIRST_BODY = FIRST[1].format(**SENDER)
 _NEXT_BODY = FOLLOW_UP[1].format(**SENDER)
 _RENDERED = f"""{_STEPS},
-rendered AS (SELECT id, domain, email AS to_email, step,
+rendered AS (SELECT id, domain, created_at AS waiting_since, email AS to_email, step,
   CASE WHEN step = 1 THEN {q(FIRST[0])} ELSE {q(FOLLOW_UP[0])} END AS subject,
   CASE WHEN step = 1 THEN {q(_FIRST_BODY)} ELSE {q(_NEXT_BODY)} END AS body,
   CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'drafted' END AS delivery FROM due)"""
@@ -560,7 +560,7 @@ SQL["draft_messages"] = with_(_RENDERED) + f"""SELECT id AS lead_id, step, to_em
 SQL["message_problems"] = with_(_RENDERED) + """SELECT id, CASE WHEN step = 1 THEN 'first'
   ELSE 'follow-up #' || (step - 1) END AS label, 'sender_postal_address' AS problems FROM rendered"""
 SQL["outreach_log"] = with_(_RENDERED) + f"""SELECT (SELECT max(id) FROM outreach) + row_number() OVER (
-    ORDER BY id) AS id, id AS lead_id, to_email, step, subject, body, delivery,
+    ORDER BY waiting_since NULLS FIRST, id) AS id, id AS lead_id, to_email, step, subject, body, delivery,
   CAST(NULL AS VARCHAR) AS error, {TS_NOW} AS created_at FROM rendered"""
 SQL["contacted_leads"] = with_(_RENDERED) + f"""SELECT l.* REPLACE (
   CASE WHEN r.id IS NOT NULL THEN 'contacted' ELSE l.status END AS status,
@@ -708,7 +708,8 @@ SQL["discovery_run"] = with_(
     WHEN p.domain IS NULL THEN 'fetch_failed' ELSE coalesce({_REASON.format(us='')}, 'added') END AS outcome
   FROM visits v LEFT JOIN profiles p USING (domain) LEFT JOIN known k ON k.domain = v.domain"""
 _TICK = _RENDERED.replace("CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'drafted' END", "'drafted'")
-_LOG = f"""SELECT (SELECT max(id) FROM outreach) + row_number() OVER (ORDER BY id) AS id, id AS lead_id,
+_LOG = f"""SELECT (SELECT max(id) FROM outreach) + row_number() OVER (
+  ORDER BY waiting_since NULLS FIRST, id) AS id, id AS lead_id,
   to_email, step, subject, body, delivery, CAST(NULL AS VARCHAR) AS error, {TS_NOW} AS created_at
   FROM rendered"""
 SQL["cadence_tick"] = with_(_TICK) + f"SELECT * FROM outreach UNION ALL {_LOG}"

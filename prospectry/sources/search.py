@@ -14,8 +14,6 @@ _SEARCH_JSON = (
 )
 _DIRECTORY_JSON = "results array<struct<place_id:string,name:string,formatted_address:string>>"
 
-PAGE_BITS = 20
-
 
 def _rows(items: Column, url: str, title: str, snippet: str) -> Column:
     def text(x: Column, field: str) -> Column:
@@ -30,20 +28,16 @@ def _rows(items: Column, url: str, title: str, snippet: str) -> Column:
     )
 
 
-def _page(df: DataFrame) -> Column:
-    return F.col("page") if "page" in df.columns else F.lit(0)
-
-
-def _position(page: Column) -> Column:
-    return (F.shiftleft(page.cast("bigint"), PAGE_BITS) + F.col("pos")).alias("position")
+def _page(df: DataFrame) -> list[str]:
+    return ["page"] if "page" in df.columns else []
 
 
 def search_results(responses: DataFrame) -> DataFrame:
-    """``(provider, q_ord, query, position, url, title, snippet)`` from response bodies.
+    """``(provider, q_ord, query[, page], position, url, title, snippet)`` from response bodies.
 
     A response is ``(provider, q_ord, query, failed, body[, page])``. Missing fields become ``''``,
-    a missing list brings no rows, and so does a failed response. ``position`` orders the results
-    of one query over its pages.
+    a missing list brings no rows, and so does a failed response. ``position`` is the place within
+    the response; where a query has several pages, ``page`` is kept and comes before it.
     """
     j = F.col("j")
     results = (
@@ -55,26 +49,27 @@ def search_results(responses: DataFrame) -> DataFrame:
               _rows(j["web"]["results"], "url", "title", "description"))
     )
     parsed = responses.filter(~F.coalesce("failed", F.lit(False))).select(
-        "provider", "q_ord", "query", _page(responses).alias("page"),
+        "provider", "q_ord", "query", *_page(responses),
         F.from_json("body", _SEARCH_JSON).alias("j"),
     )
     rows = parsed.select(
-        "provider", "q_ord", "query", "page", F.posexplode(results).alias("pos", "r")
+        "provider", "q_ord", "query", *_page(responses), F.posexplode(results).alias("pos", "r")
     )
-    return rows.select("provider", "q_ord", "query", _position(F.col("page")), "r.*")
+    return rows.select(
+        "provider", "q_ord", "query", *_page(responses), F.col("pos").cast("bigint").alias("position"), "r.*")
 
 
 def directory_results(responses: DataFrame) -> DataFrame:
-    """``(provider, q_ord, query, position, place_id, name, address)``."""
+    """``(provider, q_ord, query[, page], position, place_id, name, address)``."""
     parsed = responses.filter(~F.coalesce("failed", F.lit(False))).select(
-        "provider", "q_ord", "query", _page(responses).alias("page"),
+        "provider", "q_ord", "query", *_page(responses),
         F.from_json("body", _DIRECTORY_JSON)["results"].alias("results"),
     )
     rows = parsed.select(
-        "provider", "q_ord", "query", "page", F.posexplode("results").alias("pos", "r")
+        "provider", "q_ord", "query", *_page(responses), F.posexplode("results").alias("pos", "r")
     )
     return rows.select(
-        "provider", "q_ord", "query", _position(F.col("page")),
+        "provider", "q_ord", "query", *_page(responses), F.col("pos").cast("bigint").alias("position"),
         F.coalesce("r.place_id", F.lit("")).alias("place_id"),
         F.coalesce("r.name", F.lit("")).alias("name"),
         F.col("r.formatted_address").alias("address"),

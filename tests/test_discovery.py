@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prospectry.operators import candidates, funnels, gates, hosts, query_building, sites
 from prospectry.operators import leads as lead_ops
-from prospectry.operators.ordering import first_by, row_index
+from prospectry.operators.ordering import first_by, numbered, row_index
 from prospectry.plans import discovery
 from prospectry.rules import QUERY_TEMPLATES, RuleSet
 from prospectry.sources import lists, search
@@ -21,6 +21,39 @@ def test_row_index_over_blocks(spark):
     assert got == {o: i for i, o in enumerate(sorted(ords), start=10)}
 
 
+def test_dense_numbers_for_keys_of_any_kind(spark):
+    rows = [(p, q, g, i) for p in ("a", "b") for q in (0, 1 << 32, (1 << 62) + 1) for g in range(100) for i in range(3)]
+    shuffled = spark.createDataFrame(rows, "p string, q bigint, page int, pos int").repartition(7)
+    order = [F.col("p").desc(), "q", "page", "pos"]
+    got = numbered(shuffled, order, "n", start=F.lit(5)).orderBy("n").collect()
+    wanted = sorted(rows, key=lambda r: (-ord(r[0]), *r[1:]))
+    assert [tuple(r) for r in got] == [(*r, i) for i, r in enumerate(wanted, 5)]
+    assert numbered(shuffled.limit(0), order, "n").count() == 0
+    ties = numbered(spark.range(50).select(F.lit(1).alias("k")).repartition(5), ["k"], "n")
+    assert sorted(r["n"] for r in ties.collect()) == list(range(1, 51))
+
+
+def test_candidates_keep_their_order_for_large_ids_and_many_pages(spark):
+    def body(*urls):
+        return json.dumps({"organic": [{"link": u} for u in urls]})
+
+    rows = [("serper", q, "q", False, body(f"https://s{q}-{g}.test", f"https://t{q}-{g}.test"), g)
+            for q in (1, 2, 1 << 32, 1 << 40) for g in range(100)]
+    rows += [("serper", 3, "q", False, body(*[f"https://r{i}.test" for i in range(70)]), 0)]
+    df = spark.createDataFrame(
+        rows, "provider string, q_ord bigint, query string, failed boolean, body string, page int").repartition(6)
+    found = search.search_results(df)
+    listed = candidates.candidate_list(found).orderBy("ord").collect()
+    wanted = [f"https://{x}{q}-{g}.test" for q in (1, 2) for g in range(100) for x in "st"]
+    wanted += [f"https://r{i}.test" for i in range(70)]
+    wanted += [f"https://{x}{q}-{g}.test" for q in (1 << 32, 1 << 40) for g in range(100) for x in "st"]
+    assert [r.url for r in listed] == wanted and [r.ord for r in listed] == list(range(1, len(wanted) + 1))
+    capped = candidates.cap_results(found.filter("q_ord = 1"), 150)
+    assert {(r.page, r.position) for r in capped.collect()} == {(g, i) for g in range(50) for i in range(2)}  # that provider gives 100
+    firsts = candidates.visit_list(candidates.candidate_list(found), 3).collect()
+    assert [r.domain for r in firsts] == ["s1-0.test", "t1-0.test", "s1-1.test"]
+
+
 def test_first_by(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
     assert rows_of(first_by(df, ["k"], ["o"]), "k") == [("a", 1, "y"), ("b", 3, None)]
