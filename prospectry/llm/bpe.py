@@ -77,7 +77,7 @@ class Vocabulary:
         if lacking or len(set(ranks.values())) != len(ranks) or min(ranks.values()) < 0:
             raise ValueError("a vocabulary needs all single bytes and one id from 0 for each token")
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
+        self.single = [ranks[bytes([i])] for i in range(256)]
         tokens = list(ranks)
         for self.seed in range(64):  # another seed where two tokens share a hash
             keys = self._keys(tokens)
@@ -113,30 +113,35 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a piece by merges of least rank, leftmost first."""
-        ranks, n, longest = self.ranks, len(piece), self.longest
-        after, before, alive = list(range(1, n + 2)), list(range(-1, n)), bytearray(b"\1" * n)
-        heap = [(ranks[piece[i:i + 2]], i, i + 2) for i in range(n - 1) if piece[i:i + 2] in ranks]
+        rank_of, n = self.ranks.get, len(piece)
+        ids = [self.single[b] for b in piece]  # of the part that begins at each byte
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of a part with the next one
+        pair.append(-1)
+        heap = [rank * n + i for i, rank in enumerate(pair) if rank >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or after[i] >= n or after[after[i]] != stop:
+            rank, i = divmod(heapq.heappop(heap), n)
+            if pair[i] != rank:
                 continue  # a part of this pair has been merged since
-            alive[after[i]] = 0
-            after[i] = stop
-            before[stop] = i
-            pairs = []
+            gone = after[i]
+            stop = after[i] = after[gone]
+            ids[i], pair[gone] = rank, -1
+            rank = -1
             if stop < n:
-                pairs.append((i, after[stop]))
-            if i > 0:
-                pairs.append((before[i], stop))
-            for a, b in pairs:
-                if b - a <= longest:
-                    rank = ranks.get(piece[a:b])
-                    if rank is not None:
-                        heapq.heappush(heap, (rank, a, b))
+                before[stop] = i
+                rank = rank_of(piece[i:after[stop]], -1)
+                if rank >= 0:
+                    heapq.heappush(heap, rank * n + i)
+            pair[i] = rank
+            left = before[i]
+            if left >= 0:
+                rank = pair[left] = rank_of(piece[left:stop], -1)
+                if rank >= 0:
+                    heapq.heappush(heap, rank * n + left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i:after[i]]])
+            out.append(ids[i])
             i = after[i]
         return out
 
@@ -152,7 +157,7 @@ class _Chunks(dict):
 
     def __init__(self, pattern: str, vocabulary: Vocabulary):
         super().__init__()
-        self.find, self.vocabulary = regex.compile(pattern).finditer, vocabulary
+        self.find, self.vocabulary = regex.compile(pattern).findall, vocabulary
         self.new: list[str] = []
         self.chars = 0
         self.flat, self.begin = array("i"), array("q", [0])
@@ -168,7 +173,7 @@ class _Chunks(dict):
     def resolve(self) -> None:
         pieces, ends = [], []
         for text in self.new:
-            pieces += [m[0].encode() for m in self.find(text)]
+            pieces += [m.encode() for m in self.find(text)]
             ends.append(len(pieces))
         at = 0
         for i, found in enumerate(self.vocabulary.whole(pieces)):
