@@ -11,8 +11,8 @@ source lacks has the source's least share, so the sums over all terms follow fro
 * the number of terms that neither has.
 
 Terms are written down once, in a folder for each language. Vocabularies pass through the driver, as
-``CountVectorizer`` does it; where a language has more distinct terms than a bound, its terms are dealt
-into slices by hash with a vectorizer each, so that no vocabulary exceeds it and none is cut.
+``CountVectorizer`` does it; where a language keeps more terms than a bound, its terms are dealt into
+slices by hash with a vectorizer each, so that no vocabulary exceeds it and none is cut.
 
 All arithmetic is on integers: counts as ``bigint``, numerators as ``decimal(38, 0)``.
 """
@@ -30,10 +30,14 @@ from .store import shared_dir, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCUMENTS = 10
-#: Distinct terms of one vectorizer, about; more are dealt into slices.
+#: Kept terms of one vectorizer, about; more are dealt into slices.
 SLICE_TERMS = 1_000_000
+#: One in so many terms is counted beforehand to tell how many will be kept.
+SAMPLED = 64
 TOP_TERMS = 10
 SCALE = 1_000_000_000
+#: Texts in which A-Z are the only characters that have a lower case.
+_PLAIN = r"\A[\x00-\x7F\xDF-\xF6\xF8-\xFF]*+\z"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KEY = ["lang", "slice", "i"]
 _COUNTS = "lang string, source string, slice int, i int, n bigint"
@@ -42,7 +46,8 @@ _TERMS = "lang string, slice int, i int, item string"
 
 def term_list(text: Column) -> Column:
     """The terms of a text, A-Z in lower case and all else as it is; none for null."""
-    small = F.translate(F.coalesce(text, F.lit("")), _CAPITALS, _SMALL)
+    text = F.coalesce(text, F.lit(""))
+    small = F.when(F.rlike(text, F.lit(_PLAIN)), F.lower(text)).otherwise(F.translate(text, _CAPITALS, _SMALL))
     return F.regexp_extract_all(small, F.lit(TERM), F.lit(0))
 
 
@@ -57,20 +62,28 @@ def _term_table(docs: DataFrame) -> DataFrame:
     return spark.read.schema("lang string, source string, terms array<string>, folder string").parquet(path)
 
 
-def _languages(terms: DataFrame, slice_terms: int, min_documents: int) -> list[tuple[str, int]]:
-    """Folder and number of slices of each language that can have a kept term."""
-    each = terms.select("folder", F.explode("terms").alias("term"))
-    distinct = each.groupBy("folder").agg(F.approx_count_distinct("term", 0.02).alias("terms"))
+def _languages(terms: DataFrame, slice_terms: int, min_documents: int, sampled: int) -> list[tuple[str, int]]:
+    """Folder and number of slices of each language that can have a kept term.
+
+    Kept terms are estimated by those of one in ``sampled`` hash values, all of whose occurrences
+    count; junk words that occur once or twice, which grow with the table, do not.
+    """
+    each = terms.select("folder", F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(sampled)) == 0)
+    often = each.groupBy("folder", "term").count().filter(F.col("count") >= min_documents)
+    kept = often.groupBy("folder").agg((F.count("*") * sampled).alias("kept"))
     documents = terms.groupBy("folder").count().filter(F.col("count") >= min_documents)
-    return sorted((r["folder"], -(-r["terms"] // slice_terms)) for r in distinct.join(documents, "folder").collect())
+    rows = documents.join(kept, "folder", "left").select("folder", F.coalesce("kept", F.lit(0)).alias("kept")).collect()
+    return sorted((r["folder"], max(1, -(-r["kept"] // slice_terms))) for r in rows)
 
 
-def counted(terms: DataFrame, slice_terms: int = SLICE_TERMS, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+def counted(
+    terms: DataFrame, slice_terms: int = SLICE_TERMS, min_documents: int = MIN_DOCUMENTS, sampled: int = SAMPLED,
+) -> tuple[DataFrame, DataFrame]:
     """``lang, source, slice, i, n`` (``n > 0`` occurrences of a kept term in a source) and
     ``lang, slice, i, item`` (the kept terms). Starts jobs for each language."""
     spark = terms.sparkSession
     sums, vocabularies = [], []
-    for folder, slices in _languages(terms, slice_terms, min_documents):
+    for folder, slices in _languages(terms, slice_terms, min_documents, sampled):
         rows = terms.filter(F.col("folder") == folder)
         lang = rows.select("lang").first()[0]
         for number in range(slices):
@@ -150,7 +163,9 @@ def marking_terms(groups: DataFrame, rows: DataFrame, vocabulary: DataFrame) ->
     return above.join(vocabulary, _KEY).select("lang", "source", "item", distance(F.col("p"), F.col("q")).alias("value"))
 
 
-def audited(docs: DataFrame, slice_terms: int = SLICE_TERMS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def audited(
+    docs: DataFrame, slice_terms: int = SLICE_TERMS, min_documents: int = MIN_DOCUMENTS, sampled: int = SAMPLED,
+) -> DataFrame:
     """``lang, source, part, item, value, rank`` over ``docs`` (``text, lang, source``): distances of
     each source to all others of its language (``pair``), and its ten most marking terms (``term``).
 
@@ -159,7 +174,7 @@ def audited(docs: DataFrame, slice_terms: int = SLICE_TERMS, min_documents: int
     documents of their own; other columns are not used. No rows, no result.
     """
     terms = _term_table(docs)
-    counts, vocabulary = counted(terms, slice_terms, min_documents)
+    counts, vocabulary = counted(terms, slice_terms, min_documents, sampled)
     groups, rows = group_shares(terms, counts, vocabulary)
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
 

@@ -196,10 +196,10 @@ def brute_divergence(rows, least=10):
     return sorted(found)
 
 
-@pytest.mark.parametrize("slice_terms", [divergence.SLICE_TERMS, 15])
-def test_divergence_by_brute_force(spark, slice_terms):
+@pytest.mark.parametrize("slice_terms, sampled", [(divergence.SLICE_TERMS, divergence.SAMPLED), (15, 1)])
+def test_divergence_by_brute_force(spark, slice_terms, sampled):
     rows = source_rows()
-    got = divergence.audited(spark.createDataFrame(rows, SCHEMA).repartition(3), slice_terms)
+    got = divergence.audited(spark.createDataFrame(rows, SCHEMA).repartition(3), slice_terms, sampled=sampled)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     wanted = brute_divergence(rows)
     assert sorted(map(tuple, got.collect())) == wanted
@@ -219,6 +219,13 @@ def test_divergence_of_nothing(spark):
     assert {r["value"] for r in divergence.audited(few).collect()} == {0}
 
 
+def test_terms_of_all_scripts(spark):
+    texts = ["ABC abc Äpfel ÄPFEL straße", "plain ASCII Text", "naïve É ÀB", "Ⅷ ⓐⒶ ΑΣ İi", "a-b_c1d", "", None, "x" * 9000 + "É"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["t"] for r in frame.select("i", divergence.term_list(frame["text"]).alias("t")).collect()}
+    assert got == {i: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t)) for i, t in enumerate(texts)}
+
+
 def test_shares_of_very_large_counts(spark):
     n, total, kept = 10**15 + 7, 3 * 10**15, 10**9
     row = spark.createDataFrame([(n, total, kept)], "n bigint, t bigint, k bigint")
