@@ -7,13 +7,18 @@ the two ends of its text travel:
 
 1. *page*: what the rules find well inside the page (``reach`` characters away from its ends), or
    what needs no surroundings at all;
-2. *run*: pages whose position falls in the same block of ``2**RUN_BITS``. Where two of them meet,
-   the ends of the texts around the seam are judged like a small text;
-3. *site*: the same once more where two runs meet, and at the start and end of the site.
+2. *merge*: consecutive pages become one segment: the findings of all, those at the seams where two
+   of them meet (the ends of the texts around a seam are judged like a small text), and the two ends
+   of the joined text. Merging is associative, so segments merge like pages, in rounds of up to
+   ``2**RUN_BITS`` at a time, until each site is one;
+3. the first characters of the site are judged once more as its start.
+
+Pages are merged by their dense position within their site, whatever their ids are. A site with no
+more pages than a round takes needs one round and no positions, which is nearly all of them.
 
 A seam answers for matches that begin within ``reach`` of it and sees twice that on both sides, so
 every match is judged with its full surroundings at least once. "First match" rules take the
-minimum over (run, page, offset), which is the first match in the whole text.
+minimum over (page before the seam, round, offset), which is the first match in the whole text.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.strings import contains_some
 from ..rules import RuleSet
+from ..sources.tables import written
+from .ordering import numbered
+from .skew import join_skewed
 
 RUN_BITS = 10
 PIECE_BITS = 6
@@ -88,14 +96,21 @@ def _judge(piece: _Piece, rules: RuleSet) -> Column:
     )
 
 
-def _ends(pages_or_runs: Window, n: int, head: str, tail: str) -> tuple[Column, Column]:
-    """Text up to and including a row, and text after it, ``n`` characters each.
+def _with_ends(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``left``, the text up to and including a row, and ``right``, the text after it, ``n``
+    characters each at most.
 
-    Every row stands for at least one character, so ``n`` neighbours always suffice.
+    Frames are ranges of characters, not of rows: rows beyond the ``n`` characters are not looked at,
+    which leaves one or two neighbours where texts are not tiny.
     """
-    before = F.array_join(F.collect_list(tail).over(pages_or_runs.rowsBetween(-(n - 1), 0)), "")
-    after = F.array_join(F.collect_list(head).over(pages_or_runs.rowsBetween(1, n)), "")
-    return F.right(before, F.lit(n)), F.left(after, F.lit(n))
+    order = Window.partitionBy(*keys).orderBy("ord")
+    earlier = F.sum(F.length("head")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_start", F.coalesce(earlier, F.lit(0)))
+    near = Window.partitionBy(*keys).orderBy("_start")
+    before = F.array_join(F.collect_list("tail").over(near.rangeBetween(-2 * n, 0)), "")
+    after = F.array_join(F.collect_list("head").over(near.rangeBetween(1, 2 * n)), "")
+    return rows.withColumns(
+        {"left": F.right(before, F.lit(n)), "right": F.left(after, F.lit(n))}).drop("_start")
 
 
 def page_findings(
@@ -141,61 +156,95 @@ def _merged(name: str, parts: dict[str, str]) -> Column:
     return F.expr(f"bit_or({value})").alias(name)
 
 
-def _place(run: str, run_level: str, ord_: str, level: str) -> str:
-    return f"'run', {run}, 'run_level', {run_level}, 'ord', {ord_}, 'level', {level}"
+def _place(ord_: str, level: int) -> str:
+    return f"'ord', {ord_}, 'level', {level}"
+
+
+def _merge(
+    rows: DataFrame, keys: list[str], rules: RuleSet, aggs: dict[str, Column], level: int, last: bool,
+) -> DataFrame:
+    """One segment for each of ``keys`` out of its pages (``level`` 0) or segments, in the order of
+    ``ord``, which of a segment is that of its last page. ``last``: a site's end is known as such."""
+    reach = rules.reach()
+    n = 2 * reach
+    names = [f.name for f in rows.schema["found"].dataType]
+    rows = _with_ends(rows, keys, n).withColumn("whole", F.concat("left", "right")).withColumn(
+        "lowered", F.lower("whole")).withColumns({"level": F.lit(1), "run": F.col("ord")})
+    whole, before = F.col("whole"), F.length("left")
+    if last:
+        seam = _Piece(whole, F.col("lowered"), F.greatest(before - reach, F.lit(0)), before + reach,
+                      before < n, F.length("right") < n)
+    else:
+        seam = _Piece(whole, F.col("lowered"), F.greatest(before - reach, F.lit(reach)),
+                      F.least(before + reach, F.length(whole) - reach), F.lit(False), F.lit(False))
+    rows = rows.withColumn("seam", _judge(seam, rules))
+    places = {"found": "" if level else _place("ord", 0), "seam": _place("ord", level + 1)}
+    return rows.groupBy(*keys).agg(
+        F.struct(*[_merged(x, places) for x in names]).alias("found"),
+        F.expr(f"min(struct(ord, left(concat(head, right), {n}) AS v)).v AS head"),
+        F.expr("max(struct(ord, left AS v)).v AS tail"),
+        F.max("ord").alias("ord"), F.min("first_ord" if level else "ord").alias("first_ord"),
+        *[agg.alias(k) for k, agg in aggs.items()])
+
+
+def _with_start(sites: DataFrame, rules: RuleSet) -> DataFrame:
+    """``found`` with what begins in the first characters of the site."""
+    reach = rules.reach()
+    sites = sites.withColumn("lowered", F.lower("head"))
+    start = _Piece(F.col("head"), F.col("lowered"), F.lit(0), F.lit(reach), F.lit(True), F.length("head") < 2 * reach)
+    sites = sites.withColumn("start", _judge(start, rules))
+
+    def both(name: str) -> str:
+        found, begin = f"found.{name}", f"start.{name}"
+        if name in _FIRST:
+            return (f"least({found}, if({begin} IS NULL, NULL, named_struct('rank', {begin}.rank, "
+                    f"{_place('first_ord', -1)}, 'at', {begin}.at, 'value', {begin}.value, 'zipped', {begin}.zipped)))")
+        if name in _ANY:
+            return f"coalesce({found}, false) OR coalesce({begin}, false)"
+        return f"coalesce({found}, 0L) | coalesce({begin}, 0L)"
+
+    names = [f.name for f in sites.schema["found"].dataType]
+    rest = [c for c in sites.columns if c not in ("found", "start", "head", "tail", "lowered", "ord", "first_ord")]
+    return sites.select(*rest, *[F.expr(both(x)).alias(x) for x in names])
+
+
+def dense_positions(pages: DataFrame, least: int) -> DataFrame:
+    """``(domain, ord, place)``: places from 0 without gaps of the pages of every domain that has
+    more than ``least`` of them. Starts a job."""
+    many = pages.groupBy("domain").count().filter(F.col("count") > least).select("domain")
+    keys = join_skewed(pages.select("domain", "ord"), many, "domain", "left_semi")
+    placed = numbered(keys, ["domain", "ord"], "_n")
+    firsts = placed.groupBy("domain").agg(F.min("_n").alias("_first"))
+    return join_skewed(placed, firsts, "domain").select(
+        "domain", "ord", (F.col("_n") - F.col("_first")).alias("place"))
 
 
 def site_findings(
     findings: DataFrame, rules: RuleSet, run_aggs: dict[str, Column], site_aggs: dict[str, Column],
-    run_bits: int = RUN_BITS,
+    run_bits: int = RUN_BITS, most_pages: int | None = None,
 ) -> DataFrame:
     """Steps 2 and 3: one row per domain with the findings of its whole text.
 
-    ``run_aggs`` are further aggregates per run over the rows of ``findings``, ``site_aggs``
-    aggregates over those per domain; those see the first run of a site twice (``level`` is -1 the
-    second time). Windows see at most ``2**run_bits`` page rows, or one row for each run of a site.
+    ``run_aggs`` are further aggregates over the rows of ``findings``, ``site_aggs`` aggregates over
+    those of partial results: they must give the same in whatever groups rows are merged. No window
+    and no group has more than ``2**run_bits`` rows. ``most_pages``, where it is known, bounds the
+    pages of a site; otherwise ``findings`` are written down and counted, which starts jobs.
     """
-    reach = rules.reach()
-    n = 2 * reach
-    names = [f.name for f in findings.schema["found"].dataType]
-
-    # seams inside runs; partitioned by run even where the rows already lie by domain
-    pages = findings.withColumn("run", F.shiftright("ord", run_bits)).repartition("domain", "run")
-    left, right = _ends(Window.partitionBy("domain", "run").orderBy("ord"), n, "head", "tail")
-    pages = pages.withColumns({"left": left, "right": right}).withColumn(
-        "whole", F.concat("left", "right")).withColumn("lowered", F.lower("whole"))
-    seam = F.col("whole")
-    inner = _Piece(
-        seam, F.col("lowered"), F.greatest(F.length("left") - reach, F.lit(reach)),
-        F.least(F.length("left") + reach, F.length(seam) - reach), F.lit(False), F.lit(False))
-    pages = pages.withColumn("seam", _judge(inner, rules))
-    here = {"found": _place("run", "0", "ord", "0"), "seam": _place("run", "0", "ord", "1")}
-    runs = pages.groupBy("domain", "run").agg(
-        F.struct(*[_merged(x, here) for x in names]).alias("inside"),
-        F.expr(f"min(struct(ord, left(concat(head, right), {n}) AS v)).v AS head"),
-        F.expr("max(struct(ord, left AS v)).v AS tail"),
-        *[agg.alias(k) for k, agg in run_aggs.items()])
-
-    # seams between runs, and the start of the site as one more seam of its first run
-    in_site = Window.partitionBy("domain").orderBy("run")
-    left, right = _ends(in_site, n, "head", "tail")
-    runs = runs.withColumns({
-        "left": left, "right": right, "first_run": F.row_number().over(in_site) == 1})
-    seams = F.expr(f"""explode(filter(array(
-        struct(1 AS level, concat(left, right) AS whole, length(left) AS before,
-               length(right) < {n} AS to_end),
-        if(first_run, struct(-1 AS level, left(concat(head, right), {n}) AS whole, 0 AS before,
-               length(concat(head, right)) < {n} AS to_end), NULL)), x -> x IS NOT NULL))""")
-    rows = runs.select("domain", "run", "inside", *run_aggs, seams.alias("s"))
-    rows = rows.select("*", "s.*", F.lower("s.whole").alias("lowered"))
-    before = F.col("before")
-    between = _Piece(
-        F.col("whole"), F.col("lowered"), F.greatest(before - reach, F.lit(0)), before + reach,
-        before < n, F.col("to_end"))
-    rows = rows.withColumn("seam", _judge(between, rules))
-    there = {"inside": "", "seam": _place("run", "level", "0L", "0")}
-    return rows.groupBy("domain").agg(
-        *[_merged(x, there) for x in names], *[agg.alias(k) for k, agg in site_aggs.items()])
+    bits = max(run_bits, 1)
+    rows = findings
+    if most_pages is None:
+        rows = written(findings)
+        most_pages = rows.groupBy("domain").count().agg(F.max("count")).first()[0] or 0
+    level, aggs = 0, run_aggs
+    if most_pages > 1 << bits:
+        places = dense_positions(rows, 1 << bits)
+        rows = rows.join(places, ["domain", "ord"], "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    while most_pages > 1 << bits:
+        # dealt out by group even where the rows already lie by domain
+        grouped = rows.withColumn("group", F.shiftright("place", bits)).repartition("domain", "group")
+        rows = _merge(grouped, ["domain", "group"], rules, aggs, level, False).withColumnRenamed("group", "place")
+        most_pages, level, aggs = (most_pages - 1 >> bits) + 1, level + 1, site_aggs
+    return _with_start(_merge(rows, ["domain"], rules, aggs, level, True), rules)
 
 
 def conclusions(found: DataFrame, rules: RuleSet) -> dict[str, Column]:

@@ -76,12 +76,12 @@ def contact_rollup(features: DataFrame) -> DataFrame:
     """
     return features.groupBy("domain").agg(
         F.count("*").alias("n_pages"),
-        *[_first_set(f, "ord").alias(f) for f in PAGE_FIELDS])
+        *[_first_of(f)["v"].alias(f) for f in PAGE_FIELDS])
 
 
-def _first_set(field: str, ord_col: str) -> Column:
-    return F.min(
-        F.when(F.col(field).isNotNull(), F.struct(F.col(ord_col), F.col(field).alias("v"))))["v"]
+def _first_of(field: str) -> Column:
+    """The first non-null value with its place: a minimum that goes on being one when merged."""
+    return F.min(F.when(F.col(field).isNotNull(), F.struct("ord", F.col(field).alias("v"))))
 
 
 def page_evidence(
@@ -110,17 +110,17 @@ def profiles_from(
     ``pages_checked`` lists the pages of a site visited on its candidate paths; it is null when
     all stored pages count, however many a domain has, and ``n_pages`` counts them.
     """
-    run_aggs = {"n_pages": F.count("*")} | {f: _first_set(f, "ord") for f in _KEPT}
-    once = F.col("level") == 1
-    site_aggs = {"n_pages": F.sum(F.when(once, F.col("n_pages")))}
-    site_aggs |= {f: _first_set(f, "run") for f in _KEPT}
+    run_aggs = {"n_pages": F.count("*")} | {f: _first_of(f) for f in _KEPT}
+    site_aggs = {"n_pages": F.sum("n_pages")} | {f: F.min(f) for f in _KEPT}
     if candidates_only:
         run_aggs["urls"] = F.collect_list(F.struct("ord", "url"))
-        site_aggs["urls"] = F.array_sort(F.flatten(F.collect_list(F.when(once, F.col("urls")))))
-        checked = F.transform("urls", lambda p: p["url"])
+        site_aggs["urls"] = F.flatten(F.collect_list("urls"))
+        checked = F.transform(F.array_sort("urls"), lambda p: p["url"])
     else:
         checked = F.lit(None).cast("array<string>")
-    sites = site_findings(evidence, rules, run_aggs, site_aggs)
+    most = len(rules.candidate_paths) if candidates_only else None
+    sites = site_findings(evidence, rules, run_aggs, site_aggs, most_pages=most)
+    sites = sites.withColumns({f: F.col(f)["v"] for f in _KEPT})
     out = sites.select(
         "domain", "n_pages", *_KEPT, checked.alias("pages_checked"),
         *[c.alias(k) for k, c in conclusions(sites, rules).items()])

@@ -42,22 +42,28 @@ def gated(
 ) -> DataFrame:
     """Page rows of the given (distinct) domains that may be read: public hosts, paths robots allow.
 
-    The hosts are judged once for each domain, before their pages; a domain with a great share of
-    the pages, looked for in ``keys``, is dealt over tasks.
+    ``keys`` has the ``url`` of all pages and nothing dear: hosts and paths are judged on it, before
+    pages are parsed, and written down. A domain with a great share of the pages is dealt over tasks.
     """
+    keys = (evidence if keys is None else keys).select("url").withColumn("domain", url_domain(F.col("url")))
     domains = domains.select("domain")
     if host_addresses is not None:
         domains = gates.only_public(domains, host_addresses)
+    domains = written(domains)
     rows = join_skewed(evidence, domains, "domain", "left_semi", keys)
     if robots_rules is not None:
-        path = url_path(F.col("url"))
-        rows = rows.withColumn("path", F.when(path == "", F.lit("/")).otherwise(path))
-        asked = rows.select("domain", "path").distinct()
-        open_ = gates.robots_verdicts(asked, robots_rules, unreadable).filter("allowed")
-        rows = rows.join(open_, ["domain", "path"], "left_semi")
+        asked = join_skewed(keys, domains, "domain", "left_semi").select("domain", _robots_path().alias("path"))
+        closed = written(gates.robots_verdicts(
+            written(asked.distinct()), robots_rules, unreadable).filter("NOT allowed").select("domain", "path"))
+        rows = rows.withColumn("path", _robots_path()).join(closed, ["domain", "path"], "left_anti")
     return rows.select(*evidence.columns)
 
 
+def _robots_path() -> Column:
+    path = url_path(F.col("url"))
+    return F.when(path == "", F.lit("/")).otherwise(path)
+
+
 def run(
     candidates: DataFrame, pages: DataFrame, leads: DataFrame, now: Column,
     rules: RuleSet = DEFAULT_RULES, limit: int | None = None, allow_non_us: bool = False,
@@ -78,7 +84,7 @@ def run(
         to_read = to_read.join(leads.select("domain"), "domain", "left_anti")
     evidence = gated(
         sites.page_evidence(pages, rules, candidates_only), to_read, host_addresses, robots_rules,
-        unreadable, keys=pages.select(url_domain(F.col("url")).alias("domain")))
+        unreadable, keys=pages)
     profiles = sites.profiles_from(evidence, rules, candidates_only)
     judged = lead_ops.judged_visits(visits, profiles, allow_non_us, vendors_only)
     if skip_known:

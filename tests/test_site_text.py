@@ -43,9 +43,10 @@ def sites(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("run_bits", [0, 2, 10])
-def test_same_as_whole_text(spark, run_bits):
-    rows = sites(run_bits, 300)
+@pytest.mark.parametrize("run_bits, shift", [(0, 0), (2, 0), (2, 20), (10, 0)])
+def test_same_as_whole_text(spark, run_bits, shift):
+    """Also where ids are far apart (``shift``): pages are merged by their places."""
+    rows = [(d, o << shift, t) for d, o, t in sites(run_bits, 300)]
     pages = spark.createDataFrame(rows, "domain string, ord bigint, text string").repartition(5)
     found = site_findings(
         page_findings(pages, RULES), RULES, {"n": F.count("*")}, 
@@ -74,6 +75,27 @@ def test_same_as_whole_text(spark, run_bits):
     assert sum(r.state is not None for r in want.values()) > 20
 
 
+def test_groups_are_bounded_whatever_the_ids_are(spark, monkeypatch):
+    """Nine of ten pages on one site, ids a million apart: no group has over four rows."""
+    from prospectry.operators import site_text
+
+    seen, merge = [], site_text._merge
+
+    def watched(rows, keys, *rest):
+        seen.append(rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first())
+        return merge(rows, keys, *rest)
+
+    monkeypatch.setattr(site_text, "_merge", watched)
+    texts = [("hot", i << 20, f"w{i}" + " our" * (i == 17)) for i in range(60)] + [(f"d{i}", i, "x") for i in range(6)]
+    texts[18] = ("hot", 18 << 20, "lab texas")
+    pages = spark.createDataFrame(texts, "domain string, ord bigint, text string").repartition(3)
+    got = site_findings(page_findings(pages, RULES), RULES, {"n": F.count("*")}, {"n": F.sum("n")}, 2)
+    rows = {r.domain: r for r in got.collect()}
+    assert [tuple(x) for x in seen] == [(4, 66), (4, 15 + 6), (4, 4 + 6)]
+    assert rows["hot"].n == 60 and rows["hot"].manufacturing and rows["hot"].state_name.value == "texas"
+    assert not rows["d1"].manufacturing
+
+
 def test_pieces(spark):
     rows = [("a", 0, "x"), ("a", 63, "y"), ("a", 64, "z"), ("b", 5, "")]
     pages = spark.createDataFrame(rows, "domain string, ord bigint, text string")
