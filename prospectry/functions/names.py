@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,13 +25,35 @@ def _gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-def name_similarity(name: Column, host: Column) -> Column:
-    """Ratcliff-Obershelp ratio of the name and the host's first label, both as slugs.
+def host_label(host: Column) -> Column:
+    return F.substring_index(host, ".", 1)
+
+
+def common_letters(a: Column, b: Column) -> Column:
+    """Letters and digits that two slugs share, each as often as both have it: no matching of the
+    two can be longer."""
+    def times(s: Column, letter: str) -> Column:
+        return F.length(s) - F.length(F.replace(s, F.lit(letter), F.lit("")))
+
+    shared = [F.least(times(a, x), times(b, x)) for x in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    return reduce(Column.__add__, shared)
+
 
-    The only Python on executors: Spark has no such measure. Equal slugs (ratio 1) and slugs
-    without a common character need no call when a caller filters them beforehand.
-    """
-    return _gestalt(slug(name), slug(F.substring_index(host, ".", 1)))
+def similarity_bound(a: Column, b: Column) -> Column:
+    """What the similarity of two slugs is at most; exact for equal ones and those that share nothing."""
+    total = F.length(a) + F.length(b)
+    return F.when(a == b, F.lit(1.0)).otherwise(F.lit(2.0) * common_letters(a, b) / F.greatest(total, F.lit(1)))
+
+
+def slug_similarity(a: Column, b: Column) -> Column:
+    """F14 for slugs: the Ratcliff-Obershelp ratio. The only Python on executors: Spark has no such
+    measure, so callers ask for it once for each pair that nothing else decides."""
+    return _gestalt(a, b)
+
+
+def name_similarity(name: Column, host: Column) -> Column:
+    """the similarity of a name and a host's first label, both as slugs."""
+    return slug_similarity(slug(name), slug(host_label(host)))
 
 
 def position_nudge(position: Column) -> Column:

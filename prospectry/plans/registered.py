@@ -268,13 +268,23 @@ def seed_merge_counts(spark, d):
     return hosts.seed_merge_counts(found, _seeds(spark, d))
 
 
-@query
-def keyword_table_docs(spark, d):
-    """J10 with a table of keywords: the first word, and the first two, of every benchmark item."""
+def _keyword_table(spark, d):
+    """The first word, and the first two, of every benchmark item."""
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    items = table(spark, d, "benchmark").select(
+    return table(spark, d, "benchmark").select(
         F.explode(F.array(words[0], F.concat_ws(" ", words[0], words[1]))).alias("keyword"))
-    return vocabulary.keyword_hits(table(spark, d, "documents"), items, "doc_id")
+
+
+@query
+def keyword_table_docs(spark, d):
+    """J10 with a table of keywords, as whole words."""
+    return vocabulary.keyword_hits(table(spark, d, "documents"), _keyword_table(spark, d), "doc_id")
+
+
+@query
+def keyword_substring_docs(spark, d):
+    """J10 with a table of keywords, anywhere in the text."""
+    return vocabulary.keyword_substrings(table(spark, d, "documents"), _keyword_table(spark, d), "doc_id")
 
 
 @query

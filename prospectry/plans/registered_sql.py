@@ -377,12 +377,23 @@ _HOST = host(f"{authority('url')} || ({array(('', '.', *ASSET_SUFFIXES))}[page_i
 SQL["company_hosts"] = f"""SELECT page_id, host, {is_company('host')} AS is_company FROM (
   SELECT page_id, {_HOST} AS host FROM pages)"""
 
-SQL["keyword_table_docs"] = r"""WITH w AS (
+_KEYWORD_TABLE = r"""w AS (
   SELECT string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM benchmark),
 k AS (SELECT DISTINCT lower(trim(x)) AS keyword FROM (
-  SELECT w[1] AS x FROM w UNION ALL SELECT concat_ws(' ', w[1], w[2]) FROM w))
-SELECT doc_id, keyword FROM documents, k WHERE regexp_matches(' ' || lower(text) || ' ',
-  '[^\p{L}\p{N}]' || regexp_escape(keyword) || '[^\p{L}\p{N}]')"""
+  SELECT w[1] AS x FROM w UNION ALL SELECT concat_ws(' ', w[1], w[2]) FROM w) WHERE trim(x) <> '')"""
+SQL["keyword_table_docs"] = "WITH " + _KEYWORD_TABLE + r""",
+r AS (SELECT keyword, list_distinct(regexp_extract_all(keyword, '[\p{L}\p{N}]+')) AS runs FROM k),
+d AS (SELECT doc_id, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS runs
+  FROM documents),
+u AS (SELECT doc_id, unnest(runs) AS run FROM d),
+m AS (SELECT doc_id, keyword, r.runs FROM u JOIN (SELECT keyword, runs, unnest(runs) AS run FROM r) r USING (run)
+  GROUP BY doc_id, keyword, r.runs HAVING count(*) = len(r.runs))
+SELECT doc_id, keyword FROM m WHERE keyword = runs[1]
+UNION ALL SELECT m.doc_id, keyword FROM m JOIN d USING (doc_id) WHERE keyword <> m.runs[1]
+  AND contains(t, keyword) AND regexp_matches(' ' || t || ' ',
+    '[^\p{L}\p{N}]' || regexp_escape(keyword) || '[^\p{L}\p{N}]')"""
+SQL["keyword_substring_docs"] = "WITH " + _KEYWORD_TABLE + """
+SELECT doc_id, keyword FROM documents, k WHERE contains(lower(text), keyword)"""
 SQL["denied_host_table"] = f"""WITH h AS (SELECT page_id, {host(authority('url'))} AS host FROM pages),
 denied AS (SELECT host FROM h WHERE page_id % 7 = 0 UNION SELECT 'example.net')
 SELECT page_id, host FROM h WHERE host NOT IN (SELECT host FROM denied)

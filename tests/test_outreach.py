@@ -1,5 +1,7 @@
 """Cadence, message log, replies, roster, resolution and lead management."""
 
+import difflib
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -319,3 +321,32 @@ def test_history_has_one_shape_whatever_the_count(spark):
             "CAST(NULL AS string) AS error", "CAST(NULL AS timestamp_ntz) AS created_at")
         got = {(r.id, r.part): len(r.history) for r in crm.lead_history(table, sent).collect()}
         assert got == {(1, 0): 4_086, (1, 1): n - 4_086, (2, 0): 0}
+
+
+def test_hosts_are_compared_only_where_it_can_matter(spark):
+    """Bounds by letters drop hosts, equal slugs and repeated pairs cost no call, results stay."""
+    rng = random.Random(4)
+    words = ["acme", "peptide", "labs", "nova", "bio", "grand", "ridge", "xyz", "qq"]
+    rows = []
+    for i in range(60):
+        name = " ".join(rng.sample(words, 2)).title()
+        hosts = ["".join(rng.sample(words, rng.randint(1, 3))) for _ in range(5)] + [name.lower().replace(" ", ""), "0000"]
+        rows += [(name, p, f"https://{h}.{rng.choice(['com', 'net', 'org'])}/x") for p, h in enumerate(hosts)]
+    lookups = spark.createDataFrame(rows, "name string, position int, url string")
+    scored = matching.scored_hosts(lookups).collect()
+
+    def slug(x):
+        return "".join(c for c in x.lower() if c.isascii() and c.isalnum())
+
+    for r in scored:
+        assert r.similarity == difflib.SequenceMatcher(None, slug(r.name), slug(r.host.split(".")[0])).ratio()
+    best = {}
+    for r in scored:
+        if r.score > 0 and r.score >= matching.DEFAULT_RULES.match_threshold:
+            best[r.name] = max(best.get(r.name, (0, 0, "")), (r.score, -r.position, r.host))
+    got = {r.name: (r.score, r.domain) for r in matching.official_domains(lookups).collect()}
+    assert got == {n: (b[0], b[2]) for n, b in best.items()} and len(got) > 20
+    promising = matching.promising_hosts(lookups)
+    calls = matching.pairs_to_compare(promising).count()
+    uncertain = {(slug(r.name), slug(r.host.split(".")[0])) for r in scored if 0 < r.similarity < 1}
+    assert promising.count() < len(scored) and calls < len(uncertain) < len(scored)

@@ -1,6 +1,9 @@
 """Keywords and denied hosts as tables."""
 
+from pyspark.sql import functions as F
+
 from prospectry import RuleSet
+from prospectry.functions.strings import contains_some
 from prospectry.operators import vocabulary
 
 
@@ -13,6 +16,33 @@ def test_keywords_of_any_number_are_found_as_whole_words(spark):
     assert len(RuleSet(keywords=tuple(w for w, in words[:6_000])).keywords) == 6_000
 
 
+def test_keywords_of_any_number_are_found_anywhere(spark):
+    words = [f"word{i}" for i in range(3000)] + ["BPC-157", "  c++ ", "two words", "ß", "é", "", None, "ü\n"]
+    texts = [(1, "has WORD2999 and xbpc-157x."), (2, "two  words, two words; c++ swords"), (3, None), (4, ""), (5, "STRASSE ß É")]
+    frame = spark.createDataFrame(texts, "id bigint, text string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = vocabulary.keyword_substrings(frame, table, "id")
+    low = sorted({w.strip().lower() for w in words if w} - {""})
+    wanted = sorted((i, w) for i, t in texts for w in low if w in (t or "").lower())
+    assert sorted(map(tuple, got.collect())) == wanted and (1, "word299") in wanted
+    blocks = vocabulary.keyword_substrings(frame, table, "id", block_bytes=60_000)
+    assert sorted(map(tuple, blocks.collect())) == wanted
+    # as with the keywords of a rule set
+    literal = frame.filter(contains_some(F.lower("text"), low)).select("id")
+    assert {r[0] for r in literal.collect()} == {i for i, _ in wanted}
+    assert vocabulary.keyword_substrings(frame, table.limit(0), "id").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Join" not in plan
+
+
+def test_a_text_meets_all_its_keywords_at_once(spark):
+    texts = spark.createDataFrame([(1, "alpha beta gamma")], "id bigint, text string")
+    words = spark.createDataFrame([(w,) for w in ("alpha beta", "beta gamma", "alpha gamma", "alpha")], "keyword string")
+    got = vocabulary.keyword_hits(texts, words, "id")
+    assert sorted(r.keyword for r in got.collect()) == ["alpha", "alpha beta", "beta gamma"]
+    assert "collect_set" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_denied_hosts_of_any_number(spark):
     denied = spark.range(6_000).selectExpr("concat('d', id, '.test') AS host").union(
         spark.createDataFrame([("a.b.test",)], "host string"))
