@@ -20,15 +20,18 @@ All arithmetic is on integers: counts as ``bigint``, numerators as ``decimal(38,
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shingles import buffers, slices
 from .store import shared_dir, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCUMENTS = 10
 #: Kept terms of one vectorizer, about; more are dealt into slices.
 SLICE_TERMS = 1_000_000
@@ -36,32 +39,90 @@ SLICE_TERMS = 1_000_000
 SAMPLED = 64
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-#: Texts in which A-Z are the only characters that have a lower case.
-_PLAIN = r"\A[\x00-\x7F\xDF-\xF6\xF8-\xFF]*+\z"
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Each byte of a term as it is counted, A-Z in lower case; a space for all others. Terms are letters
+#: a-z and whatever is not ASCII, so the bytes of UTF-8 tell them apart.
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+#: Sums of a task that are held at once.
+CELLS = 8 << 20
 _KEY = ["lang", "slice", "i"]
 _COUNTS = "lang string, source string, slice int, i int, n bigint"
 _TERMS = "lang string, slice int, i int, item string"
 
 
-def term_list(text: Column) -> Column:
-    """The terms of a text, A-Z in lower case and all else as it is; none for null."""
-    text = F.coalesce(text, F.lit(""))
-    small = F.when(F.rlike(text, F.lit(_PLAIN)), F.lower(text)).otherwise(F.translate(text, _CAPITALS, _SMALL))
-    return F.regexp_extract_all(small, F.lit(TERM), F.lit(0))
+def terms_of(texts: pa.Array) -> pa.ListArray:
+    """The terms of each text, A-Z in lower case and all else as it is; none for null."""
+    data, at = buffers(texts)
+    first, last = (int(at[0]), int(at[-1])) if len(at) else (0, 0)
+    folded, at = _FOLDED[data[first:last]], at - first
+    inside = folded != 32
+    edge = np.zeros(len(folded) + 1, dtype=bool)
+    edge[at] = True
+    before = np.concatenate(([False], inside[:-1])) if len(inside) else inside
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    kept = np.concatenate(([0], np.cumsum(inside)))  # terms lie side by side once the rest is taken out
+    ends = np.concatenate((kept[starts], kept[-1:])).astype(np.int32)
+    strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(folded[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at).astype(np.int32)), strings)
 
 
 def _term_table(docs: DataFrame) -> DataFrame:
     """``lang, source, terms, folder``: terms of all documents, written in a folder a language."""
     rows = docs.select(
-        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-        term_list(F.col("text")).alias("terms")).withColumn("folder", F.concat(F.lit("l"), F.md5("lang")))
+        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.record_batch(
+                    [part.column("lang"), part.column("source"), terms_of(part.column("text"))], names=["lang", "source", "terms"])
+
+    found = rows.mapInArrow(run, "lang string, source string, terms array<string>")
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    rows.write.partitionBy("folder").parquet(path)
+    found.withColumn("folder", F.concat(F.lit("l"), F.md5("lang"))).write.partitionBy("folder").parquet(path)
     return spark.read.schema("lang string, source string, terms array<string>, folder string").parquet(path)
 
 
+def _summed(vectors: DataFrame) -> DataFrame:
+    """``source, i, n``: the entries of sparse vectors (``source, vector``) summed within tasks; a
+    source has a row for each task at least that has some of its documents."""
+    flat = vectors.select("source", F.col("vector.size").alias("size"), F.col("vector.indices").alias("i"),
+                          F.col("vector.values").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for source, own in sums.items():
+                places = np.flatnonzero(own)
+                yield pa.record_batch(
+                    [pa.array([source]).take(pa.array(np.zeros(len(places), np.int32))), pa.array(places.astype(np.int32)),
+                     pa.array(own[places].astype(np.int64))], names=["source", "i", "n"])
+            sums.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column("size")[0].as_py()
+            named = batch.column("source").dictionary_encode()
+            codes = np.repeat(named.indices.to_numpy(zero_copy_only=False), batch.column("i").value_lengths().to_numpy(zero_copy_only=False))
+            order = np.argsort(codes, kind="stable")
+            places = batch.column("i").flatten().to_numpy(zero_copy_only=False)[order]
+            counts = batch.column("n").flatten().to_numpy(zero_copy_only=False)[order]
+            ends = np.cumsum(np.bincount(codes, minlength=len(named.dictionary)))
+            for k, source in enumerate(named.dictionary.to_pylist()):
+                begin = int(ends[k - 1]) if k else 0
+                if begin == ends[k]:
+                    continue
+                if source not in sums and (len(sums) + 1) * size > CELLS and sums:
+                    yield from out()
+                own = sums.setdefault(source, np.zeros(size))
+                own += np.bincount(places[begin:ends[k]], counts[begin:ends[k]], size)
+        yield from out()
+
+    return flat.mapInArrow(run, "source string, i int, n bigint")
+
+
 def _languages(terms: DataFrame, slice_terms: int, min_documents: int, sampled: int) -> list[tuple[str, int]]:
     """Folder and number of slices of each language that can have a kept term.
 
@@ -96,8 +157,7 @@ def counted(
             listed = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "item"))
             vocabularies.append(listed.select(F.lit(lang).alias("lang"), F.lit(number).alias("slice"), "i", "item"))
             vectors = model.transform(own).select("source", F.unwrap_udt("vector").alias("vector"))
-            entries = vectors.select("source", F.inline(F.arrays_zip("vector.indices", "vector.values")).alias("i", "n"))
-            sums.append(entries.groupBy("source", "i").agg(F.sum(F.col("n").cast("bigint")).alias("n")).select(
+            sums.append(_summed(vectors).groupBy("source", "i").agg(F.sum("n").alias("n")).select(
                 F.lit(lang).alias("lang"), "source", F.lit(number).alias("slice"), "i", "n"))
     if not sums:
         return spark.createDataFrame([], _COUNTS), spark.createDataFrame([], _TERMS)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import duckdb
+import pyarrow as pa
 import pytest
 from corpora import SCHEMA, messy
 from hypothesis import given, settings
@@ -219,11 +220,23 @@ def test_divergence_of_nothing(spark):
     assert {r["value"] for r in divergence.audited(few).collect()} == {0}
 
 
-def test_terms_of_all_scripts(spark):
-    texts = ["ABC abc Äpfel ÄPFEL straße", "plain ASCII Text", "naïve É ÀB", "Ⅷ ⓐⒶ ΑΣ İi", "a-b_c1d", "", None, "x" * 9000 + "É"]
-    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r["i"]: r["t"] for r in frame.select("i", divergence.term_list(frame["text"]).alias("t")).collect()}
-    assert got == {i: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t)) for i, t in enumerate(texts)}
+def test_terms_of_all_scripts():
+    texts = ["ABC abc Äpfel ÄPFEL straße", "plain ASCII Text", "naïve É ÀB", "Ⅷ ⓐⒶ ΑΣ İi", "a-b_c1d", "", None, "x" * 9000 + "É",
+             "ends", "starts", "123", "中文 и \U0001f600\x00z"]
+    wanted = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t)) for t in texts]
+    column = pa.array(texts, pa.string())
+    assert divergence.terms_of(column).to_pylist() == wanted
+    assert divergence.terms_of(column.slice(3, 7)).to_pylist() == wanted[3:10]
+    assert divergence.terms_of(column.slice(0, 0)).to_pylist() == [] and divergence.terms_of(column.slice(5, 2)).to_pylist() == [[], []]
+
+
+def test_sums_do_not_depend_on_how_many_are_held(spark, monkeypatch):
+    rows = [(f"s{i % 7}", "term " * (i % 5) + f"w{chr(97 + i % 3)}") for i in range(200)]
+    docs = spark.createDataFrame([(t, "en", s) for s, t in rows], "text string, lang string, source string").repartition(3)
+    wanted = brute_divergence([(i, t, "en", s) for i, (s, t) in enumerate(rows)])
+    assert sorted(map(tuple, divergence.audited(docs).collect())) == wanted
+    monkeypatch.setattr(divergence, "CELLS", 3)
+    assert sorted(map(tuple, divergence.audited(docs).collect())) == wanted
 
 
 def test_shares_of_very_large_counts(spark):
