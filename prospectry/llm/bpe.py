@@ -78,6 +78,8 @@ class Vocabulary:
             raise ValueError("a vocabulary needs all single bytes and one id from 0 for each token")
         self.ranks = ranks
         self.single = [ranks[bytes([i])] for i in range(256)]
+        self.two = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.following, self.preceding = list(range(1, 257)), list(range(-1, 255))  # links of a fresh piece
         tokens = list(ranks)
         for self.seed in range(64):  # another seed where two tokens share a hash
             keys = self._keys(tokens)
@@ -113,32 +115,35 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a piece by merges of least rank, leftmost first."""
-        rank_of, n = self.ranks.get, len(piece)
+        rank_of, two, pop, push = self.ranks.get, self.two, heapq.heappop, heapq.heappush
+        n = len(piece)
+        if n > len(self.following):
+            self.following, self.preceding = list(range(1, 2 * n)), list(range(-1, 2 * n - 2))
         ids = [self.single[b] for b in piece]  # of the part that begins at each byte
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of a part with the next one
-        pair.append(-1)
+        after, before = self.following[:n], self.preceding[:n]
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of a part with the next one
         heap = [rank * n + i for i, rank in enumerate(pair) if rank >= 0]
+        pair.append(-1)
         heapq.heapify(heap)
         while heap:
-            rank, i = divmod(heapq.heappop(heap), n)
+            rank, i = divmod(pop(heap), n)
             if pair[i] != rank:
                 continue  # a part of this pair has been merged since
             gone = after[i]
             stop = after[i] = after[gone]
             ids[i], pair[gone] = rank, -1
-            rank = -1
             if stop < n:
                 before[stop] = i
-                rank = rank_of(piece[i:after[stop]], -1)
+                rank = pair[i] = rank_of(piece[i:after[stop]], -1)
                 if rank >= 0:
-                    heapq.heappush(heap, rank * n + i)
-            pair[i] = rank
+                    push(heap, rank * n + i)
+            else:
+                pair[i] = -1
             left = before[i]
             if left >= 0:
                 rank = pair[left] = rank_of(piece[left:stop], -1)
                 if rank >= 0:
-                    heapq.heappush(heap, rank * n + left)
+                    push(heap, rank * n + left)
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -158,6 +163,7 @@ class _Chunks(dict):
     def __init__(self, pattern: str, vocabulary: Vocabulary):
         super().__init__()
         self.find, self.vocabulary = regex.compile(pattern).findall, vocabulary
+        self.words = r"| ?\p{L}+|" in pattern
         self.new: list[str] = []
         self.chars = 0
         self.flat, self.begin = array("i"), array("q", [0])
@@ -173,7 +179,10 @@ class _Chunks(dict):
     def resolve(self) -> None:
         pieces, ends = [], []
         for text in self.new:
-            pieces += [m.encode() for m in self.find(text)]
+            if self.words and text.isascii() and text[1:].isalpha() and text[0] == " ":
+                pieces.append(text.encode())  # what nearly all chunks are: one match of `` ?\\p{L}+``
+            else:
+                pieces += [m.encode() for m in self.find(text)]
             ends.append(len(pieces))
         at = 0
         for i, found in enumerate(self.vocabulary.whole(pieces)):
