@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.strings import blank_to_null
 from .leads import TableChange
+from .ordering import places_within
 
-#: A lead's messages are nested by blocks of 2^12 log ids, so no row ever holds more.
+#: A lead's messages are nested by pages of 2^12, so no row ever holds more.
 HISTORY_BITS = 12
 _HISTORY_FIELDS = ("id", "created_at", "delivery", "to_email", "step", "error")
 
@@ -42,10 +43,13 @@ def lead_by_id(leads: DataFrame, lead_id: int) -> DataFrame:
 def lead_history(leads: DataFrame, outreach: DataFrame) -> DataFrame:
     """Leads with their messages nested in log order.
 
-    One row for each lead and each block of log ids (``part``) that has messages of it, however
-    many there are; a lead without messages has one row, of part 0.
+    One row for each lead and each page (``part``, from 0) of its messages; all but the last page
+    are full, however the log ids lie. A lead without messages has one row, of part 0. Only leads
+    with more than a page are numbered, which starts a job.
     """
-    parted = outreach.withColumn("part", F.shiftright("id", HISTORY_BITS))
+    places = places_within(outreach, "lead_id", "id", 1 << HISTORY_BITS)
+    parted = outreach.join(places, ["lead_id", "id"], "left").withColumn(
+        "part", F.shiftright(F.coalesce("place", F.lit(0)).cast("bigint"), HISTORY_BITS))
     nested = parted.groupBy("lead_id", "part").agg(
         F.array_sort(F.collect_list(F.struct(*_HISTORY_FIELDS))).alias("history"))
     joined = leads.join(nested.withColumnRenamed("lead_id", "id"), "id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .skew import join_skewed
 
 _RANGE_BITS = 33  # of an id that grows within a range of sorted rows, below the range's number
 
@@ -40,6 +41,20 @@ def row_index(df: DataFrame, ord_col: str, out: str, start: int | Column = 1) ->
     return numbered(df, [ord_col], out, start)
 
 
+def places_within(rows: DataFrame, key: str, ord_col: str, least: int) -> DataFrame:
+    """``(key, ord_col, place)``: dense places from 0, in the order of the bigint ``ord_col``, of the
+    rows of every key that has more than ``least`` of them; ``ord_col`` is unique within its key.
+
+    Two levels: keys are counted, and only the rows of large ones, which may lie anywhere in the
+    order, are numbered; so neither sparse ids nor a key with most of the rows make a large task.
+    Starts a job.
+    """
+    large = rows.groupBy(key).count().filter(F.col("count") > least).select(key)
+    placed = numbered(join_skewed(rows.select(key, ord_col), large, key, "left_semi"), [key, ord_col], "_n")
+    firsts = placed.groupBy(key).agg(F.min("_n").alias("_first"))
+    return join_skewed(placed, firsts, key).select(key, ord_col, (F.col("_n") - F.col("_first")).alias("place"))
+
+
 def first_by(df: DataFrame, keys: list[str], ord_cols: list[str]) -> DataFrame:
     """The first row of each key in the order of ``ord_cols``; combines before the shuffle, so a
     key with most of the rows costs no more than others."""

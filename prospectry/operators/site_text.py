@@ -32,8 +32,7 @@ from ..functions import text as tx
 from ..functions.strings import contains_some
 from ..rules import RuleSet
 from ..sources.tables import written
-from .ordering import numbered
-from .skew import join_skewed
+from .ordering import places_within
 
 RUN_BITS = 10
 PIECE_BITS = 6
@@ -208,17 +207,6 @@ def _with_start(sites: DataFrame, rules: RuleSet) -> DataFrame:
     return sites.select(*rest, *[F.expr(both(x)).alias(x) for x in names])
 
 
-def dense_positions(pages: DataFrame, least: int) -> DataFrame:
-    """``(domain, ord, place)``: places from 0 without gaps of the pages of every domain that has
-    more than ``least`` of them. Starts a job."""
-    many = pages.groupBy("domain").count().filter(F.col("count") > least).select("domain")
-    keys = join_skewed(pages.select("domain", "ord"), many, "domain", "left_semi")
-    placed = numbered(keys, ["domain", "ord"], "_n")
-    firsts = placed.groupBy("domain").agg(F.min("_n").alias("_first"))
-    return join_skewed(placed, firsts, "domain").select(
-        "domain", "ord", (F.col("_n") - F.col("_first")).alias("place"))
-
-
 def site_findings(
     findings: DataFrame, rules: RuleSet, run_aggs: dict[str, Column], site_aggs: dict[str, Column],
     run_bits: int = RUN_BITS, most_pages: int | None = None,
@@ -237,7 +225,7 @@ def site_findings(
         most_pages = rows.groupBy("domain").count().agg(F.max("count")).first()[0] or 0
     level, aggs = 0, run_aggs
     if most_pages > 1 << bits:
-        places = dense_positions(rows, 1 << bits)
+        places = places_within(rows, "domain", "ord", 1 << bits)
         rows = rows.join(places, ["domain", "ord"], "left").withColumn("place", F.coalesce("place", F.lit(0)))
     while most_pages > 1 << bits:
         # dealt out by group even where the rows already lie by domain

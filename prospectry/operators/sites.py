@@ -85,21 +85,33 @@ def _first_of(field: str) -> Column:
 
 
 def page_evidence(
-    pages: DataFrame, rules: RuleSet = DEFAULT_RULES, candidates_only: bool = True
+    pages: DataFrame, rules: RuleSet = DEFAULT_RULES, candidates_only: bool = True, with_ids: bool = False
 ) -> DataFrame:
     """What each page that counts contributes to its site's profile: narrow rows without texts.
 
     ``candidates_only`` counts the candidate paths of each domain, as a polite visit would: each
     page on such a path is judged where it is read, and one for each path is chosen afterwards,
-    from rows of about a kilobyte. Otherwise every stored page counts, in ``page_id`` order. Rows can still be gated by
+    from rows of about a kilobyte. Otherwise every stored page counts, in ``page_id`` order.
+    ``with_ids`` keeps ``page_id``, for evidence that is stored and joined with later pages. Rows can still be gated by
     ``domain`` and ``url`` before ``profiles_from`` rolls them up; that is the place for joins
     with large tables, because page bodies never move for them.
     """
     if candidates_only:
         features = page_features(pages_on_paths(pages, rules), rules, "ord", ("page_id",))
         findings = page_findings(features, rules, ("page_id", *_KEPT))
-        return first_by(findings, ["domain", "ord"], ["page_id"]).drop("page_id")
-    return page_findings(page_features(pages, rules), rules, _KEPT)
+        chosen = first_by(findings, ["domain", "ord"], ["page_id"])
+        return chosen if with_ids else chosen.drop("page_id")
+    kept = page_findings(page_features(pages, rules), rules, _KEPT)
+    return kept.withColumn("page_id", F.col("ord")) if with_ids else kept
+
+
+def joined_evidence(*parts: DataFrame) -> DataFrame:
+    """Evidence of several times (``with_ids``) as that of all pages at once: one page for each place,
+    the lowest ``page_id``, whatever came when."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return first_by(rows, ["domain", "ord"], ["page_id"]).drop("page_id")
 
 
 def profiles_from(

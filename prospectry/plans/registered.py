@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import contact, html, mail, text, urls
 from ..operators import (
-    candidates, crm, funnels, gates, hosts, leads, matching, outreach, query_building, replies,
-    roster, site_text, sites, vocabulary,
+    candidates, crm, funnels, gates, hosts, leads, matching, ordering, outreach, query_building, receipts,
+    replies, roster, site_text, sites, vocabulary,
 )
 from ..rules import ASSET_SUFFIXES
 from ..sources import lists, search, tables
@@ -520,6 +520,35 @@ def unresolved_names(spark, d):
     return _resolved(spark, d).filter(F.col("domain").isNull()).select("name")
 
 
+def _resolution(spark, d):
+    """A resolve-only run over all looked-up names, numbered by name."""
+    found = s.lookups(spark, d)
+    names = ordering.numbered(found.select("name").distinct(), ["name"], "ord").withColumn("country", F.lit("US"))
+    return roster_import.resolve(names, s.domain_map(spark, d), found, _seeds(spark, d), rules=RULES)
+
+
+@query
+def resolve_map(spark, d):
+    """The name-to-domain map after a resolve-only run."""
+    return _resolution(spark, d).domain_map
+
+
+@query
+def resolve_seeds(spark, d):
+    return _resolution(spark, d).seed_additions
+
+
+@query
+def resolve_totals(spark, d):
+    return _resolution(spark, d).totals
+
+
+@query
+def unresolved_sample(spark, d):
+    """The first twenty names that nothing matched well."""
+    return _resolution(spark, d).unresolved
+
+
 # --- outreach ---------------------------------------------------------------------------------
 
 FIRST = ("Nice to meet you", "Hello,\n\n{sender_name}\n{sender_company}\n{unsubscribe_line}")
@@ -603,6 +632,52 @@ def outreach_funnel(spark, d):
     return outreach.outreach_funnel(_delivered(spark, d))
 
 
+def _receipts(spark, d):
+    """Receipts of the planned messages: every sixth failed first, half of those were sent later,
+    every fifth came twice, and some name leads that nothing was planned for."""
+    id_ = F.col("id")
+    planned = _messages(spark, d).select("id", "step")
+
+    def told(rows, delivery, minutes, lead=id_):
+        failed = delivery == "failed"
+        return rows.select(
+            lead.alias("lead_id"), "step", delivery.alias("delivery"), F.when(failed, "refused").alias("error"),
+            (now() + F.make_dt_interval(mins=minutes)).alias("delivered_at"))
+
+    first = F.when(id_ % 6 == 0, "failed").otherwise("sent")
+    minutes = (id_ % 7).cast("int")
+    return (
+        told(planned, first, minutes)
+        .union(told(planned.filter(id_ % 12 == 0), F.lit("sent"), F.lit(60)))
+        .union(told(planned.filter(id_ % 5 == 0), first, minutes))
+        .union(told(planned.filter(id_ % 17 == 0), first, minutes, id_ + 10_000_000)))
+
+
+@query
+def delivery_receipts(spark, d):
+    """K4: the log rows that receipts bring."""
+    return receipts.receipt_log_rows(s.outreach(spark, d), _messages(spark, d), _receipts(spark, d)).drop("body")
+
+
+@query
+def receipt_outcomes(spark, d):
+    return receipts.receipt_outcomes(s.outreach(spark, d), _messages(spark, d), _receipts(spark, d))
+
+
+@query
+def receipt_leads(spark, d):
+    """K4: the lead table after receipts."""
+    return receipts.apply_receipts(
+        s.leads(spark, d), s.outreach(spark, d), _messages(spark, d), _receipts(spark, d), now()
+    ).leads.select("id", "status", "updated_at")
+
+
+@query
+def receipt_funnel(spark, d):
+    """A5 over what receipts say."""
+    return outreach.outreach_funnel(receipts.with_receipts(_messages(spark, d), _receipts(spark, d)))
+
+
 @query
 def due_counts(spark, d):
     return outreach.due_counts(
@@ -806,17 +881,52 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-@query
-def discovery_run(spark, d):
+def _discovery(spark, d):
     """Robots and addresses consulted, known domains left unread."""
     pages = table(spark, d, "pages")
     blocked = pages.filter(F.col("page_id") % 3 == 0).select(
         urls.url_domain(F.col("url")).alias("domain"), F.col("page_id").alias("ord"),
         urls.url_path(F.col("url")).alias("prefix"), F.lit(False).alias("allow"))
-    run = discovery.run(
+    return discovery.run(
         s.page_candidates(spark, d), pages, s.page_leads(spark, d), now(), RULES, allow_non_us=True,
         candidates_only=False, host_addresses=_addresses(spark, d), robots_rules=blocked)
-    return run.outcomes
+
+
+@query
+def discovery_run(spark, d):
+    """What became of every visit."""
+    return _discovery(spark, d).outcomes
+
+
+@query
+def discovery_new_leads(spark, d):
+    """The leads that the run adds."""
+    return _discovery(spark, d).new_leads.select("id", "domain")
+
+
+@query
+def cadence_leads(spark, d):
+    """The lead table after the tick."""
+    tick = outreach_cycle.run(
+        s.leads(spark, d), s.outreach(spark, d), None, now(), FIRST, FOLLOW_UP,
+        SENDER, interval_days=30, max_followups=s.FOLLOWUPS, rules=RULES)
+    return tick.leads.select("id", "status", "updated_at")
+
+
+@query
+def lead_table(spark, d):
+    """The lead table, stored and read with its declared schema."""
+    path = tables.work_dir(spark)
+    s.leads(spark, d).write.parquet(path)
+    return tables.read_leads(spark, path).select("id", "domain", "email", "status", "source", "created_at")
+
+
+@query
+def outreach_table(spark, d):
+    """The message log, stored and read with its declared schema."""
+    path = tables.work_dir(spark)
+    s.outreach(spark, d).write.parquet(path)
+    return tables.read_outreach(spark, path).drop("body")
 
 
 @query

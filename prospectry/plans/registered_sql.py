@@ -582,6 +582,34 @@ SQL["outreach_funnel"] = with_(_RENDERED, """told AS (
   SELECT CASE WHEN step = 1 THEN 'first_contact' ELSE 'followups' END FROM rendered
   WHERE delivery <> 'failed')""") + funnel(
     "told", ("prepared", "first_contact", "followups", "sent", "drafted", "failed"))
+_RECEIPTS = f"""{_RENDERED.replace("CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'drafted' END", "'planned'")},
+receipts AS (
+  SELECT id AS lead_id, step, CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'sent' END AS delivery,
+    {TS_NOW} + to_minutes(id % 7) AS delivered_at FROM rendered
+  UNION ALL SELECT id, step, 'sent', {TS_NOW} + INTERVAL 60 MINUTE FROM rendered WHERE id % 12 = 0
+  UNION ALL SELECT id + 10000000, step, CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'sent' END,
+    {TS_NOW} + to_minutes(id % 7) FROM rendered WHERE id % 17 = 0),
+best AS (SELECT * FROM receipts QUALIFY row_number() OVER (
+  PARTITION BY lead_id, step ORDER BY delivery DESC, delivered_at) = 1),
+told AS (SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM outreach o WHERE o.lead_id = b.lead_id AND o.step = b.step
+    AND (o.delivery <> 'failed' OR o.created_at = b.delivered_at)) THEN 'known'
+  WHEN EXISTS (SELECT 1 FROM rendered r WHERE r.id = b.lead_id AND r.step = b.step) THEN 'logged'
+  ELSE 'unplanned' END AS outcome FROM best b)"""
+SQL["delivery_receipts"] = with_(_RECEIPTS) + """SELECT (SELECT max(id) FROM outreach) + row_number() OVER (
+    ORDER BY t.delivered_at, r.waiting_since NULLS FIRST, t.lead_id, t.step) AS id, t.lead_id, r.to_email, t.step,
+  r.subject, t.delivery, CASE WHEN t.delivery = 'failed' THEN 'refused' END AS error, t.delivered_at AS created_at
+  FROM told t JOIN rendered r ON r.id = t.lead_id AND r.step = t.step WHERE outcome = 'logged'"""
+SQL["receipt_outcomes"] = with_(_RECEIPTS) + "SELECT lead_id, step, delivery, outcome FROM told"
+SQL["receipt_leads"] = with_(_RECEIPTS) + f"""SELECT l.id, CASE WHEN t.lead_id IS NOT NULL THEN 'contacted' ELSE l.status END AS status,
+  CASE WHEN t.lead_id IS NOT NULL THEN {TS_NOW} ELSE l.updated_at END AS updated_at FROM leads l LEFT JOIN (
+  SELECT DISTINCT lead_id FROM told WHERE outcome = 'logged' AND delivery <> 'failed') t ON t.lead_id = l.id"""
+SQL["receipt_funnel"] = with_(_RECEIPTS, """counted AS (SELECT b.delivery, b.step FROM best b JOIN rendered r
+  ON r.id = b.lead_id AND r.step = b.step),
+outcomes AS (
+  SELECT 'prepared' AS outcome FROM counted UNION ALL SELECT delivery FROM counted UNION ALL
+  SELECT CASE WHEN step = 1 THEN 'first_contact' ELSE 'followups' END FROM counted
+  WHERE delivery <> 'failed')""") + funnel(
+    "outcomes", ("prepared", "first_contact", "followups", "sent", "drafted", "failed"))
 SQL["due_counts"] = with_(_STEPS) + """SELECT count(next_step) AS due, count(*) AS contactable
   FROM steps WHERE email <> ''"""
 
@@ -630,10 +658,11 @@ SQL["lead_list"] = with_(LEADS) + _SHOWN + (
 SQL["lead_list_all"] = with_(LEADS) + _SHOWN
 SQL["lead_by_id"] = with_(LEADS) + (
     "SELECT id, company_name, domain, status FROM leads WHERE id = 42")
-SQL["lead_history"] = with_(LEADS, OUTREACH) + """SELECT l.id,
-  coalesce(o.id >> 12, 0) AS part, count(o.id) AS n,
+SQL["lead_history"] = with_(LEADS, OUTREACH, """placed AS (SELECT *,
+  (row_number() OVER (PARTITION BY lead_id ORDER BY id) - 1) >> 12 AS part FROM outreach)""") + """SELECT l.id,
+  coalesce(o.part, 0) AS part, count(o.id) AS n,
   coalesce(string_agg(o.delivery || ' to ' || o.to_email || ' ' || strftime(o.created_at, '%Y-%m-%d'),
-    '|' ORDER BY o.id), '') AS history FROM leads l LEFT JOIN outreach o ON o.lead_id = l.id GROUP BY 1, 2"""
+    '|' ORDER BY o.id), '') AS history FROM leads l LEFT JOIN placed o ON o.lead_id = l.id GROUP BY 1, 2"""
 SQL["leads_after_delete"] = with_(LEADS) + """SELECT id, domain FROM leads WHERE id NOT IN (
   SELECT doc_id * 3 FROM labels)"""
 SQL["outreach_after_delete"] = with_(OUTREACH) + """SELECT id, lead_id FROM outreach
@@ -796,3 +825,31 @@ SQL["resolution_totals"] = recursive(_SCORES, _NAMES) + """SELECT count(o.name)
   count_if(o.name IS NULL)::BIGINT AS unresolved FROM names LEFT JOIN official o USING (name)"""
 SQL["unresolved_names"] = recursive(_SCORES, _NAMES) + """SELECT name FROM names
   WHERE name NOT IN (SELECT name FROM official)"""
+
+# --- resolve-only runs, stored tables ---------------------------------------------------------
+
+SQL["resolve_map"] = recursive(_SCORES, ROSTER) + """SELECT name, 'US' AS country, domain FROM official
+  UNION ALL SELECT name, country, domain FROM domain_map"""
+_NEW_SEEDS = f"""seeds AS (SELECT DISTINCT {host(authority('url'))} AS host FROM pages WHERE contains(url, '.org')),
+resolved AS (SELECT DISTINCT domain AS host FROM official)"""
+SQL["resolve_seeds"] = recursive(_SCORES, _NEW_SEEDS) + """SELECT host, 'https://' || host || '/' AS url
+  FROM resolved ANTI JOIN seeds USING (host)"""
+SQL["resolve_totals"] = recursive(_SCORES, _NAMES, _NEW_SEEDS) + """SELECT
+  (SELECT count(*) FROM official) AS resolved,
+  (SELECT count(*) FROM names WHERE name NOT IN (SELECT name FROM official)) AS unresolved,
+  (SELECT count(*) FROM resolved WHERE host NOT IN (SELECT host FROM seeds)) AS added,
+  (SELECT count(*) FROM resolved WHERE host IN (SELECT host FROM seeds)) AS known"""
+SQL["unresolved_sample"] = recursive(_SCORES, _NAMES) + """SELECT ord, name FROM (
+  SELECT name, row_number() OVER (ORDER BY name) AS ord FROM names)
+  WHERE name NOT IN (SELECT name FROM official) ORDER BY ord LIMIT 20"""
+SQL["lead_table"] = with_(LEADS) + "SELECT id, domain, email, status, source, created_at FROM leads"
+SQL["outreach_table"] = with_(OUTREACH) + """SELECT id, lead_id, to_email, step, subject, delivery, error,
+  created_at FROM outreach"""
+SQL["cadence_leads"] = with_(_RENDERED.replace("CASE WHEN id % 6 = 0 THEN 'failed' ELSE 'drafted' END", "'drafted'")) + f"""
+SELECT l.id, CASE WHEN r.id IS NOT NULL THEN 'contacted' ELSE l.status END AS status,
+  CASE WHEN r.id IS NOT NULL THEN {TS_NOW} ELSE l.updated_at END AS updated_at
+  FROM leads l LEFT JOIN rendered r ON r.id = l.id"""
+_PAGE_DOMAIN = domain("url")
+SQL["discovery_new_leads"] = f"""SELECT (SELECT coalesce(max(i), 0) FROM (SELECT min(page_id) AS i FROM pages
+    WHERE {_PAGE_DOMAIN} LIKE '%.org' GROUP BY {_PAGE_DOMAIN})) + row_number() OVER (ORDER BY ord) AS id, domain
+  FROM ({SQL['discovery_run']}) WHERE outcome = 'added'"""

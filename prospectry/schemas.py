@@ -61,6 +61,10 @@ REPLY_UPDATES = _schema(
     "lead_id bigint, first_msg_id bigint, opted_out boolean, applied_at timestamp_ntz"
 )
 
+RECEIPTS = _schema(
+    "lead_id bigint, step int, delivery string, error string, delivered_at timestamp_ntz"
+)
+
 LEAD_STATUSES = ("new", "contacted", "replied", "qualified", "disqualified")
 COMPANY_TYPES = (
     "research_only", "consumer_and_research", "compounding_pharmacy", "manufacturing_lab",

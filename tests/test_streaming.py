@@ -6,6 +6,7 @@ from helpers import NOW, at, by, leads, log, rows_of
 
 from prospectry import schemas
 from prospectry.operators import replies
+from prospectry.operators.receipts import final_receipts
 from prospectry.rules import RuleSet
 from prospectry.streaming import jobs
 
@@ -87,3 +88,44 @@ def test_new_checkpoint_keeps_opt_outs_of_earlier_runs(spark, tmp_path):
         jobs.reply_stream(stream, table, sent, updates, str(tmp_path / f"c{n}"), at(), 30).awaitTermination()
     got = jobs.leads_with_replies(table, jobs.merged_updates(spark, updates))
     assert by(got, "id", "opted_out", "status") == {1: (True, "replied"), 2: (False, "replied")}
+
+
+def test_receipts_in_three_batches(spark, tmp_path):
+    source, path, check = (str(tmp_path / x) for x in ("receipts", "outcomes", "check"))
+
+    def minute(i):
+        return NOW + timedelta(minutes=i)
+
+    parts = [[(1, 1, "failed", "full", minute(1)), (2, 1, "sent", None, minute(2)), (3, 1, "drafted", None, minute(2))],
+             [(1, 1, "failed", "full", minute(1)), (2, 1, "failed", "late", minute(9)), (None, 1, "sent", None, minute(1))],
+             [(1, 1, "sent", None, minute(4)), (3, 1, "sent", None, minute(3)), (2, 1, "sent", None, minute(2))]]
+    for rows in parts:
+        spark.createDataFrame(rows, schemas.RECEIPTS).coalesce(1).write.mode("append").parquet(source)
+        jobs.receipt_stream(spark.readStream.schema(schemas.RECEIPTS).parquet(source), path, check).awaitTermination()
+    written = jobs.read_batches(spark, path, schemas.RECEIPTS)
+    assert written.count() == 5  # three, none, two: what is known already is not written again
+    got = rows_of(jobs.merged_receipts(spark, path), "lead_id")
+    whole = spark.createDataFrame(sum(parts, []), schemas.RECEIPTS)
+    assert got == rows_of(final_receipts(whole), "lead_id")
+    assert [r[2] for r in got] == ["sent", "sent", "sent"]
+
+
+def test_a_site_over_three_batches_is_a_site_in_one(spark, tmp_path):
+    parts = [
+        [(5, "https://a.test/about", "<title>A</title>peptide Texas"), (6, "https://b.test/", GOOD % "B")],
+        [(3, "https://a.test/", "<title>First</title>add to cart"), (7, "https://c.test/", "<p>nothing")],
+        [(9, "https://a.test/contact", "sku <a href='mailto:x@a.test'>m</a>"), (2, "https://b.test/contact", "y@b.test"),
+         (8, "https://b.test/", "<title>never read</title>")]]
+
+    def run(name, batches):
+        source, table, check = (str(tmp_path / name / x) for x in ("pages", "leads", "check"))
+        for rows in batches:
+            spark.createDataFrame(rows, schemas.PAGES).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schemas.PAGES).parquet(source)
+            jobs.discover_stream(stream, table, check, at(), RULES).awaitTermination()
+        assert jobs.read_batches(spark, table, schemas.LEADS).groupBy("domain").count().filter("count > 1").count() == 0
+        return rows_of(jobs.discovered_leads(spark, table).drop("id", "website"), "domain")
+
+    got, wanted = run("three", parts), run("one", [sum(parts, [])])
+    assert got == wanted and [r[schemas.LEADS.names.index("domain") - 2] for r in got] == ["a.test", "b.test"]
+    assert {"x@a.test", "y@b.test"} <= {v for r in got for v in r if isinstance(v, str)}
