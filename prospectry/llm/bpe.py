@@ -163,7 +163,8 @@ class _Chunks(dict):
     def __init__(self, pattern: str, vocabulary: Vocabulary):
         super().__init__()
         self.find, self.vocabulary = regex.compile(pattern).findall, vocabulary
-        self.words = r"| ?\p{L}+|" in pattern
+        others, found, _ = pattern.partition(r"| ?\p{L}+|")
+        self.words = bool(found) and all(x.startswith("'") for x in others.split("|"))
         self.new: list[str] = []
         self.chars = 0
         self.flat, self.begin = array("i"), array("q", [0])
@@ -180,7 +181,7 @@ class _Chunks(dict):
         pieces, ends = [], []
         for text in self.new:
             if self.words and text.isascii() and text[1:].isalpha() and text[0] == " ":
-                pieces.append(text.encode())  # what nearly all chunks are: one match of `` ?\\p{L}+``
+                pieces.append(text.encode())  # a space and letters: one match
             else:
                 pieces += [m.encode() for m in self.find(text)]
             ends.append(len(pieces))

@@ -42,6 +42,8 @@ SCALE = 1_000_000_000
 #: Each byte of a term as it is counted, A-Z in lower case; a space for all others. Terms are letters
 #: a-z and whatever is not ASCII, so the bytes of UTF-8 tell them apart.
 _FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+#: File parts that one summing task reads.
+TASK_PARTS = 4
 #: Sums of a task that are held at once.
 CELLS = 8 << 20
 _KEY = ["lang", "slice", "i"]
@@ -156,7 +158,9 @@ def counted(
             model.save(path)
             listed = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "item"))
             vocabularies.append(listed.select(F.lit(lang).alias("lang"), F.lit(number).alias("slice"), "i", "item"))
-            vectors = model.transform(own).select("source", F.unwrap_udt("vector").alias("vector"))
+            # more documents a task: a term that many of a source's documents have is one row of each task
+            tasks = max(1, own.rdd.getNumPartitions() // TASK_PARTS)
+            vectors = model.transform(own.coalesce(tasks)).select("source", F.unwrap_udt("vector").alias("vector"))
             sums.append(_summed(vectors).groupBy("source", "i").agg(F.sum("n").alias("n")).select(
                 F.lit(lang).alias("lang"), "source", F.lit(number).alias("slice"), "i", "n"))
     if not sums:
