@@ -46,11 +46,11 @@ def features(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(1 << 16)]))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     counts = np.zeros(DIMENSIONS, dtype=np.int64)
     for at in range(0, len(text), PIECE):
         c = np.frombuffer(text[max(at - 2, 0):at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = (c >= 1 << 16) | _letters[0][np.minimum(c, 0xFFFF)]
+        letter = _letters[0][c]
         if not letter.any():
             continue
         c = np.where(letter, c, np.uint32(32))

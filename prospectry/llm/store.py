@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names
-    none, as in tests on one machine."""
+    """The folder that driver and executors share; a temporary one only where a session of one
+    machine names none, as in tests."""
     base = spark.conf.get(SHARED, None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {SHARED} to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="prospectry-llm-")
         spark.conf.set(SHARED, base)
     return base.rstrip("/")

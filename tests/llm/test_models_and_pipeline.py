@@ -203,3 +203,10 @@ def test_texts_that_share_an_id_are_told_apart(spark):
     left = sorted(map(str, [tuple(r) for r in corpus_pipeline.dedup_documents(spark, docs, SMALL).collect()]))
     fixed = sorted(map(str, [rows[0], rows[2], rows[5], rows[7]]))
     assert left in [sorted([*fixed, str(rows[k])]) for k in (3, 4)]
+
+
+def test_letters_of_all_planes():
+    for text in ("", None, "123 ... !", "\U0001f600\U0001f600", "12 34 \U0001f600", "\U0001d7d8", "\u2603"):
+        assert language.features(text) is None
+    for text in ("a", "\U00010400", "\U00020000 \U0001f600", "\u4e2d"):
+        assert language.features(text) is not None

@@ -4,12 +4,14 @@ import hashlib
 import json
 import math
 
+import duckdb
 import pytest
 from corpora import SCHEMA, messy, words_of
 from hypothesis import given
 from hypothesis import strategies as st
 
 from prospectry.llm import chat, curriculum, imatch, warc
+from prospectry.llm.sql import SQL
 
 
 def test_targets_share_all_words_under_the_cap(spark):
@@ -115,6 +117,20 @@ def test_templates(spark):
             chat.compile_template(bad)
 
 
+def test_conversations_in_sql(spark):
+    """Also texts with backslashes and single control strings, where lengths tell escapes apart."""
+    said = ["plain", "a\\b", "\\", "\\\\</s>", "[INST]", "x [/INST] <s>", "[TEXT][OUT][OUT]", "[ROLE] [INST", "é\n</s>\\[INST]", None]
+    rows = [(i, t, ["user", "assistant", "system", "<s>\\"][(i + t) % 4], said[(3 * i + t) % len(said)])
+            for i in range(12) for t in range(1 + i % 4)]
+    conversations = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    marked = conversations.union(spark.createDataFrame(
+        [(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(["user", "assistant"])], conversations.schema))
+    got = chat.read_back(chat.format_conversations(marked))
+    conversations = conversations.toArrow()
+    wanted = duckdb.sql(f"SELECT {', '.join(got.columns)} FROM ({SQL['op10_chat_template']})").fetchall()
+    assert conversations.num_rows and sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", None), (1, 2, None, "[TEXT]\\"), (1, 2, None, "[TEXT]\\"),
             (None, 0, "user", "a"), (2, 0, "assistant", ""), (2, 1, "assistant", "é\n")]
