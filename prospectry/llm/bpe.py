@@ -168,7 +168,7 @@ class _Chunks(dict):
         self.new: list[str] = []
         self.chars = 0
         self.flat, self.begin = array("i"), array("q", [0])
-        self.merged: dict[bytes, list[int]] = {}
+        self.ids: dict[str, list[int]] = {}  # of pre-tokens
 
     def __missing__(self, chunk) -> int:
         number = self[chunk] = len(self)
@@ -177,27 +177,25 @@ class _Chunks(dict):
         self.chars += len(text)
         return number
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.words and text.isascii() and text[0] == " ":
+            if text[1:].isalpha():  # a space and letters: one match
+                return [text]
+            if text[-1] in ",.;:!?" and text[1:-1].isalpha():  # and a sign: two
+                return [text[:-1], text[-1]]
+        return self.find(text)
+
     def resolve(self) -> None:
-        pieces, ends = [], []
-        for text in self.new:
-            if self.words and text.isascii() and text[1:].isalpha() and text[0] == " ":
-                pieces.append(text.encode())  # a space and letters: one match
-            else:
-                pieces += [m.encode() for m in self.find(text)]
-            ends.append(len(pieces))
-        at = 0
-        for i, found in enumerate(self.vocabulary.whole(pieces)):
-            while ends[at] == i:  # chunks are never empty but for an empty text's
-                self.begin.append(len(self.flat))
-                at += 1
-            if found >= 0:
-                self.flat.append(found)
-            else:
-                ids = self.merged.get(pieces[i])
-                if ids is None:
-                    ids = self.merged[pieces[i]] = self.vocabulary.merged(pieces[i])
-                self.flat.extend(ids)
-        self.begin.extend([len(self.flat)] * (len(ends) - at))
+        known, split = self.ids, [self._pieces(text) for text in self.new]
+        fresh = list({p for pieces in split for p in pieces if p not in known})
+        raw = [p.encode() for p in fresh]
+        for piece, data, found in zip(fresh, raw, self.vocabulary.whole(raw), strict=True):
+            known[piece] = [found] if found >= 0 else self.vocabulary.merged(data)
+        flat, begin = self.flat, self.begin
+        for pieces in split:
+            for piece in pieces:
+                flat.extend(known[piece])
+            begin.append(len(flat))
         self.new = []
 
     def full(self) -> bool:
