@@ -47,9 +47,11 @@ def places_within(rows: DataFrame, key: str, ord_col: str, least: int) -> DataFr
 
     Two levels: keys are counted, and only the rows of large ones, which may lie anywhere in the
     order, are numbered; so neither sparse ids nor a key with most of the rows make a large task.
-    Starts a job.
+    Starts jobs.
     """
     large = rows.groupBy(key).count().filter(F.col("count") > least).select(key)
+    if large.isEmpty():
+        return rows.select(key, ord_col, F.lit(None).cast("bigint").alias("place")).limit(0)
     placed = numbered(join_skewed(rows.select(key, ord_col), large, key, "left_semi"), [key, ord_col], "_n")
     firsts = placed.groupBy(key).agg(F.min("_n").alias("_first"))
     return join_skewed(placed, firsts, key).select(key, ord_col, (F.col("_n") - F.col("_first")).alias("place"))
