@@ -14,18 +14,21 @@ from dataclasses import dataclass, field, replace
 # ---------------------------------------------------------------------------------------------
 
 US_STATE_ABBREVIATIONS = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM "
-    "NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA",
+    "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ",
+    "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT",
+    "VA", "WA", "WV", "WI", "WY", "DC",
+)
 
 US_STATE_NAMES = (
-    "Alabama, Alaska, Arizona, Arkansas, California, Colorado, Connecticut, Delaware, Florida, "
-    "Georgia, Hawaii, Idaho, Illinois, Indiana, Iowa, Kansas, Kentucky, Louisiana, Maine, "
-    "Maryland, Massachusetts, Michigan, Minnesota, Mississippi, Missouri, Montana, Nebraska, "
-    "Nevada, New Hampshire, New Jersey, New Mexico, New York, North Carolina, North Dakota, Ohio, "
-    "Oklahoma, Oregon, Pennsylvania, Rhode Island, South Carolina, South Dakota, Tennessee, "
-    "Texas, Utah, Vermont, Virginia, Washington, West Virginia, Wisconsin, Wyoming"
-).split(", ")
+    "Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut",
+    "Delaware", "Florida", "Georgia", "Hawaii", "Idaho", "Illinois", "Indiana", "Iowa", "Kansas",
+    "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota",
+    "Mississippi", "Missouri", "Montana", "Nebraska", "Nevada", "New Hampshire", "New Jersey",
+    "New Mexico", "New York", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Oregon",
+    "Pennsylvania", "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas",
+    "Utah", "Vermont", "Virginia", "Washington", "West Virginia", "Wisconsin", "Wyoming",
+)
 
 US_MENTION = r"United States|U\.S\.A?\.?|USA"
 ZIP_WINDOW = 12
@@ -155,8 +158,8 @@ class RuleSet:
     """Vocabulary and thresholds of one run. ``RuleSet().but(keywords=(...))`` overrides fields."""
 
     keywords: tuple[str, ...] = ()
-    state_abbreviations: tuple[str, ...] = tuple(US_STATE_ABBREVIATIONS)
-    state_names: tuple[str, ...] = tuple(US_STATE_NAMES)
+    state_abbreviations: tuple[str, ...] = US_STATE_ABBREVIATIONS
+    state_names: tuple[str, ...] = US_STATE_NAMES
     compounding_signals: tuple[str, ...] = COMPOUNDING_SIGNALS
     manufacturing_signals: tuple[str, ...] = MANUFACTURING_SIGNALS
     commerce_signals: tuple[str, ...] = COMMERCE_SIGNALS
