@@ -219,12 +219,16 @@ def pair_distances(groups: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def marking_terms(groups: DataFrame, rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``lang, source, item, value``: terms whose share in a source is above that in its language."""
+    """``lang, source, item, value``: the terms whose share in a source is most above that in its
+    language, as many as have one of the ten largest distances."""
     langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept"))
     whole = rows.groupBy(*_KEY).agg(F.sum("n").alias("n")).join(langs, "lang")
     whole = whole.select(*_KEY, share(F.col("n"), F.col("total"), F.col("kept")).alias("q"))
-    above = rows.join(whole, _KEY).filter("p > q")
-    return above.join(vocabulary, _KEY).select("lang", "source", "item", distance(F.col("p"), F.col("q")).alias("value"))
+    above = rows.join(whole, _KEY).filter("p > q").select(*_KEY, "source", distance(F.col("p"), F.col("q")).alias("value"))
+    # names are joined to what can be among the first, ties included, which names will break
+    place = F.rank().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc()))
+    return above.withColumn("place", place).filter(F.col("place") <= TOP_TERMS).join(vocabulary, _KEY).select(
+        "lang", "source", "item", "value")
 
 
 def audited(
