@@ -33,6 +33,9 @@ from ..sources.tables import recent_messages
 
 #: The run under which ticks of the cadence write; they number their batches themselves.
 TICKS = "ticks"
+#: Deliveries by what they outdo; all others count as failed.
+RECEIPT_RANKS = {"sent": 0, "drafted": 1}
+
 
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the streaming query that a checkpoint belongs to."""
@@ -102,7 +105,7 @@ def discover_stream(
         profiles = sites.profiles_from(all_, rules, candidates_only)
         judged = lead_ops.judged_visits(visits, profiles, allow_non_us, vendors_only)
         judgments = f"{leads_path}-judged"
-        write_batch(judged.withColumn("judged_at", F.lit(batch_id).cast("bigint")), judgments, run, batch_id)
+        write_batch(judged.withColumn("judged_at", F.unix_micros(F.current_timestamp())), judgments, run, batch_id)
         judged = spark.read.schema(judged.schema).parquet(f"{judgments}/run={run}/batch={batch_id}")
         write_batch(lead_ops.new_leads(known, judged, now), leads_path, run, batch_id)
 
@@ -113,8 +116,8 @@ def discovered_leads(spark: SparkSession, leads_path: str) -> DataFrame:
     """The leads that ``discover_stream`` has found, as their sites stand after all batches: profile
     fields are those of the last judgment, and a lead whose site no longer qualifies is left out.
 
-    Ids and dates stay those of the first batch that added the lead. Runs follow one another by the
-    number of their batches; of one batch the last run counts.
+    Ids and dates stay those of the first batch that added the lead. The judgment made last counts,
+    in whatever run: it has seen all evidence before it.
     """
     leads = read_batches(spark, leads_path, schemas.LEADS)
     judged = spark.read.parquet(f"{leads_path}-judged")
@@ -177,20 +180,17 @@ def _latest_outcome(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
     found = best
     for batch in batches:
         for delivery, error, at in zip(batch["delivery"], batch["error"], batch["at"]):
-            rank = receipt_ranks.get(delivery, len(receipt_ranks))
-            text = error if isinstance(error, str) and rank == len(receipt_ranks) else None
-            moment = (rank, int(at) if rank < len(receipt_ranks) else -int(at))
+            rank = RECEIPT_RANKS.get(delivery, len(RECEIPT_RANKS))
+            text = error if isinstance(error, str) and rank == len(RECEIPT_RANKS) else None
+            moment = (rank, int(at) if rank < len(RECEIPT_RANKS) else -int(at))
             if found is None or moment < (found[0], found[1]):
                 found = (*moment, text)
     if found != best:
         state.update(found)
-        name = {v: k for k, v in receipt_ranks.items()}.get(found[0], "failed")
+        name = {v: k for k, v in RECEIPT_RANKS.items()}.get(found[0], "failed")
         yield pd.DataFrame({"lead_id": [key[0]], "step": [key[1]], "delivery": [name], "error": [found[2]], "at": [abs(found[1])]})
 
 
-receipt_ranks = {"sent": 0, "drafted": 1}
-
-
 def receipt_stream(
     receipts: DataFrame, outcomes_path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
