@@ -43,6 +43,18 @@ def test_a_text_meets_all_its_keywords_at_once(spark):
     assert "collect_set" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_of_a_text_are_not_moved_to_few_keywords(spark):
+    texts = spark.createDataFrame([(1, "Alpha  beta (alpha beta) c++"), (2, "xalpha beta"), (3, None), (4, "éalpha —c++")], "id bigint, text string")
+    words = spark.createDataFrame([(w,) for w in ("alpha beta", "alpha", "c++", "beta)")], "keyword string")
+    got = vocabulary.keyword_hits(texts, words, "id")
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == [(1, "alpha"), (1, "alpha beta"), (1, "beta)"), (1, "c++"), (4, "c++")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    # tables too large to be sent are joined, with the same result
+    assert sorted(map(tuple, vocabulary.keyword_hits(texts, words, "id", block_bytes=0).collect())) == rows
+
+
 def test_denied_hosts_of_any_number(spark):
     denied = spark.range(6_000).selectExpr("concat('d', id, '.test') AS host").union(
         spark.createDataFrame([("a.b.test",)], "host string"))
