@@ -6,9 +6,9 @@ schedule, scaled to the target, is the source's cumulative demand. A document th
 ``c`` of its source's stream is needed when the demand reaches ``c``: the inverse of the cumulative
 demand is its position, and sorting by position gives the training order.
 
-Only DataFrame functions. Rows of a source are spread over ``4096`` buckets by the md5 of their id,
-so no window or join sees more than a bucket of a source; the windows over the table of sources see
-one row for each source.
+Only DataFrame functions. Places of a source's documents are spread over ``4096`` buckets by the md5
+of their id, so no window or join sees more than a bucket of a source, and no texts; the window over
+rows sees the equal rows of one id; the windows over the table of sources see one row for each source.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import packed
+from .store import packed, written
 from .words import n_words
 
 WEIGHTS = (1, 2, 3)
@@ -105,13 +105,17 @@ def curriculum(
     0 and are never taken; a null source is a source of its own, the last; rows with the same id
     follow each other by size and text hash, equal rows in any order. No rows, no result.
     """
-    source = F.col("source")
-    rows = docs.select(
-        packed(docs, keep), source.alias("source"), n_words(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
-        F.xxhash64("text").alias("mark"),
+    mark = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    rows = docs.select(F.struct("source", "doc_id", mark.alias("mark")).alias("place"), packed(docs, keep), "text")
+    # places are worked out on narrow rows: a text is moved once to meet its place, and once by the sort
+    sizes = rows.select("place", n_words(F.col("text")).alias("size")).groupBy("place").agg(
+        F.first("size").alias("size"), F.count("*").alias("copies"))
+    sizes = sizes.select(
+        "place", "size", (F.col("size") * F.col("copies")).alias("words"), F.col("place.source").alias("source"),
+        F.md5(F.coalesce(F.col("place.doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
     ).withColumn("bucket", F.substring("key", 1, 3))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sizes = written(sizes)
+    buckets = written(sizes.groupBy("source", "bucket").agg(F.sum("words").alias("bucket_size")))
     targets = source_targets(
         buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(
@@ -121,16 +125,19 @@ def curriculum(
         F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset"))
     targets = targets.withColumnRenamed("source", "_of")
     offsets = offsets.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size", "mark").rowsBetween(
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "size", "place").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("before", F.sum("size").over(inside) - F.col("size")).join(
+    places = sizes.withColumn("before", F.sum("words").over(inside) - F.col("words")).join(
         offsets,
-        F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+        F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))
+    ).select("place", "size", "source_size", "target", "rank", (F.col("offset") + F.col("before")).alias("first"))
+    # equal rows follow each other
+    copy = F.row_number().over(Window.partitionBy("place").orderBy("size")) - 1
+    placed = rows.select("place", "doc").join(written(places), "place").withColumn(
+        "start", F.col("first") + copy * F.col("size"))
     size, total = F.col("size"), F.floor("target").cast("bigint")
     passes = F.when(F.col("source_size") > 0, F.floor(total / F.col("source_size")).cast("bigint")).otherwise(F.lit(0))
-    return placed.withColumn("start", F.col("offset") + F.col("before")).withColumn(
-        "epochs", passes.cast("bigint")
-    ).withColumn(
+    return placed.withColumn("epochs", passes.cast("bigint")).withColumn(
         "cut", F.least(size, F.greatest(
             F.lit(0).cast("bigint"),
             total - F.col("epochs") * F.col("source_size") - F.col("start")))

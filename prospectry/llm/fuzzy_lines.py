@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import scratch, written
 
 SHINGLE = 8
 SIMILAR = 75  # percent
@@ -214,7 +214,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts under the id, or without one, are documents of their own; a null id comes last. A null text
     stays null and has no lines. No rows, no result.
     """
-    gone = removals(docs.select("doc_id", "text")).withColumnRenamed("doc", "_doc").withColumnRenamed("tag", "_of")
+    with scratch(docs.sparkSession):
+        gone = written(removals(docs.select("doc_id", "text")).toDF("_doc", "_of", "removed"), lasting=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_tag"))

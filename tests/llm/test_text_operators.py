@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import re
 
 import duckdb
 import pytest
@@ -169,3 +170,25 @@ def test_warc_records_round_trip(spark):
     ids = [r["record_id"] for r in got if r["page_id"] != 3]
     assert len(set(ids)) == len(ids)
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
+
+
+def test_curriculum_moves_a_text_once_before_the_sort(spark):
+    # 12 equal rows of one id among others; the bucket join can't be a broadcast
+    docs = spark.createDataFrame([*messy(9, 40), *[messy(9, 40)[30]] * 11], SCHEMA)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = curriculum.curriculum(docs)
+        shown = spark._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+        rows = plan.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    moved = re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\n]*)\]", shown)
+    assert sum("doc#" in m for m in moved) == 1, moved
+    assert len(rows) == docs.count()
+    spans = {}
+    for r in rows:
+        spans.setdefault(r["doc"]["source"], []).append((r["start"], r["start"] + r["size"]))
+    for own in spans.values():  # without gaps or overlaps
+        own = sorted(own)
+        assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
