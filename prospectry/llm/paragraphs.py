@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .fuzzy_lines import links
-from .jaccard_join import BROADCAST_IDS, SIMILAR, near_pairs, set_columns
+from .jaccard_join import BROADCAST_IDS, SIMILAR, near_pairs
 from .shingles import (
-    _BASE, _INVERSE, _PLACES, WORDS, as_long, buffers, mixed, shingle_hashes, slices, word_hashes)
-from .store import written
+    _BASE, _INVERSE, _PLACES, WORDS, as_long, buffers, list_column, mixed, shingle_hashes, slices, word_hashes)
+from .store import scratch, written
 
 BANDS, ROWS = 8, 3
 LEAST_PARAGRAPH, LEAST_WORDS = WORDS, 40  # words of a paragraph, of a pasted passage
@@ -38,15 +38,6 @@ GAP, GAPS = 24, 25
 _MASKS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
-def _chars(data: np.ndarray, first: int, places: np.ndarray) -> np.ndarray:
-    """Code points between byte ``first`` and each of ``places`` (ascending or not)."""
-    if not len(places):
-        return places
-    end = int(places.max())
-    starts = np.concatenate(([0], np.cumsum((data[first:end] & 0xC0) != 0x80)))
-    return starts[places - first]
-
-
 def _word_ends(data: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Byte after each word that begins at ``first``."""
     low, high = int(at[0]), int(at[-1])
@@ -72,29 +63,57 @@ def _paragraphs(part: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarra
         yield row, start, int(cuts[k + 1]), np.unique(hashes[begin[k]:begin[k + 1]])
 
 
+def _signed(part: pa.RecordBatch) -> pa.RecordBatch | None:
+    """A row for each paragraph of ``part``, all of them worked out at once."""
+    data, at = buffers(part.column("text"))
+    low, high = int(at[0]), int(at[-1])
+    cuts = np.unique(np.concatenate((at, np.flatnonzero(data[low:high] == 10) + low)))
+    words, _, counts = word_hashes(data, cuts)
+    hashes, begin = shingle_hashes(words, counts)
+    lines = np.flatnonzero(np.diff(counts) >= LEAST_PARAGRAPH)
+    if not len(lines):
+        return None
+    sizes = np.diff(begin)
+    long = np.zeros(len(sizes), dtype=bool)
+    long[lines] = True
+    own = hashes[np.repeat(long, sizes)]
+    of = np.repeat(np.arange(len(lines)), sizes[lines])
+    # a shingle that a line repeats counts once: the places of the distinct pairs of line and shingle
+    _, first = np.unique(mixed(own ^ mixed(of.astype(np.uint64) + _BASE)), return_index=True)
+    once = np.zeros(len(own), dtype=bool)
+    once[first] = True
+    own, of = own[once], of[once]
+    n = np.bincount(of, minlength=len(lines))
+    starts = np.concatenate(([0], np.cumsum(n[:-1])))
+    marks = np.add.reduceat(mixed(own ^ np.uint64(0x5851F42D4C957F2D)), starts) + n.astype(np.uint64)
+    least = np.stack([np.minimum.reduceat(own ^ mask, starts) for mask in _MASKS], axis=1)
+    rows = least.reshape(-1, BANDS, ROWS)
+    bands = mixed(mixed(rows[:, :, 0]) + rows[:, :, 1] * _PLACES[0] + rows[:, :, 2] * _PLACES[1]
+                  + np.arange(BANDS, dtype=np.uint64) * _BASE)
+    sig = np.ascontiguousarray((least & np.uint64(255)).astype(np.uint8)).view(np.int64)  # a byte of each minimum
+    chars = np.concatenate(([0], np.cumsum((data[low:high] & 0xC0) != 0x80)))
+    head, row = cuts[lines], np.searchsorted(at, cuts[lines], "right") - 1
+    head = head + (data[head] == 10)
+    base = chars[at[row] - low]
+
+    def listed(values: np.ndarray) -> pa.Array:
+        return list_column(values.ravel().view(np.uint64), np.arange(len(values) + 1) * values.shape[1])
+
+    return pa.record_batch(
+        [part.column("doc").take(pa.array(row)), pa.array(chars[head - low] - base),
+         pa.array(chars[cuts[lines + 1] - low] - base), as_long(marks), pa.array(n), listed(bands), listed(sig)],
+        names=["doc", "start", "stop", "class", "n", "bands", "sig"])
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """``doc, start, stop`` (code points), ``class`` (hash of the shingle set), ``n``, ``bands``, ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, at = buffers(part.column("text"))
-                ids = part.column("doc").to_pylist()
-                rows: list[tuple] = []
-                for row, start, stop, own in _paragraphs(part):
-                    least = (own[None, :] ^ _MASKS[:, None]).min(axis=1).reshape(BANDS, ROWS)
-                    bands = mixed(mixed(least[:, 0]) + least[:, 1] * _PLACES[0] + least[:, 2] * _PLACES[1]
-                                  + np.arange(BANDS, dtype=np.uint64) * _BASE)
-                    a, b = _chars(data, int(at[row]), np.array([start, stop]))
-                    sig = (least.ravel() & np.uint64(255)).astype(np.uint8).view(np.int64)  # a byte of each minimum
-                    rows.append((ids[row], int(a), int(b), own, bands.view(np.int64).tolist(), sig.tolist()))
-                if rows:
-                    marks, sizes = set_columns([r[3] for r in rows])
-                    yield pa.record_batch(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                         pa.array([r[2] for r in rows], pa.int64()), marks, sizes,
-                         pa.array([r[4] for r in rows], pa.list_(pa.int64())), pa.array([r[5] for r in rows], pa.list_(pa.int64()))],
-                        names=["doc", "start", "stop", "class", "n", "bands", "sig"])
+                signed = _signed(part)
+                if signed is not None:
+                    yield signed
 
     return docs.mapInArrow(run, "doc bigint, start bigint, stop bigint, class bigint, n bigint,"
                                 " bands array<bigint>, sig array<bigint>")
@@ -117,12 +136,11 @@ def paragraph_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def paragraph_removals(docs: DataFrame) -> DataFrame:
     found = written(paragraphs(docs))
-    classes = found.groupBy("class").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min("doc").alias("doc"))
-    classes = written(classes)
-    keys = classes.select(F.explode("bands").alias("key"), F.col("class").alias("id"), "n", "sig")
-    several = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
-    members = written(keys.join(written(several), "key", "left_semi"))
+    classes = written(found.groupBy("class").agg(F.count("*").alias("copies"), F.min("doc").alias("doc")))
+    keys = found.select(F.explode("bands").alias("key"), F.col("class").alias("id"), "n", "sig")
+    several = written(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key"))
+    several = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    members = written(keys.join(several, "key", "left_semi").dropDuplicates(["key", "id"]))
     wanted = written(members.select(F.col("id").alias("class")).distinct())
     places = written(classes.join(wanted, "class", "left_semi").select("doc").distinct())
     sets = written(paragraph_sets(docs, places).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
@@ -319,6 +337,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     paragraphs; a null id counts as the smallest. Other columns are not used. No rows, no result.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    return paragraph_removals(docs).union(passages(copies(windows(docs)))).select(
+    with scratch(docs.sparkSession):
+        lines = paragraph_removals(docs)
+        kept = written(lines, lasting=True)  # the signatures need not lie beside the windows
+    return kept.union(passages(copies(windows(docs)))).select(
         F.col("doc").alias("doc_id"), "start", "stop", "words", F.col("kept_doc").alias("kept_doc_id"),
         "kept_start", "kind")

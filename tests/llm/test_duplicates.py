@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from corpora import SCHEMA, edited, messy, prose, roots, shingles, similar, vocabulary, words_of
 
-from prospectry.llm import components, fuzzy_lines, jaccard_join, paragraphs
+from prospectry.llm import components, fuzzy_lines, jaccard_join, paragraphs, store
 
 
 def test_components_of_stars_chains_and_loops(spark):
@@ -222,3 +224,26 @@ def test_short_paragraphs_are_reported(spark):
     got = sorted((r["doc_id"], r["kept_doc_id"], texts[r["doc_id"]][r["start"]:r["stop"]])
                  for r in paragraphs.repeated(docs).collect() if r["kind"] == "paragraph")
     assert got == [*[(100 + n, n, shared[n]) for n in (5, 12, 30, 39)], (300, 39, near)]
+
+
+def test_signatures_of_all_paragraphs_at_once_are_those_of_each(spark, monkeypatch):
+    rng, words = random.Random(26), vocabulary(26, 50)
+    texts = [r[1] for r in messy(12, 60)] + ["\n" + " ".join(["a b"] * 9) + "\n\nü é ß ö ä\n" + prose(rng, words, 50) + "\n", "x y z"]
+    part = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc", "text"])
+    wanted = []
+    for doc, start, stop, own in paragraphs._paragraphs(part):
+        data, at = paragraphs.buffers(part.column("text"))
+        a, b = (len(bytes(data[int(at[doc]):x]).decode()) for x in (start, stop))
+        least = [int((own ^ mask).min()) for mask in paragraphs._MASKS]
+        wanted.append((doc, a, b, int(jaccard_join._class(own).view(np.int64)), len(own), bytes(x & 255 for x in least)))
+    got = paragraphs._signed(part).to_pylist()
+    assert [(r["doc"], r["start"], r["stop"], r["class"], r["n"], np.array(r["sig"]).tobytes()) for r in got] == wanted
+    assert all(len(r["bands"]) == paragraphs.BANDS for r in got)
+    assert paragraphs._signed(part.slice(0, 1)) is None
+
+
+def test_signatures_do_not_stay_beside_the_windows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: str(tmp_path))
+    found = paragraphs.repeated(spark.createDataFrame(messy(2, 30), SCHEMA))
+    assert len(list(tmp_path.glob("llm-*"))) == 1, list(tmp_path.iterdir())  # the paragraphs reported
+    assert found.count() > 0
