@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shingles import as_long, mixed, slices, text_shingles
-from .store import written
+from .store import scratch, written
 
 SIMILAR = 75  # percent
 SHARED = 10  # percent of a set by which prefixes are longer than they need be, to demand more of them
@@ -194,24 +194,27 @@ def regions(docs: DataFrame, levels) -> DataFrame:
             shared, "region bigint, class bigint, z int, hot boolean")
 
 
-def crowded(lists: DataFrame) -> DataFrame:
+def crowded(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``region, class, n, s`` without classes that share too few of their prefix shingles with any
-    other to be similar to it, and without regions that have one class.
+    other to be similar to it, and without regions that have one class; and ``class, n, s, full``.
 
     ``s`` bounds what a class has in common with any other class of the region. Where the region's
     shingle is frequent, the prefixes of all its classes hold all their infrequent shingles: common
     ones among these are regions too, so ``s`` is their number and that of the frequent shingles.
-    Elsewhere ``s`` is the size of the set.
+    Elsewhere ``s`` is the size of the set. In the second table ``full`` marks the classes of such
+    regions; what two of them have in common is bounded by ``s`` wherever they meet.
     """
     least = F.floor((F.floor((F.col("n") * SIMILAR + 99) / 100) * SHARED + 99) / 100)
     counts = lists.groupBy("class").agg(
         F.count("*").alias("c"), F.count_if(~F.col("hot")).alias("c0"), F.first("n").alias("n"), F.first("z").alias("z"))
-    counts = counts.filter(F.col("c") >= least).withColumn("common", F.col("n") - F.col("z") + F.col("c0"))
-    kept = lists.select("region", "class", "n", "hot").join(written(counts.select("class", "common")), "class").withColumn(
+    counts = written(counts.filter(F.col("c") >= least).select(
+        "class", "n", (F.col("n") - F.col("z") + F.col("c0")).alias("common"), (F.col("c0") < F.col("c")).alias("full")))
+    kept = lists.select("region", "class", "n", "hot").join(counts.select("class", "common"), "class").withColumn(
         "s", F.when(F.col("hot"), F.col("common")).otherwise(F.col("n")))
     kept = kept.filter(F.col("s") * 100 >= F.col("n") * SIMILAR)
-    several = written(kept.groupBy("region").count().filter("count > 1").select("region"))
-    return written(kept.join(several, "region", "left_semi").select("region", "class", "n", "s"))
+    stats = written(region_stats(kept).filter("many > 1"))
+    bounds = counts.select("class", "n", F.when(F.col("full"), F.col("common")).otherwise(F.col("n")).alias("s"), "full")
+    return written(kept.join(stats, "region").filter(_met()).select("region", "class", "n", "s")), bounds
 
 
 def _possible(percent: int) -> Column:
@@ -221,6 +224,32 @@ def _possible(percent: int) -> Column:
     return most * 100 >= (F.col("n") + F.col("m") - most) * percent
 
 
+def _reach(n: str = "n", s: str = "s") -> Column:
+    """A class of size n, with at most s shingles in common with others, can be similar to those of
+    SIMILAR times their size up to this only."""
+    return F.col(s) * (100 + SIMILAR) - F.col(n) * SIMILAR
+
+
+def _alone(n: str = "n", s: str = "s") -> Column:
+    """Whether a class can be similar to one of its own size. Of two classes that can be similar one
+    at least can: if neither could, each would have to be larger than the other."""
+    return _reach(n, s) >= F.col(n) * SIMILAR
+
+
+def region_stats(lists: DataFrame) -> DataFrame:
+    """``region, many`` (classes), and of those that are ``_alone`` the ``least`` size and the
+    greatest ``_reach``, ``far``."""
+    return lists.groupBy("region").agg(
+        F.count("*").alias("many"), F.min(F.when(_alone(), F.col("n"))).alias("least"),
+        F.max(F.when(_alone(), _reach())).alias("far"))
+
+
+def _met() -> Column:
+    """Whether a class is ``_alone`` or can be similar to one of a group with ``least, far``."""
+    return _alone() | F.coalesce(
+        (_reach() >= F.col("least") * SIMILAR) & (F.col("far") >= F.col("n") * SIMILAR), F.lit(False))
+
+
 # --- exact distances --------------------------------------------------------------------------
 
 def set_columns(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
@@ -319,9 +348,10 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
     until no region is open."""
     known, turn, near = None, 0, 2 * SIMILAR - 100
     while True:
-        sized = written(lists.groupBy("region").agg(F.count("*").alias("many")))
+        # those that none of the region's classes can be similar to are done with here
+        sized = written(region_stats(lists))
         most = 2 if turn == 0 else SMALL_REGION
-        members = lists.join(sized, "region")
+        members = lists.join(sized, "region").filter(_met()).select("region", "class", "n", "s", "many")
         small = members.filter(F.col("many") <= most).drop("many")
         large = members.filter(F.col("many") > most).drop("many")
         direct = small.withColumnRenamed("class", "x").join(
@@ -365,18 +395,35 @@ def _rounds(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _boundaries(known: DataFrame, roots: DataFrame, sets: DataFrame, bounds: DataFrame) -> DataFrame:
     """Comparisons of boundary documents with the balls of pivots that they are not yet joined to.
-    ``bounds`` has ``class, n, s``, with which most pairs are told apart."""
+    ``bounds`` has ``class, n, s, full``, with which most are told apart: first each document from a
+    whole ball and each ball's member from all the documents around it, then pairs."""
     both = written(known.union(known.select(F.col("p").alias("x"), F.col("x").alias("p"), "shared", "united")))
     distance = 1 - F.col("shared") / F.col("united")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     outside = both.filter(~_linked()).select("x", "p", distance.alias("d")).join(
         root("x"), "x", "left").join(root("p"), "p").filter(
         ~F.coalesce("x_root", "x").eqNullSafe(F.col("p_root"))).select("p", F.col("x").alias("class"), "d")
-    outside = written(outside.join(bounds, "class").withColumnRenamed("class", "y"))
-    ball = both.filter(_linked()).select(F.col("p").alias("of"), "x", distance.alias("e")).join(
-        bounds.select(F.col("class").alias("x"), F.col("n").alias("m"), F.col("s").alias("r")), "x")
-    pairs = outside.join(
-        ball, (F.col("p") == F.col("of")) & (F.col("x") != F.col("y")) & _possible(SIMILAR)
+    outside = written(outside.join(bounds, "class"))
+    ball = written(both.filter(_linked()).select("p", F.col("x").alias("class"), distance.alias("d")).join(
+        outside.select("p").distinct(), "p", "left_semi").join(bounds, "class"))
+
+    def meeting(mine: DataFrame, others: DataFrame) -> DataFrame:
+        stats = others.groupBy("p").agg(
+            F.min(F.when(_alone(), F.col("n"))).alias("least"), F.max(F.when(_alone(), _reach())).alias("far"),
+            F.min("n").alias("any_least"), F.max(_reach()).alias("any_far"), F.bool_or(~F.col("full")).alias("open"))
+        some = (_reach() >= F.col("any_least") * SIMILAR) & (F.col("any_far") >= F.col("n") * SIMILAR)
+        return mine.join(written(stats), "p").filter(
+            F.col("open") | ~F.col("full") | (some & _met())).select(mine.columns)
+
+    outside = written(meeting(outside, ball))
+    ball = meeting(ball, outside).select(
+        F.col("p").alias("of"), F.col("class").alias("x"), F.col("d").alias("e"),
+        F.col("n").alias("m"), F.col("s").alias("r"), F.col("full").alias("whole"))
+    either = F.col("n") + F.col("m")
+    alike = F.when(F.col("full") & F.col("whole"), _possible(SIMILAR)).otherwise(
+        F.least("n", "m") * (100 + SIMILAR) >= either * SIMILAR)
+    pairs = outside.withColumnRenamed("class", "y").join(
+        ball, (F.col("p") == F.col("of")) & (F.col("x") != F.col("y")) & alike
         & (F.abs(F.col("d") - F.col("e")) <= (100 - SIMILAR) / 100 + 1e-9)
     ).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("p")).distinct()
     return near_pairs(pairs, sets, SIMILAR)
@@ -392,21 +439,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stay rows. Other columns are not used. Exact but for collisions of 64-bit hashes. No rows, no
     result.
     """
+    with scratch(docs.sparkSession):
+        return written(_components(docs.select("doc_id", "text")), lasting=True)
+
+
+def _components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     scan = written(scanned(docs))
     levels = spark.sparkContext.broadcast(shingle_levels(scan))
     sets = scan.filter("block IS NULL").select("doc_id", "n", "class")
     classes = sets.groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     lists = written(regions(docs, levels))
     lists = lists.join(written(classes), "class").select("region", "class", "n", "z", "hot")
-    lists = crowded(lists)
+    lists, bounds = crowded(lists)
     candidates = written(classes.join(lists.select("class").distinct(), "class", "left_semi"))
     whole = written(whole_sets(docs, candidates.select("doc_id")))
     known = _rounds(lists, whole)
     links = known.filter(_linked()).select(F.col("x").alias("u"), F.col("p").alias("v"))
     roots = written(components(links))
-    bounds = written(lists.select("class", "n", F.col("n").alias("s")).distinct())
     late = written(_boundaries(known, roots, whole, bounds).select(
         F.col("x").alias("u"), F.col("p").alias("v")))
     if not late.isEmpty():

@@ -247,3 +247,27 @@ def test_signatures_do_not_stay_beside_the_windows(spark, tmp_path, monkeypatch)
     found = paragraphs.repeated(spark.createDataFrame(messy(2, 30), SCHEMA))
     assert len(list(tmp_path.glob("llm-*"))) == 1, list(tmp_path.iterdir())  # the paragraphs reported
     assert found.count() > 0
+
+
+def test_a_large_near_group_is_not_compared_with_itself(spark, monkeypatch):
+    rng, words = random.Random(27), vocabulary(27, 4000)
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):  # about a half of them are alike to the original, hardly any to each other
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 5)):
+            copy[at] = "x" + rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes, plain = [], jaccard_join.near_pairs
+
+    def counted(pairs, sets, percent):
+        sizes.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "near_pairs", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    sets = [shingles(r[1]) for r in rows]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
+    assert [got[i] for i in range(len(rows))] == root
+    assert sizes[-1] < len(rows) and sum(sizes) < 6 * len(rows), sizes
