@@ -35,6 +35,7 @@ BROADCAST_ROWS = 1_000_000
 FEW_WORDS, LONG_WORDS = 24, 24
 SMALL_BUCKET, LEADERS = 32, 8
 AGREEING = 10  # of the 24 minima
+WORDS = 16  # of 64 cells each in a sketch
 _LAST = (1 << 63) - 1
 
 
@@ -47,27 +48,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     the largest."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc")
     blank = F.btrim(F.col("line"), F.lit(" \t\r\x0b\x0c")) == ""
-    return docs.select(doc, F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
-        ~blank).withColumn("id", F.xxhash64("line"))
+    # the tag first, else each line would work it out again
+    return docs.select(doc, "text", F.xxhash64("text").alias("tag")).select(
+        "doc", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(~blank).withColumn("id", F.xxhash64("line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """``id, copies, n`` (code points), ``bands`` (keys) and ``sig`` (the last byte of
     each minimum, eight in one integer) of each distinct line, for each kind of signature that it
     has; ``main`` marks one row of each line."""
-    words, n = F.split("line", " "), F.length("line")
-    size = F.size(words)
+    # exploded, so that a line is split once, not in each place that names its words
+    units = lines.select("id", "line", F.length("line").alias("n"), F.explode(F.array(F.split("line", " "))).alias("w"))
+    size, n = F.size("w"), F.col("n")
     begun = (size >= FEW_WORDS) & (size * LONG_WORDS >= n)
     every = ~begun | (size * 3 <= FEW_WORDS * 4) | (size * LONG_WORDS * 3 <= n * 4)
-    kinds = F.filter(F.array(F.when(every, F.lit(True)), F.when(begun, F.lit(False))), lambda k: k.isNotNull())
-    units = lines.select("id", n.alias("n"), words.alias("w"), F.when(every, F.encode("line", "UTF-32")).alias("raw"),
-                         every.alias("every"), F.explode(kinds).alias("few"))
-    units = units.withColumn("main", F.col("few") | ~F.col("every")).withColumn(
-        "m", F.when(F.col("few"), F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).otherwise(F.size("w")))
+    units = units.select("id", "n", "w", F.when(every, F.encode("line", "UTF-32")).alias("raw"), begun.alias("begun"),
+                         F.explode(F.array(F.lit(True), F.lit(False))).alias("few"))
+    units = units.filter(F.when(F.col("few"), F.col("raw").isNotNull()).otherwise(F.col("begun"))).withColumn(
+        "main", F.col("few") | F.col("raw").isNull()).withColumn(
+        "m", F.when(F.col("few"), F.greatest(n - (SHINGLE - 1), F.lit(1))).otherwise(size))
     places = units.select("*", F.expr("explode(sequence(0, m - 1)) AS i"))
     hashed = places.select("id", "n", "few", "main", "i", F.expr(
         f"if(few, hash(substring(raw, 4 * i + 1, {4 * SHINGLE})),"
-        f" hash(left(array_join(slice(w, i + 1, 3), ' '), {SHINGLE})))").alias("h"))
+        f" hash(left(concat_ws(' ', get(w, i), get(w, i + 1), get(w, i + 2)), {SHINGLE})))").alias("h"))
     # the masks of one band lie far apart, so that even a short line gives it different shingles
     masks = [((r * BANDS + b) << 27) - (1 << 31) for b in range(BANDS) for r in range(ROWS)]
     minima = hashed.groupBy("id", "few", "main").agg(
@@ -91,96 +94,111 @@ def probable(mine: str, other: str) -> Column:
 def buckets(lines: DataFrame) -> DataFrame:
     """``key, id, n, sig`` of the bands that several distinct lines share."""
     keys = lines.select(F.explode("bands").alias("key"), "id", "n", "sig")
-    several = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
+    # a line has each of its keys once
+    several = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     return keys.join(_bounded(written(several.select("key"))), "key", "left_semi")
 
 
 def _shingle_hashes(line: str) -> Column:
     count = f"greatest(length(`{line}`) - {SHINGLE - 1}, 1)"
-    return F.expr(f"transform(array(encode(`{line}`, 'UTF-32')), _raw -> array_distinct(transform("
-                  f"sequence(0, {count} - 1), _i -> xxhash64(substring(_raw, 4 * _i + 1, {4 * SHINGLE})))))[0]")
+    return F.expr(f"transform(array(encode(`{line}`, 'UTF-32')), _raw -> transform("
+                  f"sequence(1, 4 * {count} - 3, 4), _i -> xxhash64(substring(_raw, _i, {4 * SHINGLE}))))[0]")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (``u, v``) whose lines have a Jaccard similarity of 0.75 or more."""
     sides = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(
         texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
-    shared = F.expr("size(array_intersect(a, b))")
-    return sides.select("u", "v", _shingle_hashes("a").alias("a"), _shingle_hashes("b").alias("b")).withColumn(
-        "shared", shared).filter(
-        F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * SIMILAR).select("u", "v")
+    # exploded, so that the hashes of a pair are worked out once, not in each place that names them
+    both = F.explode(F.array(F.struct(_shingle_hashes("a").alias("a"), _shingle_hashes("b").alias("b")))).alias("both")
+    return sides.select("u", "v", both).filter(
+        F.expr(f"size(array_intersect(both.a, both.b)) * 100 >= size(array_union(both.a, both.b)) * {SIMILAR}")
+    ).select("u", "v")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """``id, k`` (number of shingles) and ``odd`` of each line: for each of 1,024 cells of hashes
+    whether an odd number of its shingles falls into it."""
+    cells = texts.select("id", F.explode(F.array_distinct(_shingle_hashes("line"))).alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 AS int))"), F.col("h").bitwiseAND(F.lit(WORDS - 1))
+    return cells.groupBy("id").agg(
+        F.count("*").alias("k"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WORDS)]
+    ).select("id", "k", F.array(*[F.col(f"w{i}") for i in range(WORDS)]).alias("odd"))
+
+
+def possible() -> Column:
+    """Whether the sketches ``k, odd`` and ``k_v, odd_v`` leave room for a similarity of 0.75: cells that
+    differ are not more than the shingles that only one of the lines has. No such pair is lost."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.expr(f"odd[{i}] ^ odd_v[{i}]")) for i in range(WORDS)])
+    return differ * (100 + SIMILAR) <= (F.col("k") + F.col("k_v")) * (100 - SIMILAR)
 
 
 def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``u, v``: verified pairs of ``members`` (``key, id, n, sig``, n a length). In each bucket all
-    are compared with one leader, by signature and then by ``verify``; those that are alike leave
-    with it, its ball. The others are compared among themselves where a bucket has few, and else go
-    on with ever more leaders. In the end all of a bucket are compared with those that left in balls
-    and that the links so far have not joined them to."""
+    """``u, v``: verified pairs that join what ``joined`` joins."""
+    return joined(members, verify)[0]
+
+
+def joined(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+           sketched: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``u, v``: verified pairs of ``members`` (``key, id, n, sig``, n a length) that join all members
+    of a bucket that are alike, or alike by others; and ``id, root``, the components of these
+    pairs. In each bucket all are compared with one leader, by
+    signature and then by ``verify``. Where the links so far leave members of a bucket apart, these
+    are compared among themselves if they are few, and else with ever more leaders, one of a
+    number of roots each. ``sketched`` gives the sketches (``id, k, odd``) of a table of ids,
+    which tell apart most of the pairs that need no verifying."""
     # an original meets more lines in its buckets than its edited copies do, so it leads
     crowds = written(members.groupBy("key").agg(F.count("*").alias("m")))
-    met = written(members.join(crowds, "key").groupBy("id").agg(F.sum("m").alias("met")))
-    everyone = written(members.join(met, "id").select("key", "id", F.struct(-F.col("met"), "n").alias("n"), "sig"))
-    members = everyone
-    found, balls, turn = [], [], 0
+    met = written(members.join(_bounded(crowds), "key").groupBy("id").agg(F.sum("m").alias("met")))
+    rest = written(members.join(_bounded(met), "id").select("key", "id", F.struct(-F.col("met"), "n").alias("n"), "sig"))
+    extra, found, roots, turn = [], None, None, 0
     while True:
+        known = ["id", "sig", *extra]
+        large, met_by = rest, probable("sig", "sig_v")
+        direct = None
         if turn:
-            sized = written(members.groupBy("key").agg(F.count("*").alias("m")))
-            members = members.join(sized, "key")
-            small = members.filter(F.col("m") <= SMALL_BUCKET)
-            direct = small.select("key", F.col("id").alias("u"), "sig").join(
-                small.select(F.col("key").alias("of"), F.col("id").alias("v"), F.col("sig").alias("sig_v")),
-                (F.col("key") == F.col("of")) & (F.col("v") < F.col("u")) & probable("sig", "sig_v")
-            ).select("u", "v").distinct()
-            # what one leader has joined already needs no more comparing
-            direct = direct.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(
-                F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
-            members = members.filter(F.col("m") > SMALL_BUCKET).select("key", "id", "n", "sig")
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(LEADERS * 4 ** (turn - 1) if turn else 1))
-        leaders = written(members.groupBy("key", part.alias("part")).agg(
-            F.min(F.struct("n", "id", "sig")).alias("lead")).select(
-            F.col("key").alias("of"), F.col("lead.id").alias("v"), F.col("lead.sig").alias("sig_v")))
-        rivals = written(members.join(
-            leaders, (F.col("key") == F.col("of")) & (F.col("id") != F.col("v")) & probable("sig", "sig_v")
-        ).select("key", "id", "v"))
-        pairs = rivals.select(F.col("id").alias("u"), "v")
-        alike = written(verify((pairs.union(direct) if turn else pairs).distinct()))
-        found.append(alike)
-        if not turn:
-            joined = written(alike.groupBy("u").agg(F.min("v").alias("to")))
-
-            def of(side: str, joined: DataFrame = joined) -> DataFrame:
-                return joined.select(F.col("u").alias(side), F.col("to").alias(f"of_{side}"))
-
-        ball = written(rivals.join(alike.withColumnRenamed("u", "id"), ["id", "v"]).select("key", "id").distinct())
-        balls.append(ball)
-        gone = written(ball.union(
-            leaders.select(F.col("of").alias("key"), F.col("v").alias("id"))).distinct())
-        rest = members.join(gone, ["key", "id"], "left_anti")
-        open_buckets = written(rest.groupBy("key").count().filter("count > 1").select("key"))
-        members = written(rest.join(open_buckets, "key", "left_semi"))
-        if members.isEmpty():
-            found = reduce(DataFrame.union, found)
-            return found.union(late_links(everyone, reduce(DataFrame.union, balls), found, verify))
+            met_by = (F.col("root") != F.col("root_v")) & met_by
+            met_by = met_by & possible() if sketched else met_by
+            sized = written(rest.groupBy("key").agg(F.count("*").alias("m")))
+            few = F.col("m") <= SMALL_BUCKET * 8 ** (turn - 1)
+            small = rest.join(sized.filter(few), "key", "left_semi")
+            large = written(rest.join(sized.filter(~few), "key", "left_semi"))
+            others = small.select(F.col("key").alias("of"), *[F.col(c).alias("v" if c == "id" else f"{c}_v") for c in known])
+            direct = small.join(others, (F.col("key") == F.col("of")) & (F.col("v") < F.col("id")) & met_by).select(
+                F.col("id").alias("u"), "v")
+        part = F.pmod(F.xxhash64("root", F.lit(turn)), F.lit(LEADERS * 4 ** (turn - 1))) if turn else F.lit(0)
+        leaders = written(large.groupBy("key", part.alias("part")).agg(F.min(F.struct("n", *known)).alias("lead")).select(
+            F.col("key").alias("of"), *[F.col(f"lead.{c}").alias("v" if c == "id" else f"{c}_v") for c in known]))
+        pairs = large.join(leaders, (F.col("key") == F.col("of")) & (F.col("id") != F.col("v")) & met_by).select(
+            F.col("id").alias("u"), "v")
+        pairs = written((pairs.union(direct) if turn else pairs).select(
+            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        alike = written(verify(pairs))
+        found = alike if found is None else found.union(alike)
+        # a leader has met all of its bucket
+        rest = large.join(leaders.select(F.col("of").alias("key"), F.col("v").alias("id")), ["key", "id"], "left_anti")
+        roots = written(merged(roots, alike) if turn else components(alike).withColumnRenamed("node", "id"))
+        rest = written(rest.drop("root").join(_bounded(roots), "id", "left").withColumn("root", F.coalesce("root", "id")))
+        split = written(rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"))
+        rest = written(rest.join(_bounded(split), "key", "left_semi"))
+        if rest.isEmpty():
+            return found, roots
+        if sketched and not turn:
+            rest = written(rest.join(written(sketched(rest.select("id").distinct())), "id"))
+        extra = ["root", "k", "odd"] if sketched else ["root"]
         turn += 1
 
 
-def late_links(members: DataFrame, balls: DataFrame, found: DataFrame,
-               verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``u, v``: verified pairs of one of ``balls`` (``key, id``: who left a bucket, alike to its leader)
-    and another member of the bucket that the links ``found`` have not joined to it."""
-    roots = written(components(found)).withColumnRenamed("node", "id")
-    rooted = written(members.join(written(balls.select("key").distinct()), "key", "left_semi").join(
-        roots, "id", "left").select("key", "id", "sig", F.coalesce("root", "id").alias("root")))
-    # where links have joined a whole bucket nothing is left to compare
-    split = written(rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"))
-    rooted = written(rooted.join(split, "key", "left_semi"))
-    inside = rooted.join(balls, ["key", "id"], "left_semi").select(
-        F.col("key").alias("of"), F.col("id").alias("v"), F.col("sig").alias("sig_v"), F.col("root").alias("root_v"))
-    pairs = written(rooted.join(
-        written(inside), (F.col("key") == F.col("of")) & (F.col("root") != F.col("root_v")) & probable("sig", "sig_v")
-    ).select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct())
-    return written(verify(pairs))
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``id, root`` after ``more`` links; no links are worked through but those between roots."""
+    def of(side: str) -> DataFrame:
+        return roots.select(F.col("id").alias(side), F.col("root").alias(f"of_{side}"))
+
+    between = written(more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")))
+    to = written(components(between)).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    every = roots.union(between.select("u", "u")).union(between.select("v", "v")).distinct()
+    return every.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -188,14 +206,16 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     known = written(signatures(lines))
     members = written(buckets(known))
-    wanted = _bounded(written(members.select("id").distinct()))
-    texts = written(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
-    groups = written(components(links(members, lambda pairs: verified(pairs, texts))))
-    mates = known.filter("main").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "root", F.coalesce("root", "id"))
-    several = written(mates.groupBy("root").agg(F.sum("copies").alias("all")).filter("all > 1").select("root"))
-    plural = written(mates.join(several, "root").select("id", "root"))
-    places = written(written(lines.select("id", "doc", "tag", "pos")).join(plural, "id").select("root", "doc", "tag", "pos"))
+    wanted = written(members.select("id").distinct().withColumn("met", F.lit(True)))
+    copied = known.filter("main AND copies > 1").select("id")
+    # all places of lines that are copied or have met others, with the texts of those
+    held = _bounded(written(copied.join(wanted, "id", "full")))
+    held = written(lines.join(held, "id").select("id", "doc", "tag", "pos", F.when(F.col("met"), F.col("line")).alias("line")))
+    texts = written(held.filter(F.col("line").isNotNull()).groupBy("id").agg(F.min("line").alias("line")))
+    _, groups = joined(
+        members, lambda pairs: verified(pairs, texts), lambda ids: sketches(texts.join(ids, "id", "left_semi")))
+    plural = written(copied.join(groups, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
+    places = written(held.select("id", "doc", "tag", "pos").join(_bounded(plural), "id").select("root", "doc", "tag", "pos"))
     keepers = written(places.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("keeper")))
     # a document's own first line of each group: only in its keeper does it stay
     firsts = written(places.groupBy("doc", "tag", "root").agg(F.min("pos").alias("first"), F.collect_list("pos").alias("all")))
@@ -216,6 +236,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         gone = written(removals(docs.select("doc_id", "text")).toDF("_doc", "_of", "removed"), lasting=True)
+    # positions count, not rows alone: one row may have any number of them
+    size = gone.agg(F.count("*") + F.sum(F.size("removed"))).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_ROWS else gone
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_id"), F.xxhash64("text").alias("_tag"))

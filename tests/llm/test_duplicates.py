@@ -179,6 +179,55 @@ def test_no_link_is_lost_where_a_copy_leads(spark):
     assert root == {0: 0, 1: 0, 2: 0}
 
 
+def test_few_pairs_of_a_crowd_are_verified(spark, monkeypatch):
+    rng, words = random.Random(25), vocabulary(25, 3000)
+    base = [rng.choice(words) for _ in range(60)]
+    lines = [" ".join(base)]
+    while len(lines) < 160:  # most are alike to the first line, hardly any to each other
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice([3, 7])):
+            copy[at] = rng.choice(words)
+        lines.append(" ".join(copy))
+    sets, asked, verified = [_line_shingles(x) for x in lines], [], fuzzy_lines.verified
+
+    def counted(pairs, texts):
+        asked.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(fuzzy_lines, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    root = roots(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if similar(sets[i], sets[j])])
+    got = {r["doc"]["doc_id"]: r["n_removed"] for r in fuzzy_lines.deduplicated(docs).collect()}
+    assert got == {i: int(root[i] != i) for i in range(len(lines))}
+    assert 40 < len(set(root)) < 120 and sum(asked) < 1500, asked
+
+
+def test_sketches_lose_no_similar_pair(spark):
+    rng, words = random.Random(26), vocabulary(26, 3000)
+    lines = ["a", "ab " * 40, "ü" * 30]
+    for _ in range(40):
+        base = " ".join(rng.choice(words) for _ in range(rng.choice([2, 10, 60, 400])))
+        lines += [base, *[edited(rng, words, base, x) for x in (0.02, 0.03, 0.05, 0.1)]]
+    sets = [_line_shingles(x) for x in lines]
+    made = fuzzy_lines.sketches(spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")).persist()
+    assert {r["id"]: r["k"] for r in made.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    pairs = made.crossJoin(made.toDF("id_v", "k_v", "odd_v")).filter(fuzzy_lines.possible())
+    left = {(r["id"], r["id_v"]) for r in pairs.select("id", "id_v").collect()}
+    every = [(i, j) for i in range(len(lines)) for j in range(len(lines))]
+    assert left >= {(i, j) for i, j in every if similar(sets[i], sets[j])} and len(left) < 0.1 * len(every)
+
+
+def test_lines_are_split_and_hashed_once(spark):
+    lines = spark.createDataFrame([(1, "a b"), (2, "c d")], "id bigint, line string")
+    pairs = spark.createDataFrame([(2, 1)], "u bigint, v bigint")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(fuzzy_lines.signatures(lines)).count("split(line") == 1
+    assert plan(fuzzy_lines.verified(pairs, lines)).count("xxhash64(substring") == 2
+
+
 def test_short_lines_with_one_changed_character_are_found(spark):
     rng, words = random.Random(23), vocabulary(23, 3000)
     pairs = {}
